@@ -9,6 +9,7 @@ among the rests of its length.  Ranks come from counts per (length, salt) cell,
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from array import array
@@ -22,56 +23,57 @@ from .scratch import stage
 from .text import slices
 
 SALTS = 256
-CACHED_PARTS = 700_000
+CACHED_PARTS = 400_000
 SLICE_BYTES = 2 << 20
+#: The word pattern of byte-level BPE vocabularies, a fixed value.
+WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes are themselves, others follow from U+0100."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class PartTokenizer:
-    """Ids of whole texts, put together from the ids of their space-separated parts.
+    """Ids of whole texts under a byte-level BPE file, put together from the ids of their space-separated parts.
 
-    Byte-level BPE with the usual word pattern never joins a non-space character to a space after it, so a text may be cut before
-    each such space, and a part met before need not be encoded again.  Texts with parts that do not end in
-    a character known to be no space are encoded whole.
+    The word pattern never joins a character that is no white space to a space after it, so a text may be cut before each such space, and a
+    part met before need not be encoded again.  Texts with parts that do not end in a character known to be no white space are encoded
+    whole.  Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        special, byte = {t["content"] for t in spec["added_tokens"]}, byte_of()
+        ranks = {bytes(byte[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
+        self._encode = tiktoken.Encoding("byte-level", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.heads: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes | None] = {}
 
-    @staticmethod
-    def _ends_well(part: str) -> bool:
-        last = part[-1:]
-        return "!" <= last <= "~" or "À" <= last <= "߿"
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._encode(text)).tobytes()
 
     def _learn(self, known: dict[str, bytes | None], found: set[str], prefix: str) -> None:
         if len(known) + len(found) > CACHED_PARTS:
             known.clear()
-        new = [p for p in found if p not in known]
-        safe = [p for p in new if self._ends_well(p)]
-        known.update(dict.fromkeys(new))
-        for part, encoding in zip(safe, self.tokenizer.encode_batch([prefix + p for p in safe], add_special_tokens=False)):
-            known[part] = array("I", encoding.ids).tobytes()
+        for part in found.difference(known):
+            last = part[-1:]
+            known[part] = self._whole(prefix + part) if "!" <= last <= "~" or "\u00c0" <= last <= "\u07ff" else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split(" ") for t in texts]
         self._learn(self.heads, {s[0] for s in split}, "")
-        found: set[str] = set()
-        for s in split:
-            found.update(s[1:])
-        self._learn(self.parts, found, " ")
+        self._learn(self.parts, set().union(*(s[1:] for s in split)), " ")
         out = []
         for text, parts in zip(texts, split):
-            ids = list(map(self.parts.__getitem__, parts[1:]))
-            ids.insert(0, self.heads[parts[0]])
-            if None in ids:
-                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                out.append(b"".join(ids))
+            ids = [self.heads[parts[0]], *map(self.parts.__getitem__, parts[1:])]
+            out.append(self._whole(text) if None in ids else b"".join(ids))
         return out
 
 
