@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .language import identify_language, in_fold, train_language_model
 from .mixing import mix_sources
+from .near_duplicates import near_duplicates
 from .packing import pack_windows
 from .sharding import shard_by_bytes
 from .topk import exact_top_k
@@ -41,6 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=5, percent=75)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_windows(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
@@ -57,12 +62,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_topk": op7_topk,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_duplicates": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+), e AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen
+), m AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
+""",
     "op2_url_filter": url_filter_sql(URL_RULES),
     "op7_topk": """
 WITH v AS (
