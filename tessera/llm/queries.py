@@ -11,6 +11,7 @@ from .language import identify_language, in_fold, train_language_model
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .packing import pack_windows
+from .quality import perplexity_bands, quality_rules, train_perplexity
 from .sharding import shard_by_bytes
 from .topk import exact_top_k
 from .url_filter import Rule, filter_urls, oracle_sql as url_filter_sql
@@ -54,6 +55,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_perplexity(documents)
+    return quality_rules(documents, model, perplexity_bands(documents, model)).drop("text", "lang")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_topk": op7_topk,
+    "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
 }
 
