@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .elias_fano import MappedFile, Quantised, TrieLevel
 from .text import raw, slices, words
 
-PRIOR = 2.0
+PRIOR = 500.0
 HIGHER = 0.2
 SLICE_BYTES = 4 << 20
 SHARD_TOKENS = 2_000_000
