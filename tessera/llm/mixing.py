@@ -58,34 +58,38 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def _mixed(df: DataFrame, weights, share, cap, seed, id_col, text_col, source_col) -> DataFrame:
-    slim = stage(
-        df.select(
-            F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size")
-        )
+def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return (
+        df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"), *more)
         .withColumn("_bin", F.least((F.col("_size") / BIN_WIDTH).cast("int"), F.lit(BINS - 1)))
-        .withColumn("_salt", F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int")),
-        "mixing",
+        .withColumn("_salt", F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int"))
     )
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which nulls are equal, the keys once."""
+    condition = left[keys[0]].eqNullSafe(right[keys[0]])
+    for key in keys[1:]:
+        condition = condition & left[key].eqNullSafe(right[key])
+    return left.join(right, condition).select(left["*"], *[right[c] for c in right.columns if c not in keys])
+
+
+def _with_copies(rows: DataFrame, slim: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: str) -> DataFrame:
+    """Add ``_source_size, target, _copies`` to ``rows``; ``slim`` has the same rows' keys."""
     cells = slim.groupBy("_source", "_bin", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
     bins = cells.groupBy("_source", "_bin").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"))
     sources = bins.groupBy("_source").agg(F.sum("_words").alias("_source_size"))
-    earlier = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
-    none = F.lit(0)
-    bin_starts = bins.select("_source", "_bin", F.coalesce(F.sum("_n").over(earlier("_source", "_bin")), none).alias("_bin_start"))
-    cell_starts = cells.select("_source", "_bin", "_salt", F.coalesce(F.sum("_n").over(earlier("_source", "_bin", "_salt")), none).alias("_cell_start"))
-    rates = targets(sources, weights, share, cap).withColumn("_u", offset(F.col("_source"), seed))
-    same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
-
-    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        condition = left[keys[0]].eqNullSafe(right[keys[0]])
-        for more in same(left, right, keys[1:]):
-            condition = condition & more
-        return left.join(right, condition).select(left["*"], *[right[c] for c in right.columns if c not in keys])
-
-    starts = joined(joined(cell_starts, bin_starts, ["_source", "_bin"]), rates.select("_source", "_source_size", "target", "_rate", "_u"), ["_source"])
+
+    def starts_of(counted: DataFrame, *keys: str) -> Column:
+        earlier = W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+
+    bin_starts = bins.select("_source", "_bin", starts_of(bins, "_source", "_bin").alias("_bin_start"))
+    cell_starts = cells.select("_source", "_bin", "_salt", starts_of(cells, "_source", "_bin", "_salt").alias("_cell_start"))
+    rates = targets(sources, weights, share, cap).withColumn("_u", offset(F.col("_source"), seed)).select("_source", "_source_size", "target", "_rate", "_u")
+    starts = _joined(_joined(cell_starts, bin_starts, ["_source", "_bin"]), rates, ["_source"])
     place = F.row_number().over(W.partitionBy("_source", "_bin", "_salt").orderBy("_size", "_id")) - 1
-    ranked = joined(slim.withColumn("_place", place), starts, ["_source", "_bin", "_salt"])
+    ranked = _joined(rows.withColumn("_place", place), starts, ["_source", "_bin", "_salt"])
     rank = F.col("_bin_start") + F.col("_cell_start") + F.col("_place")
     edge = lambda k: F.floor(k * F.col("_rate") + F.col("_u"))
     return ranked.withColumn("_copies", edge(rank + 1) - edge(rank))
@@ -108,7 +112,8 @@ def mix_sources(
     order; repeated rows and ids are ranked one by one, rows that tie in size and id are interchangeable.  A source without words has target 0.
     An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
-    mixed = _mixed(df, weights, share, cap, seed, id_col, text_col, source_col)
+    slim = stage(_keyed(df, id_col, text_col, source_col), "mixing")
+    mixed = _with_copies(slim, slim, weights, share, cap, seed)
     return mixed.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
@@ -116,3 +121,19 @@ def mix_sources(
         "target",
         (F.col("_copies") * F.col("_size")).cast("long").alias("taken"),
     )
+
+
+def mixed_rows(
+    df: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: every row of ``df``, with all its columns, as often as the mix takes it (see ``mix_sources``)."""
+    slim = stage(_keyed(df, id_col, text_col, source_col), "mixing")
+    rows = _with_copies(_keyed(df, id_col, text_col, source_col, F.struct("*").alias("_row")), slim, weights, share, cap, seed)
+    return rows.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -212,3 +212,12 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     return rows.select("_id", "n", "key").join(component, "key", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), answer.alias("component_id"), F.col("_id").eqNullSafe(answer).alias("kept")
     )
+
+
+def drop_near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stand for their component, with all columns: those with its smallest id, repeated rows once.
+
+    Rows without an id stay if a component has no other rows.
+    """
+    kept = near_duplicates(df, shingle, percent, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates([id_col, text_col])
