@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .language import identify_language, in_fold, train_language_model
+from .license_scan import oracle_sql as license_sql, scan_licenses
 from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
@@ -30,6 +31,10 @@ URL_RULES = [
 ]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -72,6 +77,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_sql(),
     "op5_near_duplicates": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
