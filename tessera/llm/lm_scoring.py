@@ -26,7 +26,7 @@ from .text import raw, slices, words
 PRIOR = 500.0
 HIGHER = 0.2
 SLICE_BYTES = 4 << 20
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 END, START = np.uint64(0x5EED0E17D0000001), np.uint64(0x5EED057A27000003)
 LABEL = np.uint64(0xFFFFFFFF)
 
@@ -50,6 +50,26 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def planes(values: np.ndarray) -> list[np.ndarray]:
+    """The bytes of values under 2 ** 32 as four arrays, lowest first: high bytes repeat and compress."""
+    return list(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def coded(values: np.ndarray) -> bytes:
+    """Values as 16-bit codes between their least and greatest, after their number, the least and the step."""
+    least, most = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
+    step = (most - least) / 65535 or 1.0
+    return np.array([len(values), least, step]).tobytes() + np.rint((values - least) / step).astype(np.uint16).tobytes()
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and then the end, and the number of each text's tokens."""
     found = words(*raw(texts), lower=True)
@@ -104,7 +124,7 @@ def batch_rows(texts: pa.Array, train: np.ndarray, shards: int, order: int) -> t
         out[s] = pack(parts)
     # the word of every n-gram follows from how many n-grams each word has
     leaves = np.bincount(of_word_of_leaf(levels), minlength=len(word))
-    return out, pack([counts, node, leaves])
+    return out, squeezed(pack([counts, leaves, *planes(node)]))
 
 
 def of_word_of_leaf(levels: list[tuple]) -> np.ndarray:
@@ -186,13 +206,15 @@ def score_shard(rows: list[list[np.ndarray]], total: int, distinct: int, order:
 
 def sum_texts(kept: bytes, answers: list[bytes]) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, sum of log10(count + 1) and sum of values of each text of a batch; answers in order of shards."""
-    counts, gram, leaves = (a.astype(np.int64) for a in unpack(kept))
+    counts, leaves, *parts = (a.astype(np.int64) for a in unpack(restored(kept)))
+    gram = sum(part << 8 * i for i, part in enumerate(parts))
     values, known = [], []
     for answer in answers:
-        at = int(np.frombuffer(answer, np.int64, 1)[0])
-        values.append(np.frombuffer(answer, np.float32, at, 8))
-        known.append(unpack(answer[8 + 4 * at :])[0].astype(np.int64))
-    value = np.concatenate([np.empty(0, np.float32), *values])[gram].astype(np.float64)
+        size, least, step = np.frombuffer(answer, np.float64, 3).tolist()
+        end = 24 + 2 * int(size)
+        values.append(np.frombuffer(answer[24:end], np.uint16) * step + least)
+        known.append(unpack(answer[end:])[0].astype(np.int64))
+    value = np.concatenate([np.empty(0), *values])[gram]
     known = np.repeat(np.concatenate([np.empty(0, np.int64), *known]), leaves)[gram]
     text = np.repeat(np.arange(len(counts)), counts)
     sums = lambda x: np.bincount(text, weights=x, minlength=len(counts))
@@ -256,7 +278,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
             return kept
         answers = []
         for value, known in score_shard([unpack(x) for x in asked["grams"].to_pylist()], total, distinct, order):
-            answers.append(np.int64(len(value)).tobytes() + value.astype(np.float32).tobytes() + pack([known]))
+            answers.append(coded(value) + pack([known]))
         asked = asked.set_column(2, "grams", pa.array(answers, pa.binary()))
         return pa.concat_tables([kept, asked])
 
