@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import complement_rate, symmetric_log
-from tessera.operators import aggregates as A, baselines as B, comparison as C, folds as L, models as M, panel as P, prep, selection as S
+from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, panel as P, prep, selection as S
 from tessera.plans import panels as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,6 +539,49 @@ def _(spark, folder):
     return C.compare_predictions(left, right)
 
 
+for _kind in ("sql", "pandas"):
+    _both = f"SELECT fold, split, model, entity_id, period, {r6('y_true', 'y_pred')} FROM (SELECT *, 'global_mean' AS model FROM ({BASE['global_mean']}) UNION ALL SELECT *, 'naive_with_lag' AS model FROM ({BASE['naive_with_lag']}))"
+    query(f"backend_{_kind}", f"WITH {FOLDED}, {SCORED}, {HISTORY} {_both}")(
+        lambda spark, folder, kind=_kind: E.BackEnd.registry[kind]().forecasts(folded(spark, folder))
+    )
+
+FILLED = f"p AS ({D.USER_DAY}), q AS (SELECT view_value AS a, coalesce(view_value, avg(view_value) OVER (PARTITION BY entity_stratum, period)) AS mean, coalesce(view_value, median(view_value) OVER (PARTITION BY entity_stratum, period)) AS median FROM p)"
+
+
+@query("candidate_comparison", f"WITH {FILLED} " + " UNION ALL ".join(f"SELECT '{m}' AS method, count(*) - count({m}) AS n_missing, round(abs((avg({m}) - avg(a)) / avg(a)) * 100, 6) + 0.0 AS mean_shift_percent, round(abs((stddev_samp({m}) - stddev_samp(a)) / stddev_samp(a)) * 100, 6) + 0.0 AS std_shift_percent FROM q" for m in ("mean", "median")))
+def _(spark, folder):
+    df = D.user_day(spark, folder)
+    return I.compare_candidates({m: P.fill_with_peers(df, ["view_value"], m) for m in ("mean", "median")}, df, "view_value")
+
+
+@query("imputation_coverage", f"WITH {FILLED} SELECT 'view_value' AS indicator, count(*) AS rows_before, count(*) AS rows_after, round(count(a)::DOUBLE / count(*), 6) + 0.0 AS observed_share, round((count(mean) - count(a))::DOUBLE / count(*), 6) + 0.0 AS imputed_share FROM q")
+def _(spark, folder):
+    df = D.user_day(spark, folder)
+    return I.coverage(df, P.fill_with_peers(df, ["view_value"], "mean"), ["view_value"])
+
+
+@query("fold_records", f"WITH {FOLDED} SELECT count(*) AS n FROM f")
+def _(spark, folder):
+    return spark.createDataFrame([(N.fold_records(D.user_day(spark, folder), PERIODS),)], "n bigint")
+
+
+@query("holdout_check")
+def _(spark, folder):
+    return I.holdout_check(D.user_day(spark, folder), D.INDICATORS, dict.fromkeys(D.INDICATORS, "events"))
+
+
+@query("latency_equivalence")
+def _(spark, folder):
+    rows = N.latency_equivalence(D.runs(spark, folder), dict.fromkeys(C.PHASES, 0.1), rounds=2000)
+    return spark.createDataFrame([(r["phase"], r["a"], r["b"], r["low"], r["high"], r["method"], r["decision"]) for r in rows], "phase string, a string, b string, low double, high double, method string, decision string")
+
+
+@query("significance_tests")
+def _(spark, folder):
+    rows = N.significance(D.runs(spark, folder))
+    return spark.createDataFrame([(r["phase"], r["a"], r["b"], r["n"], r["p_t"], r["p"], r["d_z"], r["hedges_g"]) for r in rows], "phase string, a string, b string, n int, p_t double, p_wilcoxon double, d_z double, hedges_g double")
+
+
 # ---- models and selection: no SQL, tests hold them against direct computations
 
 
@@ -550,8 +593,7 @@ def _(spark, folder):
 
 @query("feature_selection")
 def _(spark, folder):
-    df = P.with_target(D.user_day(spark, folder))
-    found = S.select_features(df, L.first_train_end(DAYS), protocol=ProtocolConfig(floor=0.0, relaxed_floor=0.0))
+    found = S.select_features(month(spark, folder), 23980, protocol=ProtocolConfig(floor=0.0, relaxed_floor=0.0))
     return spark.createDataFrame([(f, found.correlations[f]) for f in found.features], "feature string, r_abs double")
 
 
