@@ -4,8 +4,10 @@ Texts are read in batches.  A batch sends each shard the distinct n-grams that e
 counts, and keeps a map from its tokens to those n-grams.  A shard adds up the counts of all batches and writes the seen n-grams to an
 Elias-Fano trie in a memory-mapped file: the last word first, then the words before it, so that an n-gram and all its shorter
 suffixes are one path.  Unigrams keep their counts, deeper levels quantised logarithms of smoothed masses.  The batch's n-grams are looked up by
-successor search within their context and sent back, and the batch sums its tokens' values by text.  A frequent word is one entry for
-each batch, whatever its number of occurrences, and no model is gathered anywhere.
+successor search within their context and sent back, and the batch sums its tokens' values by text.  No model is gathered anywhere.
+
+A word that is too frequent for one shard is dealt out by the word before it, under an alias for each part.  A part holds a quarter of a shard's tokens, or a
+65,536th of all where that is more, so that the list of aliases, which goes to all tasks with the words' counts, has a fixed bound.
 
 The mass of an n-gram is its count plus ``a`` times the mass of its suffix without the first word, with ``a`` = 1 for bigrams and
 ``HIGHER`` beyond; that of a single word is ``PRIOR`` times (c + 1) / (N + V + 1).  A context's mass is the sum of those of all its n-grams,
@@ -15,13 +17,15 @@ which has the same form, so that log-probabilities are differences of two lookup
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .elias_fano import MappedFile, Quantised, TrieLevel
-from .text import raw, slices, words
+from .scratch import stage
+from .text import PRIME, mixed, raw, slices, words
 
 PRIOR = 500.0
 HIGHER = 0.2
@@ -29,6 +33,7 @@ SLICE_BYTES = 4 << 20
 SHARD_TOKENS = 1_000_000
 END, START = np.uint64(0x5EED0E17D0000001), np.uint64(0x5EED057A27000003)
 LABEL = np.uint64(0xFFFFFFFF)
+MOST_PARTS = 1 << 16
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -89,7 +94,57 @@ def preceding(stream: np.ndarray, counts: np.ndarray, back: int) -> np.ndarray:
     return out
 
 
-def batch_rows(texts: pa.Array, train: np.ndarray, shards: int, order: int) -> tuple[dict[int, bytes], bytes]:
+@dataclass(frozen=True)
+class Frequent:
+    """Words dealt out in parts: sorted hashes and numbers of parts; and by sorted alias, the word and its training count."""
+
+    words: np.ndarray
+    parts: np.ndarray
+    aliases: np.ndarray
+    originals: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, found: dict[int, int], part: int) -> Frequent:
+        words_ = np.array(sorted(found), np.uint64)
+        counts = np.array([found[w] for w in words_.tolist()], np.int64)
+        parts = -(-counts // part)
+        original, count = np.repeat(words_, parts), np.repeat(counts, parts)
+        number = np.arange(len(original)) - np.repeat(np.cumsum(parts) - parts, parts)
+        aliases = mixed(original + (number.astype(np.uint64) + np.uint64(1)) * PRIME)
+        order = np.argsort(aliases)
+        return cls(words_, parts, aliases[order], original[order], count[order])
+
+    @staticmethod
+    def _find(known: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(known):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+        hit = np.flatnonzero(known[at] == sought)
+        return hit, at[hit]
+
+    def deal(self, stream: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The tokens, frequent ones under the alias that the token before them chooses."""
+        hit, at = self._find(self.words, stream)
+        if not len(hit):
+            return stream
+        out = stream.copy()
+        number = mixed(before[hit]) % self.parts[at].astype(np.uint64)
+        out[hit] = mixed(stream[hit] + (number + np.uint64(1)) * PRIME)
+        return out
+
+    def restore(self, words_: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words without aliases, and counts with those of whole words."""
+        hit, at = self._find(self.aliases, words_)
+        words_, counts = words_.copy(), counts.copy()
+        words_[hit], counts[hit] = self.originals[at], self.counts[at]
+        return words_, counts
+
+
+NONE = Frequent(*(np.empty(0, np.uint64) for _ in range(5)))
+
+
+def batch_rows(texts: pa.Array, train: np.ndarray, shards: int, order: int, frequent: Frequent = NONE) -> tuple[dict[int, bytes], bytes]:
     """What a batch sends to each shard, and what it keeps to itself.
 
     For a shard: words and their training counts, then for each further level the number of children of every node above, the children's
@@ -97,7 +152,7 @@ def batch_rows(texts: pa.Array, train: np.ndarray, shards: int, order: int) -> t
     """
     stream, counts = tokens(texts)
     learnt = np.repeat(train, counts)
-    word, inverse = np.unique(stream, return_inverse=True)
+    word, inverse = np.unique(frequent.deal(stream, preceding(stream, counts, 1)), return_inverse=True)
     shard = (word % np.uint64(shards)).astype(np.int64)
     by_shard = np.lexsort((word, shard))
     place = np.empty(len(word), np.int64)
@@ -135,7 +190,7 @@ def of_word_of_leaf(levels: list[tuple]) -> np.ndarray:
     return above
 
 
-def score_shard(rows: list[list[np.ndarray]], total: int, distinct: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def score_shard(rows: list[list[np.ndarray]], total: int, distinct: int, order: int, frequent: Frequent = NONE) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each batch of a shard: the value of each n-gram and the training count of each word.
 
     A value is the log10-mass of the n-gram, less that of the context that its last ``order - 1`` tokens are for the next token.
@@ -160,6 +215,7 @@ def score_shard(rows: list[list[np.ndarray]], total: int, distinct: int, order:
 
     with MappedFile() as file:
         word = distinct_nodes[0][1]
+        original, level_counts[0] = frequent.restore(word, level_counts[0])
         seen = level_counts[0] > 0
         trie = TrieLevel(np.zeros(int(seen.sum()), np.int64), word[seen], 1, 64, file)
         counts = file.keep(level_counts[0][seen])
@@ -168,7 +224,7 @@ def score_shard(rows: list[list[np.ndarray]], total: int, distinct: int, order:
         known[at >= 0] = counts[at[at >= 0]]
         mass = PRIOR * (known + 1) / (total + distinct + 1)
         context = known + PRIOR
-        ends = word == END
+        ends = original == END
         stored, slots = np.flatnonzero(seen), int(seen.sum())
         index = np.full(len(word), -1, np.int64)
         index[stored] = np.arange(slots)
@@ -221,8 +277,8 @@ def sum_texts(kept: bytes, answers: list[bytes]) -> tuple[np.ndarray, ...]:
     return counts, sums(known > 0).astype(np.int64), sums(np.log10(known + 1.0)), sums(value)
 
 
-def vocabulary(df: DataFrame) -> tuple[int, int, int]:
-    """Training tokens, distinct training tokens and training texts of ``df`` (``_text, _train``)."""
+def vocabulary(df: DataFrame) -> DataFrame:
+    """``word, n``: hashes and counts of the training tokens of ``df`` (``_text, _train``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +287,7 @@ def vocabulary(df: DataFrame) -> tuple[int, int, int]:
                 word, n = np.unique(stream, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    words_ = df.filter("_train").select("_text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    r = words_.agg(F.sum("n"), F.count("n"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n")))).first()
-    return r[0] or 0, r[1], r[2] or 0
+    return df.filter("_train").select("_text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +297,12 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
     scored one by one.  Without training rows every word is unknown.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     source = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(id_col).alias("_id"))
-    total, distinct, texts = vocabulary(source)
+    known_words = stage(vocabulary(source), "lm-words")
+    found = known_words.agg(F.sum("n"), F.count("n"), F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("n")))).first()
+    total, distinct, texts = (x or 0 for x in found)
+    part = max(SHARD_TOKENS // 4, total // MOST_PARTS)
+    frequent = Frequent.of({r[0] & (1 << 64) - 1: r[1] for r in known_words.filter(F.col("n") > part).collect()}, part)  # MOST_PARTS words at most
+    everywhere = df.sparkSession.sparkContext.broadcast(frequent)
     shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TOKENS))
     id_field = source.schema["_id"]
     row = T.StructType([
@@ -258,7 +317,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
         for batch in batches:
             for lo, hi in slices(batch.column(0), SLICE_BYTES):
                 text, learnt, ids = (batch.column(i).slice(lo, hi - lo) for i in range(3))
-                sent, kept = batch_rows(text, learnt.to_numpy(zero_copy_only=False), shards, order)
+                sent, kept = batch_rows(text, learnt.to_numpy(zero_copy_only=False), shards, order, everywhere.value)
                 own = number % shards
                 parts = sorted(sent)
                 holder = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids]))
@@ -277,7 +336,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
         if not len(asked):
             return kept
         answers = []
-        for value, known in score_shard([unpack(x) for x in asked["grams"].to_pylist()], total, distinct, order):
+        for value, known in score_shard([unpack(x) for x in asked["grams"].to_pylist()], total, distinct, order, everywhere.value):
             answers.append(coded(value) + pack([known]))
         asked = asked.set_column(2, "grams", pa.array(answers, pa.binary()))
         return pa.concat_tables([kept, asked])
@@ -302,5 +361,5 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
             out.names,
         )
 
-    scored = source.mapInArrow(split, row).groupBy("shard").applyInArrow(score, row)
+    scored = source.mapInArrow(split, row).repartition(shards, "shard").groupBy("shard").applyInArrow(score, row)
     return scored.groupBy("batch").applyInArrow(gather, out)

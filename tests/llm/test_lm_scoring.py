@@ -47,9 +47,10 @@ def brute(rows, order):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores_match_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize("order, shard_tokens", [(2, 10**6), (2, 300), (3, 10**6), (3, 300)])
+def test_scores_match_brute_force(spark, monkeypatch, order, shard_tokens):
     monkeypatch.setattr(lm, "SLICE_BYTES", 1500)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)  # small shards deal frequent words out in parts
     rng = random.Random(order)
     texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 50))) for _ in range(150)]
     texts += [None, "", " \n", "ONE One one", "new words only here", "w1 " * 3000]
