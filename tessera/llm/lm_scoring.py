@@ -361,5 +361,6 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
             out.names,
         )
 
-    scored = source.mapInArrow(split, row).repartition(shards, "shard").groupBy("shard").applyInArrow(score, row)
-    return scored.groupBy("batch").applyInArrow(gather, out)
+    # one shard a partition, whatever its number hashes to; and about one batch
+    scored = source.mapInArrow(split, row).repartitionById(shards, "shard").groupBy("shard").applyInArrow(score, row)
+    return scored.repartition(2 * shards, "batch").groupBy("batch").applyInArrow(gather, out)
