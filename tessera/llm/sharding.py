@@ -3,7 +3,8 @@
 Rows with the same text form an atomic group.  Groups are ordered by the digest of their text, and groups
 that share the digest's first 16 bits make one atomic unit, so that at most 65,536 unit sizes describe a corpus
 of any size.  The smallest capacity for which a greedy sweep over those sizes needs no more than the wanted
-shards is found by binary search, and the sweep's cuts at that capacity are the shards.
+shards is found by binary search.  At that capacity, sweeps from both ends bound where each cut may lie, and each is made there as near to an
+equal share as it can be, so that no shard exceeds the capacity and none is left with a remainder.
 
 Slots are numbered without gathering a shard in one task: a row's slot is the number of rows in its shard's earlier
 units, plus those in earlier salts of its unit, plus its place in its (unit, salt) cell.  Salts come from
@@ -12,7 +13,7 @@ the row's id, so a text with very many copies is numbered by many tasks.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F, Window as W
@@ -35,8 +36,25 @@ def greedy_cuts(prefix: list[int], capacity: int) -> list[int]:
     return cuts
 
 
+def even_cuts(prefix: list[int], capacity: int, shards: int) -> list[int]:
+    """Ends of ``shards`` segments under a capacity that allows them, each as near to its equal share of the whole as can be."""
+    units = len(prefix) - 1
+    earliest = [units]  # from the back: the first end of each segment from which the rest still fits
+    for _ in range(shards - 1):
+        earliest.append(bisect_left(prefix, prefix[earliest[-1]] - capacity))
+    cuts, at = [], 0
+    for number, first in enumerate(reversed(earliest[1:]), 1):
+        last = bisect_right(prefix, prefix[at] + capacity) - 1
+        share = prefix[-1] * number / shards
+        near = bisect_left(prefix, share)
+        near -= near > 0 and share - prefix[near - 1] < prefix[near] - share
+        at = min(max(near, first, at), last)
+        cuts.append(at)
+    return cuts
+
+
 def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
-    """Cuts of the contiguous partition into at most ``shards`` segments whose largest segment is smallest."""
+    """Cuts of the contiguous partition into ``shards`` segments whose largest segment is smallest; segments may be empty."""
     if not sizes:
         return []
     prefix = [0, *accumulate(sizes)]
@@ -47,7 +65,7 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
             high = middle
         else:
             low = middle + 1
-    return greedy_cuts(prefix, low)
+    return [*even_cuts(prefix, low, shards), len(sizes)]
 
 
 def shard_by_bytes(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +92,8 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text
     units = slim.groupBy("_unit").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     known = sorted((r[0], r[1]) for r in units.select("_unit", "_bytes").collect())  # 16 ** UNIT_DIGITS at most
     cuts = minimax_cuts([size for _, size in known], shards)
-    firsts = F.array(*[F.lit(known[c][0]) for c in cuts[:-1]]) if len(cuts) > 1 else F.array().cast("array<int>")
-    shard = F.size(F.filter(firsts, lambda first: first <= F.col("_unit"))).cast("int")
+    firsts = [known[c][0] if c < len(known) else 16**UNIT_DIGITS for c in cuts[:-1]]  # the unit that begins each further shard
+    shard = F.size(F.filter(F.array(*[F.lit(x) for x in firsts]).cast("array<int>"), lambda first: first <= F.col("_unit"))).cast("int")
 
     in_shard = W.partitionBy("shard").orderBy("_unit").rowsBetween(W.unboundedPreceding, -1)
     starts = units.withColumn("shard", shard).select(

@@ -23,7 +23,7 @@ def test_minimax_is_optimal(seed):
     sizes = [rng.choice([1, 2, 3, 50, rng.randrange(1, 400)]) for _ in range(rng.randrange(1, 30))]
     shards = rng.randrange(1, 8)
     cuts = minimax_cuts(sizes, shards)
-    assert len(cuts) <= shards and cuts[-1] == len(sizes)
+    assert len(cuts) == shards and cuts[-1] == len(sizes) and cuts == sorted(cuts)
     assert max(sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts)) == best_largest(sizes, shards)
 
 
@@ -33,6 +33,13 @@ def test_greedy_refuses_a_unit_over_the_capacity():
     assert minimax_cuts([], 3) == []
 
 
+def test_no_shard_is_left_with_a_remainder():
+    sizes = [10] * 1000
+    cuts = minimax_cuts(sizes, 24)
+    filled = [b - a for a, b in zip([0, *cuts], cuts)]
+    assert max(filled) - min(filled) <= 1
+
+
 def test_rows_slots_and_groups(spark):
     rng = random.Random(1)
     texts = [None, "", "é", "same", "long " * 4000] + [f"text {rng.randrange(150)}" * rng.randrange(1, 9) for _ in range(400)] + ["same"] * 150
