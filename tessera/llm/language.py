@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .text import raw, slices
+from .text import raw, slices, unused
 
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 256
@@ -123,9 +123,10 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     language first by code point.  Columns of ``df`` named like a result are replaced; all others are kept; repeated rows each get a
     result; an empty table gives no rows.
     """
-    kept = df.drop(pred_col, score_col).withColumns({"_text": F.col(text_col)})
+    own = unused(df, "_text")
+    kept = df.withColumn(own, F.col(text_col)).drop(pred_col, score_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in kept.schema.fields if f.name != "_text"] + [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
+    fields = [f for f in kept.schema.fields if f.name != own] + [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     names = [f.name for f in fields]
 
     def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -146,7 +147,7 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
+            at = batch.schema.get_field_index(own)
             others = [c for i, c in enumerate(batch.columns) if i != at]
             found: list[str] = []
             scores = [np.empty(0)]

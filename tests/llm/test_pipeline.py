@@ -77,3 +77,17 @@ def test_packing_holds_every_copy_once(stages, spark):
     assert firsts == copies
     assert out[5].groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").isEmpty()
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).drop("sequence_id", "offset").collect())) == sorted(map(tuple, out[5].drop("sequence_id", "offset").collect()))
+
+
+def test_stages_take_empty_tables_and_nulls_anywhere(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _text string, lang_pred string, score int, _row int, _id int, kept int"
+    prose = "a plain sentence with more than ten words stands here, and it goes on for some more of them"
+    rows = [(None, None, None, None, None, None, None, None, None, None, None), (1, prose, None, None, None, "t", "p", 3, 4, 5, 6), (None, prose + " twice", "en", "s", 1, None, None, None, None, None, None)]
+    for data, most in (([], 0), (rows, 2)):
+        docs = spark.createDataFrame(data, schema)
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            docs = function(spark, docs, "")
+            assert docs.dtypes == spark.createDataFrame([], schema).dtypes and docs.select("doc_id").distinct().count() <= most
+        if most:
+            assert [tuple(r)[5:] for r in docs.filter("doc_id = 1").distinct().collect()] == [("t", "p", 3, 4, 5, 6)]
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
