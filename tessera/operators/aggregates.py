@@ -102,9 +102,18 @@ def target_correlations(df: DataFrame, features: Sequence[str], config: PanelCon
     return one.select(F.inline(rows)).select("feature", F.coalesce(F.abs("r"), F.lit(0.0)).alias("r_abs"), F.col("r").isNull().alias("undefined"))
 
 
-def lag_autocorrelation(df: DataFrame, columns: Sequence[str], config: PanelConfig = PanelConfig()) -> DataFrame:
-    """Correlation of each column with its entity's previous row."""
+def lag_autocorrelation(df: DataFrame, columns: Sequence[str], config: PanelConfig = PanelConfig(), within_entities: bool = True) -> DataFrame:
+    """Correlation of each column with its entity's previous row; on request the first row of an entity follows the last one of the entity before.
+
+    The latter needs no global sort: it joins each entity's last row to the first row of the next entity.
+    """
     lagged = df.select(*columns, *[F.lag(c).over(ordered(config)).alias(f"_{c}") for c in columns])
+    if not within_entities:
+        first = lambda order, c: F.min_by(F.struct(*columns), order).alias(c)
+        ends = df.groupBy(config.entity).agg(first(F.col(config.period), "first"), first(-F.col(config.period), "last"))
+        # one row per entity in one order: the entities' first and last rows only
+        linked = ends.withColumn("before", F.lag("last").over(W.partitionBy(F.lit(0)).orderBy(config.entity))).filter("before IS NOT NULL")
+        lagged = lagged.union(linked.select(*[F.col(f"first.{c}") for c in columns], *[F.col(f"before.{c}").alias(f"_{c}") for c in columns]))
     one = lagged.agg(*[correlation(F.col(c), F.col(f"_{c}")).alias(c) for c in columns])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).alias("r")) for c in columns])))
 

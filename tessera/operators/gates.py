@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import platform
+import time
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 
@@ -135,3 +136,13 @@ def environment(spark: SparkSession) -> dict:
 def require_cores(spark: SparkSession, least: int) -> None:
     if spark.sparkContext.defaultParallelism < least:
         raise RuntimeError(f"the session has fewer than {least} cores")
+
+
+def cache_is_valid(files: Iterable[str | Path], recorded: Mapping[str, str] | None = None, most_hours: float = 24.0) -> bool:
+    """Whether all files are there and either have their recorded digests or, without a record, are young enough."""
+    files = [Path(f) for f in files]
+    if not all(f.exists() for f in files):
+        return False
+    if recorded is not None:
+        return all(recorded.get(f.name) == file_digest(f) for f in files)
+    return all(time.time() - f.stat().st_mtime < most_hours * 3600 for f in files)

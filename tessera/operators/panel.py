@@ -113,3 +113,8 @@ def entity_dimension(df: DataFrame, config: PanelConfig = PanelConfig()) -> Data
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Frames with the same or overlapping columns, one below the other."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def validation_sample(df: DataFrame, rows: int = 1000, seed: int = 42, config: PanelConfig = PanelConfig()) -> DataFrame:
+    """The same ``rows`` rows in every run, chosen by a hash of their keys."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *config.keys), *config.keys).limit(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import complement_rate, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, panel as P, prep, selection as S
+from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, panel as P, prep, runner as R, selection as S
 from tessera.plans import panels as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,11 +234,11 @@ def missing_sql(key: str | None) -> str:
 for _name, _key in (("null_accounting", None), ("missing_by_period", "period"), ("missing_by_stratum", "entity_stratum")):
     query(_name, missing_sql(_key))(lambda spark, folder, key=_key: A.missing_by(D.user_day(spark, folder), D.INDICATORS, key))
 
-R = "CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END"
+CORR = "CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END"
 
 
 def corr_sql(rows: str, x: str, y: str) -> str:
-    return f"(SELECT {R} FROM (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {rows} WHERE {x} IS NOT NULL AND {y} IS NOT NULL))"
+    return f"(SELECT {CORR} FROM (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {rows} WHERE {x} IS NOT NULL AND {y} IS NOT NULL))"
 
 
 PAIRS = [(a, b) for i, a in enumerate(D.INDICATORS) for b in D.INDICATORS[i + 1 :]]
@@ -268,6 +268,11 @@ def _(spark, folder):
     return A.lag_autocorrelation(month(spark, folder), MONTHLY)
 
 
+@query("lag1_autocorr_crossing", f"WITH {T_MONTH}, k AS (SELECT *, {', '.join(f'lag({c}) OVER (ORDER BY entity_id, period) AS l_{c}' for c in MONTHLY)} FROM t) " + " UNION ALL ".join(f"SELECT '{c}' AS indicator, round({corr_sql('k', c, 'l_' + c)}, 6) + 0.0 AS r" for c in MONTHLY))
+def _(spark, folder):
+    return A.lag_autocorrelation(month(spark, folder), MONTHLY, within_entities=False)
+
+
 @query("frame_profile", f"WITH p AS ({D.USER_DAY}) " + " UNION ALL ".join(f"SELECT '{c}' AS indicator, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) + 0.0 AS missing_percent, coalesce(max({c}) - min({c}), 0) = 0 AS constant, count(*) FILTER (isinf({c})) AS n_infinite FROM p" for c in D.INDICATORS))
 def _(spark, folder):
     return A.profile(D.user_day(spark, folder), D.INDICATORS)
@@ -290,7 +295,7 @@ def _(spark, folder):
 
 @query("residual_dependence", f"""WITH {T_MONTH}, x AS (SELECT entity_id, period, target - avg(target) OVER (PARTITION BY entity_id) AS c FROM t),
 j AS (SELECT k.lag, a.c AS x, b.c AS y FROM x a JOIN (SELECT unnest(range(1, 7)) AS lag) k ON true JOIN x b ON b.entity_id = a.entity_id AND b.period = a.period - k.lag)
-SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n_pairs, round(CASE WHEN count(*) >= 30 THEN {R} END, 6) + 0.0 AS r FROM j GROUP BY lag""")
+SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n_pairs, round(CASE WHEN count(*) >= 30 THEN {CORR} END, 6) + 0.0 AS r FROM j GROUP BY lag""")
 def _(spark, folder):
     return A.residual_dependence(month(spark, folder), "target")
 
@@ -616,6 +621,12 @@ def _(spark, folder):
     return model.predict(test).select("entity_id", "period", F.col("target").alias("y_true"), "y_pred")
 
 
+@query("fold_runner")
+def _(spark, folder):
+    df = P.with_lags(day(spark, folder))
+    return R.run_fold(df, PERIODS[-1], ["avg_value", "click_rate", "target_lag_2", "target_lag_3"]).metrics
+
+
 @query("random_forest_hierarchical")
 def _(spark, folder):
     train, _, test, features = modelled(spark, folder)

@@ -79,3 +79,32 @@ def test_fold_records_and_phases(spark, caplog):
         with pytest.raises(KeyError):
             work(True)
     assert "work took" in caplog.text and "work failed" in caplog.text
+
+
+def test_fold_runner_keeps_the_test_part_unseen(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import panel as P, runner
+
+    df = P.with_lags(panel(spark).withColumn("z", F.col("target") * 0.05 + F.col("period") % 7))
+    fold = L.walk_forward(FoldConfig(1, 24, 8, 2, 2))[-1]
+    features = ["x", "z", "target_lag_2"]
+    one = runner.run_fold(df, fold, features)
+    changed = df.withColumn("x", F.when(F.col("period") >= fold.test_start, F.col("x") * 100).otherwise(F.col("x")))
+    two = runner.run_fold(changed, fold, features)
+    assert one.medians == two.medians and one.alpha == two.alpha and one.shrink == two.shrink and one.audit["status"] == "ran"
+    assert {(r.split, r.model) for r in one.metrics.collect()} == {("val", "ridge_hierarchical"), ("test", "ridge_hierarchical")}
+    with pytest.raises(ValueError):
+        runner.run_fold(df.drop("z"), fold, features)
+
+
+def test_sample_and_cache(spark, tmp_path):
+    from tessera.operators import panel as P
+
+    df = panel(spark)
+    assert sorted(P.validation_sample(df, 20).collect()) == sorted(P.validation_sample(df.repartition(7), 20).collect())
+    file = tmp_path / "a.json"
+    assert not G.cache_is_valid([file])
+    file.write_text("x")
+    assert G.cache_is_valid([file]) and not G.cache_is_valid([file], most_hours=0)
+    assert G.cache_is_valid([file], {"a.json": G.file_digest(file)}) and not G.cache_is_valid([file], {"a.json": "0"})
