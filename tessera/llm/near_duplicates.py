@@ -37,15 +37,17 @@ BLOCK = 1024
 
 
 @lru_cache(maxsize=1)
-def _permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """The permutation that places shingles, and the one read from there on, continued past the circle's end."""
     rng = np.random.default_rng(11)
     first, second = rng.permutation(CIRCLE).astype(np.int32), rng.permutation(CIRCLE).astype(np.uint32)
-    return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:coordinates]]), coordinates)
+    return first, np.concatenate([second, second[:SKETCH]])
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """Circulant MinHash of a set: coordinate k is the least value of the second permutation, shifted by k, over the set."""
-    place, shifted = _permutations(coordinates)
+    place, values = _permutations()
+    shifted = np.lib.stride_tricks.sliding_window_view(values, coordinates)
     spots = place[(shingles >> np.uint64(44)).astype(np.int64)]
     step = max(1, (1 << 20) // coordinates)
     out = shifted[spots[:step]].min(axis=0)
