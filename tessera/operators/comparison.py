@@ -148,7 +148,7 @@ def numbered_predictions(df: DataFrame, entity: str, period: str) -> DataFrame:
     return df.select("fold", "model", place.alias("row"), F.col(entity).alias("entity"), "y_true", "y_pred")
 
 
-def median_gap_to_baseline(scores: DataFrame, baselines: DataFrame) -> DataFrame:
+def gap_to_baseline(scores: DataFrame, baselines: DataFrame) -> DataFrame:
     """``fold, model, gap``: a model's R2 less that of the fold's best baseline."""
     best = baselines.groupBy("fold").agg(F.max("r2").alias("best_r2"))
     return scores.join(best, "fold").select("fold", "model", (F.col("r2") - F.col("best_r2")).alias("gap"))

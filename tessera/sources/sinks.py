@@ -49,6 +49,12 @@ def markdown(df: DataFrame, digits: int = 3) -> str:
     return "\n".join([*lines, *["| " + " | ".join(_shown(v, digits) for v in r) + " |" for r in bounded_rows(df)]])
 
 
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """A result table as one CSV file with a header."""
+    bounded = df.sparkSession.createDataFrame(bounded_rows(df.orderBy(*order) if order else df), df.schema)
+    bounded.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def latex(df: DataFrame, caption: str, digits: int = 3) -> str:
     escape = lambda text: "".join(f"\\{c}" if c in "&%$#_{}" else c for c in text)
     rows = [" & ".join(escape(_shown(v, digits)) for v in r) + r" \\" for r in bounded_rows(df)]

@@ -63,6 +63,16 @@ def test_reports(spark):
     assert N.agreed({"a": 0.1 + 0.2, "b": 0.3}) == 0.1 + 0.2 and N.agreed({"a": 1.0, "b": 1.1}) is None
 
 
+def test_gap_to_baselines_and_spent_dependence(spark):
+    schema = "fold int, model string, r2 double"
+    models = spark.createDataFrame([(f, "m", 0.5 + 0.01 * f) for f in range(8)], schema)
+    baselines = spark.createDataFrame([(f, b, v) for f in range(8) for b, v in (("a", 0.4), ("b", 0.53))], schema)
+    report = N.baseline_report(models, baselines, rounds=500)
+    assert [(r["model"], r["n_folds"], r["wins"]) for r in report] == [("m", 8, 4)] and report[0]["low"] < report[0]["mean_gap"] < report[0]["high"]
+    dependence = spark.createDataFrame([(1, 0.5), (2, -0.2), (3, 0.05), (4, None)], "lag int, r double")
+    assert N.dependence_spent_at(dependence) == 3 and N.dependence_spent_at(dependence, 0.01) is None
+
+
 def test_fold_records_and_phases(spark, caplog):
     df, folds = panel(spark), L.walk_forward(FoldConfig(1, 24, 8, 2, 2))
     assert N.fold_records(df, folds) == L.materialise(df, folds).count()

@@ -146,6 +146,8 @@ def test_sinks(spark, tmp_path):
         K.write_predictions(df.union(df), f"{tmp_path}/q")
     table = spark.createDataFrame([("a_b", 1.23456, None)], "name string, v double, w int")
     assert K.markdown(table, 2).splitlines()[-1] == "| a_b | 1.23 |  |" and r"a\_b & 1.235 &" in K.latex(table, "50 %")
+    K.write_csv(table, f"{tmp_path}/csv")
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/csv", header=True).collect()] == [("a_b", "1.23456", None)]
     panel = spark.createDataFrame([("b", 1, 1.0), ("a", 2, float("nan")), ("a", 1, 3.0)], "entity_id string, period int, x double")
     K.write_panel(panel, f"{tmp_path}/panel")
     assert [tuple(r) for r in R.panel(spark, f"{tmp_path}/panel").orderBy("entity_id", "period").collect()] == [("a", 1, 3.0), ("a", 2, None), ("b", 1, 1.0)]
