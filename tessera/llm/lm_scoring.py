@@ -295,6 +295,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc
 
     Returns ``<id_col>, n_tokens, n_known, train_tokens, base_score, score``.  Null and empty texts have one token, the end.  Repeated rows count and are
     scored one by one.  Without training rows every word is unknown.  An empty table gives no rows.  Other columns are ignored, whatever their names.
+    ``df`` is read twice and should come from storage, so that a task that runs again meets the same rows in the same order.
     """
     source = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(id_col).alias("_id"))
     known_words = stage(vocabulary(source), "lm-words")

@@ -22,9 +22,9 @@ SALTS = 256
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts as none."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    words = F.size(F.split(inner, r"[\x20\x09-\x0D]+", -1))
-    return F.when(inner == "", F.lit(0)).otherwise(words).cast("long")
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1)
+    empty = lambda part: F.when(part == "", 1).otherwise(0)
+    return F.greatest(F.size(parts) - empty(F.get(parts, F.lit(0))) - empty(F.element_at(parts, -1)), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -60,9 +60,10 @@ def offset(source: Column, seed: str) -> Column:
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     return (
-        df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"), *more)
+        df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"), F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).alias("_name"), *more)
         .withColumn("_bin", F.least((F.col("_size") / BIN_WIDTH).cast("int"), F.lit(BINS - 1)))
-        .withColumn("_salt", F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int"))
+        .withColumn("_salt", F.conv(F.substring(F.md5(F.col("_name").cast("binary")), 1, 2), 16, 10).cast("int"))
+        .drop("_name")
     )
 
 

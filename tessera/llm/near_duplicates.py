@@ -87,9 +87,9 @@ def _int64_lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def described(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id, n, key, bands`` for every row; a set without shingles has neither key nor bands."""
-    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = T.StructType([source.schema["_id"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """``_id, _hash, n, key, bands`` for every row; a set without shingles has neither key nor bands."""
+    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    schema = T.StructType([source.schema["_id"], source.schema["_hash"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +98,7 @@ def described(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
                 n.append(len(shingles))
                 keys.append(_key(shingles) if len(shingles) else None)
                 bands.append(band_keys(shingles) if len(shingles) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _int64_lists(bands)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _int64_lists(bands)], schema.names)
 
     return source.mapInArrow(describe, schema)
 
@@ -184,15 +184,20 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     """
     rows = stage(described(df, shingle, id_col, text_col), "near-rows")
     classes = stage(
-        rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("_id").alias("least_id"), F.any_value("bands").alias("bands")), "near-classes"
+        rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
+            F.min("_id").alias("least_id"), F.min(F.struct("_hash", "_id")).alias("example"), F.any_value("bands").alias("bands")
+        ),
+        "near-classes",
     )
     entries = classes.select("key", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = stage(entries.join(shared, "bucket"), "near-members")
     popular = members.groupBy("key").agg(F.sum("size").alias("popularity"))
-    wanted = classes.join(popular, "key").select("key", "least_id")
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    sets = stage(full_sets(texts.join(wanted, texts["_id"].eqNullSafe(wanted["least_id"])), shingle), "near-sets")
+    # one text of each class, by hash and id: rows without an id must not all meet
+    wanted = classes.join(popular, "key").select("key", "example.*")
+    texts = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    same = (texts["_hash"] == wanted["_hash"]) & texts["_id"].eqNullSafe(wanted["_id"])
+    sets = stage(full_sets(texts.join(wanted, same), shingle), "near-sets")
 
     ranked = members.join(popular, "key")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("popularity", "key"))["key"].alias("a"))

@@ -156,7 +156,7 @@ def pack_windows(
     """
     pieces = stage(
         cut_documents(df, tokenizer_path, window, end_id, id_col, text_col).withColumn(
-            "_salt", F.pmod(F.xxhash64(F.col("_id").cast("string"), "start"), F.lit(SALTS)).cast("int")
+            "_salt", F.pmod(F.xxhash64(F.col("_id").cast("string"), "start", "ids_crc32"), F.lit(SALTS)).cast("int")
         ),
         "packing",
     )

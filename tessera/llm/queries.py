@@ -125,7 +125,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """,
     "op9_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), text, '') AS name FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -139,7 +139,7 @@ WITH d AS (
          CAST(('0x' || substr(md5('mix' || coalesce(source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY least(d.size // 16, 4095), substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 2), d.size, d.doc_id) - 1 AS k
+         row_number() OVER (PARTITION BY d.source ORDER BY least(d.size // 16, 4095), substr(md5(d.name), 1, 2), d.size, d.doc_id) - 1 AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,

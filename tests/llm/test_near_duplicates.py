@@ -65,6 +65,14 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert run(spark, rows) == brute(rows)
 
 
+def test_rows_without_ids_do_not_all_meet(spark):
+    rng = random.Random(3)
+    words = lambda: [f"w{rng.randrange(500)}" for _ in range(30)]
+    texts = [t for _ in range(20) for t in family(rng, words(), 3, 2)]
+    rows = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts[:10])]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_and_single(spark):
     assert run(spark, []) == []
     assert run(spark, [(4, None)]) == [(4, 0, 4, True)]
