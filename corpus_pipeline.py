@@ -18,18 +18,27 @@ from tessera.llm.quality import perplexity_bands, quality_rules, train_perplexit
 from tessera.llm.scratch import stage as written
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The text, and all else in one column, so that an operator's results can't clash with a column of the table."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _together(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: a null text or one without a letter goes."""
     model = train_language_model(docs)
-    found = identify_language(docs.select(F.struct("*").alias("_row"), "text"), model)
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")
+    found = identify_language(_apart(docs), model)
+    return _together(found.filter(F.col("lang_pred") != UNDETERMINED), docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their language's perplexity band keep."""
     model = train_perplexity(docs)
-    judged = quality_rules(docs.select(F.struct("*").alias("_row"), "text", "lang"), model, perplexity_bands(docs, model))
-    return judged.filter("kept").select("_row.*")
+    judged = quality_rules(_apart(docs), model, perplexity_bands(docs, model), lang_col="_row.lang")
+    return _together(judged.filter("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,10 +123,13 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     language first by code point.  Columns of ``df`` named like a result are replaced; all others are kept; repeated rows each get a
     result; an empty table gives no rows.
     """
-    own = unused(df, "_text")
-    kept = df.withColumn(own, F.col(text_col)).drop(pred_col, score_col)
+    kept = df.drop(pred_col, score_col)
+    own = text_col if text_col in kept.columns else unused(df, "_text")  # a kept text goes to Python once
+    if own != text_col:
+        kept = df.withColumn(own, F.col(text_col)).drop(pred_col, score_col)
+    hidden = {own} - {text_col}
     shared = df.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in kept.schema.fields if f.name != own] + [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
+    fields = [f for f in kept.schema.fields if f.name not in hidden] + [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     names = [f.name for f in fields]
 
     def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -148,7 +151,7 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(own)
-            others = [c for i, c in enumerate(batch.columns) if i != at]
+            others = [c for c, name in zip(batch.columns, batch.schema.names) if name not in hidden]
             found: list[str] = []
             scores = [np.empty(0)]
             for lo, hi in slices(batch.column(at), SLICE_BYTES):
