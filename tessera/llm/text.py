@@ -53,15 +53,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        table = np.full(size, b, np.uint64)
-        table[0] = 1
-        out.append(np.multiply.accumulate(table))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of a base and of its inverse, ``size`` at least; one table serves all smaller sizes."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        base, tables = 0xD1342543DE82EF95, []
+        for b in (base, pow(base, -1, 1 << 64)):
+            table = np.full(1 << (size - 1).bit_length(), b, np.uint64)
+            table[0] = 1
+            tables.append(np.multiply.accumulate(table, out=table))
+        _POWERS[:] = tables
+    return _POWERS
 
 
 @lru_cache(maxsize=2)
@@ -76,7 +80,7 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: boo
     """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand and in every process."""
     if not len(begin):
         return np.empty(0, np.uint64)
-    powers, inverses = _powers(1 << max(16, int(len(data)).bit_length()))
+    powers, inverses = _powers(max(1 << 16, len(data) + 1))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values(lower)[data] * powers[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
