@@ -63,6 +63,12 @@ def test_reports(spark):
     assert N.agreed({"a": 0.1 + 0.2, "b": 0.3}) == 0.1 + 0.2 and N.agreed({"a": 1.0, "b": 1.1}) is None
 
 
+def test_more_pairs_than_the_driver_takes_are_refused(spark):
+    df = spark.range(33_334).selectExpr("CAST(id AS int) AS fold", "explode(array('x', 'y', 'z')) AS architecture", "1.0D AS r2")
+    with pytest.raises(ValueError, match="more than 100000 rows"):
+        N.metric_equivalence(df, "r2", 0.05, rounds=10)
+
+
 def test_gap_to_baselines_and_spent_dependence(spark):
     schema = "fold int, model string, r2 double"
     models = spark.createDataFrame([(f, "m", 0.5 + 0.01 * f) for f in range(8)], schema)
