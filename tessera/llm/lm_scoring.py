@@ -28,7 +28,7 @@ from .scratch import stage
 from .text import PRIME, mixed, raw, slices, words
 
 PRIOR = 500.0
-HIGHER = 0.2
+HIGHER = 0.01
 SLICE_BYTES = 4 << 20
 SHARD_TOKENS = 1_000_000
 END, START = np.uint64(0x5EED0E17D0000001), np.uint64(0x5EED057A27000003)
@@ -290,7 +290,7 @@ def vocabulary(df: DataFrame) -> DataFrame:
     return df.filter("_train").select("_text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(df: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all rows of ``df`` by a model learnt from those for which ``train`` holds.
 
     Returns ``<id_col>, n_tokens, n_known, train_tokens, base_score, score``.  Null and empty texts have one token, the end.  Repeated rows count and are

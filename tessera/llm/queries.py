@@ -73,7 +73,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = in_fold(F.col("doc_id"), 7, 2)
-    return score_texts(_table(spark, sf_dir, "documents"), ~held_out, order=2).withColumn("held_out", held_out)
+    return score_texts(_table(spark, sf_dir, "documents"), ~held_out, order=3).withColumn("held_out", held_out)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

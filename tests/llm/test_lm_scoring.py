@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import lm_scoring as lm
 from tessera.llm.language import in_fold
+from tessera.llm.queries import op10_lm_scoring
 
 
 def split(text):
@@ -74,3 +75,11 @@ def test_empty_and_untrained(spark):
 def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in (None, 0, 5, 123456789)], "doc_id long").withColumn("f", in_fold(F.col("doc_id"), 7, 2)).collect()
     assert [r.f for r in rows] == [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2 for r in rows]
+
+
+def test_the_registered_query_looks_two_words_back(spark, tmp_path):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, "a b c" if i % 2 else "x b d") for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2] + list(zip(held, ("a b c", "a b d")))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in op10_lm_scoring(spark, str(tmp_path)).collect()}
+    assert score[held[0]] > score[held[1]] + 1
