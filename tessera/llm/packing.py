@@ -10,6 +10,7 @@ among the rests of its length.  Ranks come from counts per (length, salt) cell,
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from array import array
@@ -41,23 +42,31 @@ class PartTokenizer:
 
     The word pattern never joins a character that is no white space to a space after it, so a text may be cut before each such space, and a
     part met before need not be encoded again.  Texts with parts that do not end in a character known to be no white space are encoded
-    whole.  Special tokens' strings are ordinary text.
+    whole.  Strings of the file's added tokens are ordinary text or, with ``added``, those tokens' ids, and the texts between them are encoded apart.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special, byte = {t["content"] for t in spec["added_tokens"]}, byte_of()
+        special, byte = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}, byte_of()
         ranks = {bytes(byte[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
         self._encode = tiktoken.Encoding("byte-level", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        if added and any(t[x] for t in spec["added_tokens"] for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take white space or stand for whole words only")
+        self._added = special
+        longest_first = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
+        self._mark = re.compile(f"({longest_first})") if added and special else None
         self.heads: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._encode(text)).tobytes()
 
+    def _spliced(self, text: str) -> bytes:
+        return b"".join(self._added[x] if i % 2 else self._whole(x) for i, x in enumerate(self._mark.split(text)))
+
     def _learn(self, known: dict[str, bytes | None], found: set[str], prefix: str) -> None:
         if len(known) + len(found) > CACHED_PARTS:
             known.clear()
@@ -72,6 +81,9 @@ class PartTokenizer:
         self._learn(self.parts, set().union(*(s[1:] for s in split)), " ")
         out = []
         for text, parts in zip(texts, split):
+            if self._mark and self._mark.search(text):
+                out.append(self._spliced(text))
+                continue
             ids = [self.heads[parts[0]], *map(self.parts.__getitem__, parts[1:])]
             out.append(self._whole(text) if None in ids else b"".join(ids))
         return out
@@ -84,7 +96,7 @@ def cut_documents(df: DataFrame, tokenizer_path: str, window: int, end_id: int,
     fields = [source.schema["_id"], *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PartTokenizer(tokenizer_path)
+        tokenizer = PartTokenizer(tokenizer_path, added=True)
         for batch in batches:
             for lo, hi in slices(batch.column(1), SLICE_BYTES):
                 rows, columns = [], ([], [], [], [])

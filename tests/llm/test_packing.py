@@ -24,6 +24,16 @@ def test_parts_give_the_ids_of_whole_texts():
     assert [list(array("I", x)) for x in PartTokenizer(PATH).encode(texts)] == whole(texts)
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    end = "<|endoftext|>"
+    texts = [*ODD, end, end + end, f" {end} ", f"a{end}b  c", f"a  {end}\n\n b", "<|endoftext|", f"<{end}>", f"é {end} 　{end}x"]
+    expected = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in expected[ODD.index("x <|endoftext|> y")]
+    assert [list(array("I", x)) for x in PartTokenizer(PATH, added=True).encode(texts)] == expected
+    out = pack_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id: r.ids_crc32 for r in out} == {i: zlib.crc32(array("I", [*ids, 1]).tobytes()) for i, ids in enumerate(expected)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fill_leaves_the_least_slack(seed):
     rng = random.Random(seed)
