@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, quality rules, near-duplicates, mixing to target weights, packing.
 
 Each stage takes what the one before kept, written as Parquet and read again, and its decisions take effect: documents without a
-determined language go, documents that the quality rules reject go, one document of each group of near-duplicates stays, and the mix repeats or leaves out documents.
+determined language go and the others carry the predicted language from then on, documents that the quality rules reject go, one document of each group of near-duplicates stays,
+and the mix repeats or leaves out documents.
 All stages but the last return the columns of ``documents``.
 """
 
@@ -17,6 +18,9 @@ from tessera.llm.packing import pack_windows
 from tessera.llm.quality import perplexity_bands, quality_rules, train_perplexity
 from tessera.llm.scratch import stage as written
 
+#: A language's posterior probability must reach this: no other language, nor all others together, can be more probable.
+LEAST_POSTERIOR = 0.5
+
 
 def _apart(docs: DataFrame) -> DataFrame:
     """The text, and all else in one column, so that an operator's results can't clash with a column of the table."""
@@ -28,10 +32,17 @@ def _together(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: a null text or one without a letter goes."""
+    """Documents whose language can be told, with the predicted language as ``lang``.
+
+    A null text or one without a letter goes, and so does one for which no language is more probable than all others together.  If no row has a language
+    there is none to predict: texts with letters stay as they are.
+    """
     model = train_language_model(docs)
-    found = identify_language(_apart(docs), model)
-    return _together(found.filter(F.col("lang_pred") != UNDETERMINED), docs.columns)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = identify_language(_apart(docs), model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_POSTERIOR))
+    told = F.col("lang_pred").cast(docs.schema["lang"].dataType).alias("lang")
+    return found.select(*[told if c == "lang" else F.col(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,25 @@ def test_stages_take_empty_tables_and_nulls_anywhere(spark):
         if most:
             assert [tuple(r)[5:] for r in docs.filter("doc_id = 1").distinct().collect()] == [("t", "p", 3, 4, 5, 6)]
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+ENGLISH = ["the house stands by the river and the children are there", "there is nothing in this house that they want", "which of these words would you rather have"]
+GERMAN = ["das haus steht am fluss und die kinder sind auch dort", "es gibt nichts in diesem haus was sie haben wollen", "welche von diesen worten willst du lieber haben"]
+
+
+def test_the_predicted_language_takes_effect(spark):
+    rows = [(i, t + f" {t}", lang) for i, (t, lang) in enumerate([(t, "en") for t in ENGLISH * 3] + [(t, "de") for t in GERMAN * 3])]
+    rows += [(100, "die kinder wollen das haus am fluss haben", None), (101, "the children would rather have the house", None), (102, "die worte die sie haben wollen", "en"), (103, "12 !", None)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert (got[100], got[101], got[102]) == ("de", "en", "de") and 103 not in got and len(got) == len(rows) - 1
+
+
+def test_ambiguous_texts_go(spark):
+    rows = [(0, "aaaa", "l0"), (1, "bbbb", "l1"), (2, "cccc", "l2"), (3, "ddd", None)]
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()} == {0, 1, 2}
+
+
+def test_without_any_language_texts_with_letters_stay(spark):
+    rows = [(0, "the house", None), (1, "12 !", None), (2, None, None), (3, "дом", None)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert {(r.doc_id, r.lang) for r in got} == {(0, None), (3, None)}
