@@ -42,16 +42,18 @@ def _read(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kth_best(queries: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, seed_ids: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score of each query among the seeds, its own rows apart; minus infinity if there are fewer."""
-    if len(seeds) < k:
+    """The k-th best score of each query among the seeds' ids, its own apart, each with its best row; minus infinity if there are fewer."""
+    by_id = np.argsort(seed_ids, kind="stable")
+    distinct, first = np.unique(seed_ids[by_id], return_index=True)
+    if len(distinct) < k:
         return np.full(len(queries), -np.inf)
-    scores = queries @ seeds.T
-    scores[query_ids[:, None] == seed_ids[None, :]] = -np.inf
-    return np.partition(scores, len(seeds) - k, axis=1)[:, len(seeds) - k]
+    scores = np.maximum.reduceat(queries @ seeds[by_id].T, first, axis=1)
+    scores[query_ids[:, None] == distinct[None, :]] = -np.inf
+    return np.partition(scores, len(distinct) - k, axis=1)[:, len(distinct) - k]
 
 
 def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[int, int, float]]:
-    """(query, vec_id, score) of up to ``k`` best vectors of a block for each query, none that is under its threshold."""
+    """(query, vec_id, score) of up to ``k`` best ids of a block for each query, each with its best vector, none that is under its threshold."""
     lengths = np.sqrt((vectors * vectors).sum(axis=1))
     by_length = np.argsort(-lengths, kind="stable")
     negated = -lengths[by_length]
@@ -77,7 +79,9 @@ def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[
         scores, own = vectors[chosen] @ query, ids[chosen]
         keep = (own != query_id) & (scores >= threshold)
         scores, own = scores[keep], own[keep]
-        best = np.lexsort((own, -scores))[:k]
+        best = np.lexsort((own, -scores))
+        _, first = np.unique(own[best], return_index=True)
+        best = best[np.sort(first)[:k]]
         found += zip([query_id] * len(best), own[best].tolist(), scores[best].tolist())
     return found
 

@@ -39,6 +39,13 @@ def test_matches_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 5, 10)
 
 
+def test_an_id_with_many_vectors_takes_one_rank(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [100.0 + i, 0.0]) for i in range(8)] + [(i, [float(i), 1.0]) for i in range(2, 10)]
+    expected = brute(rows, 5, 10)
+    assert len(expected) == 5
+    assert run(spark, rows) == expected
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
     assert run(spark, []) == []
