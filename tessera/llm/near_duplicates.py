@@ -182,6 +182,11 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     nothing.  Rows are nodes: repeated rows are linked by their equal sets, and all rows that carry a component's smallest id are kept.  A null id
     is never a component's smallest id unless the component has no other.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
+    return _components(df, shingle, percent, id_col, text_col).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _components(df: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _hash, n, component_id, kept`` of every row, the hash being that of its text."""
     rows = stage(described(df, shingle, id_col, text_col), "near-rows")
     classes = stage(
         rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
@@ -216,8 +221,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = rooted.join(least, "root").select("key", "component_id")
     answer = F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return rows.select("_id", "n", "key").join(component, "key", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), answer.alias("component_id"), F.col("_id").eqNullSafe(answer).alias("kept")
+    return rows.select("_id", "_hash", "n", "key").join(component, "key", "left").select(
+        "_id", "_hash", "n", answer.alias("component_id"), F.col("_id").eqNullSafe(answer).alias("kept")
     )
 
 
@@ -226,5 +231,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_
 
     Rows without an id stay if a component has no other rows.
     """
-    kept = near_duplicates(df, shingle, percent, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates([id_col, text_col])
+    found = _components(df, shingle, percent, id_col, text_col).filter("kept")
+    kept = found.select(F.col("_id").alias("_kept_id"), F.col("_hash").alias("_kept_hash")).distinct()
+    same = df[id_col].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(df[text_col]) == kept["_kept_hash"])  # each row follows its own component
+    return df.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])

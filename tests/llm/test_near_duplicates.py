@@ -4,6 +4,7 @@ import pytest
 
 from tessera.llm import near_duplicates as nd
 from tessera.llm.components import connected_components
+from tessera.llm.near_duplicates import drop_near_duplicates
 
 
 def brute(rows, size=5, percent=75):
@@ -94,3 +95,11 @@ def test_components(spark):
         if a is not None and b is not None and a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for x in parent}
+
+
+def test_rows_without_or_with_shared_ids_follow_their_own_component(spark):
+    prose = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"term{i}" for i in range(80))
+    rows = [(1, prose), (None, prose + " more"), (None, "a text of its own without any copy"), (2, other), (7, other + " more"), (7, "another text that has no copy at all")]
+    got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {rows[i] for i in (0, 2, 3, 5)} and len(got) == 4
