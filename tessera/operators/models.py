@@ -129,3 +129,20 @@ def fit_forest(train: DataFrame, features: Sequence[str], depth: int = 6, leaf:
         featuresCol="_features", labelCol=config.target, predictionCol="y_pred", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed
     ).fit(prepared(rows))
     return lambda df: forest.transform(prepared(df)).drop("_features", "entity_effect")
+
+
+def choose_forest(
+    train: DataFrame, validation: DataFrame, features: Sequence[str], depths: Sequence[int] = (5, 6, 7), leaves: Sequence[int] = (5, 8, 12), trees: int = 200, seed: int = 42, config: PanelConfig = PanelConfig()
+):
+    """The forest of least validation error over depths and leaves, the first of equals; all are fit on the training part alone."""
+    train, validation = train.persist(), validation.persist()
+    best, least = None, None
+    for depth in depths:
+        for leaf in leaves:
+            model = fit_forest(train, features, depth=depth, leaf=leaf, trees=trees, seed=seed, config=config)
+            error = model(validation).agg(F.avg((F.col(config.target) - F.col("y_pred")) ** 2)).first()[0]
+            if best is None or error is not None and (least is None or error < least):
+                best, least = model, error
+    train.unpersist()
+    validation.unpersist()
+    return best

@@ -577,7 +577,7 @@ def _(spark, folder):
 
 @query("latency_equivalence")
 def _(spark, folder):
-    rows = N.latency_equivalence(D.runs(spark, folder), dict.fromkeys(C.PHASES, 0.1), rounds=2000)
+    rows = N.latency_equivalence(D.runs(spark, folder), dict.fromkeys(C.PHASES, 0.1))
     return spark.createDataFrame([(r["phase"], r["a"], r["b"], r["low"], r["high"], r["method"], r["decision"]) for r in rows], "phase string, a string, b string, low double, high double, method string, decision string")
 
 
@@ -602,11 +602,8 @@ def _(spark, folder):
     return spark.createDataFrame([(f, found.correlations[f]) for f in found.features], "feature string, r_abs double")
 
 
-def modelled(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    fold = PERIODS[-1]
-    features = ["avg_value", "click_rate", "view_value"]
-    df = P.with_lags(day(spark, folder))
-    features = [*features, "target_lag_2", "target_lag_3"]
+def modelled(df: DataFrame, fold: L.Fold) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    features = ["avg_value", "click_rate", "view_value", "target_lag_2", "target_lag_3"]
     parts = [L.split_of(df, fold, s).filter("target IS NOT NULL") for s in L.SPLITS]
     statistics = prep.train_statistics(parts[0], features)
     parts = [prep.impute(p, statistics) for p in parts]
@@ -614,20 +611,27 @@ def modelled(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]
     return (*[prep.scale(p, scales) for p in parts], features)
 
 
+def over_folds(spark, folder, predict) -> DataFrame:
+    """Test predictions of every fold; ``predict`` takes the fold's parts and features."""
+    df = P.with_lags(day(spark, folder)).persist()
+    found = [predict(*modelled(df, fold)).select(F.lit(fold.fold).alias("fold"), "entity_id", "period", F.col("target").alias("y_true"), "y_pred") for fold in PERIODS]
+    return reduce(DataFrame.union, found)
+
+
 @query("ridge_hierarchical")
 def _(spark, folder):
-    train, validation, test, features = modelled(spark, folder)
-    model = M.choose_shrink(M.fit_hierarchical(train, features), validation, ProtocolConfig().shrinkage)
-    return model.predict(test).select("entity_id", "period", F.col("target").alias("y_true"), "y_pred")
+    def predict(train, validation, test, features):
+        return M.choose_shrink(M.fit_hierarchical(train, features), validation, ProtocolConfig().shrinkage).predict(test)
+
+    return over_folds(spark, folder, predict)
 
 
 @query("fold_runner")
 def _(spark, folder):
-    df = P.with_lags(day(spark, folder))
-    return R.run_fold(df, PERIODS[-1], ["avg_value", "click_rate", "target_lag_2", "target_lag_3"]).metrics
+    df = P.with_lags(day(spark, folder)).persist()
+    return reduce(DataFrame.union, [R.run_fold(df, fold, ["avg_value", "click_rate", "target_lag_2", "target_lag_3"]).metrics for fold in PERIODS])
 
 
 @query("random_forest_hierarchical")
 def _(spark, folder):
-    train, _, test, features = modelled(spark, folder)
-    return M.fit_forest(train, features, trees=50)(test).select("entity_id", "period", F.col("target").alias("y_true"), "y_pred")
+    return over_folds(spark, folder, lambda train, validation, test, features: M.choose_forest(train, validation, features)(test))

@@ -119,3 +119,26 @@ def test_group_dealing_and_forest(spark):
     df = spark.createDataFrame(rows, "entity_id string, period int, target double, x double")
     got = M.fit_forest(df, ["x"], depth=5, leaf=3, trees=20)(df).collect()
     assert len(got) == 120 and np.corrcoef([r.target for r in got], [r.y_pred for r in got])[0, 1] > 0.8
+
+
+def test_forest_is_chosen_on_the_validation_part(spark, monkeypatch):
+    tried = []
+
+    def fit(train, features, depth, leaf, trees, **_):
+        tried.append((depth, leaf, trees))
+        return lambda df: df.withColumn("y_pred", F.col("target") + abs(depth - 7) + abs(leaf - 8))
+
+    monkeypatch.setattr(M, "fit_forest", fit)
+    df = spark.createDataFrame([("a", 1, 2.0, 1.0)], "entity_id string, period int, target double, x double")
+    assert M.choose_forest(df, df, ["x"])(df).first().y_pred == 2.0
+    assert tried == [(d, n, 200) for d in (5, 6, 7) for n in (5, 8, 12)]
+
+
+@pytest.mark.parametrize("name", ["ridge_hierarchical", "fold_runner", "random_forest_hierarchical"])
+def test_model_queries_run_every_fold(spark, monkeypatch, name):
+    from tessera.plans import queries as Q
+
+    monkeypatch.setattr(Q, "PERIODS", Q.PERIODS[:2])
+    monkeypatch.setattr(M, "choose_forest", lambda train, validation, features: M.fit_forest(train, features, trees=3))
+    got = Q.QUERIES[name](spark, "/root/testdata/sf0.001").select("fold").distinct().collect()
+    assert {r.fold for r in got} == {0, 1}
