@@ -13,7 +13,7 @@ from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .packing import pack_windows
-from .quality import perplexity_bands, quality_rules, train_perplexity
+from .quality import quality_rules, train_perplexity
 from .sharding import shard_by_bytes
 from .topk import exact_top_k
 from .url_filter import Rule, filter_urls, oracle_sql as url_filter_sql
@@ -63,8 +63,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train_perplexity(documents)
-    return quality_rules(documents, model, perplexity_bands(documents, model)).drop("text", "lang")
+    return quality_rules(documents, train_perplexity(documents)).drop("text", "lang")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
