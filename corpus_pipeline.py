@@ -15,7 +15,7 @@ from tessera.llm.language import UNDETERMINED, identify_language, train_language
 from tessera.llm.mixing import mixed_rows
 from tessera.llm.near_duplicates import drop_near_duplicates
 from tessera.llm.packing import pack_windows
-from tessera.llm.quality import perplexity_bands, quality_rules, train_perplexity
+from tessera.llm.quality import quality_rules, train_perplexity
 from tessera.llm.scratch import stage as written
 
 #: A language's posterior probability must reach this: no other language, nor all others together, can be more probable.
@@ -47,8 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their language's perplexity band keep."""
-    model = train_perplexity(docs)
-    judged = quality_rules(_apart(docs), model, perplexity_bands(docs, model), lang_col="_row.lang")
+    judged = quality_rules(_apart(docs), train_perplexity(docs), lang_col="_row.lang")
     return _together(judged.filter("kept"), docs.columns)
 
 
