@@ -63,7 +63,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(documents, train_perplexity(documents)).drop("text", "lang")
+    return quality_rules(documents, train_perplexity(documents), carried=["doc_id"])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
