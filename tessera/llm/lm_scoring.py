@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from .text import PRIME, mixed, raw, slices, words
 
 PRIOR = 500.0
 HIGHER = 0.01
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 SHARD_TOKENS = 1_000_000
 END, START = np.uint64(0x5EED0E17D0000001), np.uint64(0x5EED057A27000003)
 LABEL = np.uint64(0xFFFFFFFF)
 MOST_PARTS = 1 << 16
+MOST_WORDS = 1 << 20
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -68,6 +70,18 @@ def planes(values: np.ndarray) -> list[np.ndarray]:
     return list(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
+def gaps(values: np.ndarray) -> list[np.ndarray]:
+    """Values that mostly ascend, as the bytes of their differences (modulo their type's range) in arrays, lowest first."""
+    differences = np.diff(values, prepend=values.dtype.type(0))
+    return list(differences.view(np.uint8).reshape(-1, values.itemsize).T)
+
+
+def summed(parts: list[np.ndarray]) -> np.ndarray:
+    """The values whose differences have these bytes."""
+    whole = np.ascontiguousarray(np.stack(parts, axis=1)).view(f"<u{len(parts)}").ravel()
+    return np.cumsum(whole, dtype=whole.dtype)
+
+
 def coded(values: np.ndarray) -> bytes:
     """Values as 16-bit codes between their least and greatest, after their number, the least and the step."""
     least, most = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
@@ -175,8 +189,8 @@ def batch_rows(texts: pa.Array, train: np.ndarray, shards: int, order: int, freq
             lo, hi = edges[depth][s], edges[depth][s + 1]
             if depth:
                 parts.append(children[edges[depth - 1][s] : edges[depth - 1][s + 1]])
-            parts += [label[lo:hi], count[lo:hi]]
-        out[s] = pack(parts)
+            parts += [*gaps(label[lo:hi]), count[lo:hi]]
+        out[s] = squeezed(pack(parts))
     # the word of every n-gram follows from how many n-grams each word has
     leaves = np.bincount(of_word_of_leaf(levels), minlength=len(word))
     return out, squeezed(pack([counts, leaves, *planes(node)]))
@@ -190,6 +204,16 @@ def of_word_of_leaf(levels: list[tuple]) -> np.ndarray:
     return above
 
 
+def asked_of(data: bytes, order: int) -> list[np.ndarray]:
+    """A batch's arrays for one shard: words and counts, then children, labels and counts of each further level."""
+    arrays = unpack(restored(data))
+    out = [summed(arrays[:8]), arrays[8]]
+    for depth in range(1, order):
+        at = 9 + 6 * (depth - 1)
+        out += [arrays[at], summed(arrays[at + 1 : at + 5]), arrays[at + 5]]
+    return out
+
+
 def score_shard(rows: list[list[np.ndarray]], total: int, distinct: int, order: int, frequent: Frequent = NONE) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each batch of a shard: the value of each n-gram and the training count of each word.
 
@@ -277,15 +301,28 @@ def sum_texts(kept: bytes, answers: list[bytes]) -> tuple[np.ndarray, ...]:
     return counts, sums(known > 0).astype(np.int64), sums(np.log10(known + 1.0)), sums(value)
 
 
+def batch_key(number: int, texts: pa.Array, ids: pa.Array) -> int:
+    """A key of a batch by its place and its content."""
+    data, bounds = raw(texts)
+    digest = md5(number.to_bytes(8, "little") + bounds.tobytes() + repr(ids.to_pylist()).encode("utf-8", "surrogatepass"))
+    digest.update(data.tobytes())
+    return int.from_bytes(digest.digest()[:8], "little", signed=True)
+
+
 def vocabulary(df: DataFrame) -> DataFrame:
     """``word, n``: hashes and counts of the training tokens of ``df`` (``_text, _train``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, n = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             for lo, hi in slices(batch.column(0), SLICE_BYTES):
-                stream, _ = tokens(batch.column(0).slice(lo, hi - lo))
-                word, n = np.unique(stream, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+                found, times = np.unique(tokens(batch.column(0).slice(lo, hi - lo))[0], return_counts=True)
+                word, inverse = np.unique(np.concatenate([word, found]), return_inverse=True)
+                n = np.bincount(inverse, weights=np.concatenate([n, times]), minlength=len(word)).astype(np.int64)
+                if len(word) > MOST_WORDS:  # of a task at once
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+                    word, n = word[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
     return df.filter("_train").select("_text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -295,7 +332,8 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
 
     Returns ``<id_col>, n_tokens, n_known, train_tokens, base_score, score``.  Null and empty texts have one token, the end.  Repeated rows count and are
     scored one by one.  Without training rows every word is unknown.  An empty table gives no rows.  Other columns are ignored, whatever their names.
-    ``df`` is read twice and should come from storage, so that a task that runs again meets the same rows in the same order.
+    ``df`` is read twice.  A batch's key covers its place and its content, and its answers must be as many as the shards it asked, so that a task that runs again over rows in
+    another order fails and is never joined with answers to other rows.
     """
     source = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(id_col).alias("_id"))
     known_words = stage(vocabulary(source), "lm-words")
@@ -319,13 +357,14 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
             for lo, hi in slices(batch.column(0), SLICE_BYTES):
                 text, learnt, ids = (batch.column(i).slice(lo, hi - lo) for i in range(3))
                 sent, kept = batch_rows(text, learnt.to_numpy(zero_copy_only=False), shards, order, everywhere.value)
+                key = batch_key(number, text, ids)
                 own = number % shards
                 parts = sorted(sent)
                 holder = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number] * (len(parts) + 1), pa.int64()), pa.array([*parts, own], pa.int32()), pa.array([*sent.values(), None], pa.binary()),
-                        pa.array([None] * len(parts) + [kept], pa.binary()), pa.concat_arrays([pa.nulls(len(parts), holder.type), holder]),
+                        pa.array([key] * (len(parts) + 1), pa.int64()), pa.array([*parts, own], pa.int32()), pa.array([*sent.values(), None], pa.binary()),
+                        pa.array([None] * len(parts) + [len(parts).to_bytes(4, "little") + kept], pa.binary()), pa.concat_arrays([pa.nulls(len(parts), holder.type), holder]),
                     ],
                     row.names,
                 )
@@ -337,7 +376,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
         if not len(asked):
             return kept
         answers = []
-        for value, known in score_shard([unpack(x) for x in asked["grams"].to_pylist()], total, distinct, order, everywhere.value):
+        for value, known in score_shard([asked_of(x, order) for x in asked["grams"].to_pylist()], total, distinct, order, everywhere.value):
             answers.append(coded(value) + pack([known]))
         asked = asked.set_column(2, "grams", pa.array(answers, pa.binary()))
         return pa.concat_tables([kept, asked])
@@ -354,7 +393,10 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
         group = group.combine_chunks()
         kept = group.filter(group["kept"].is_valid())
         answers = group.filter(group["grams"].is_valid()).sort_by("shard")
-        n, known, base, value = sum_texts(kept["kept"][0].as_py(), answers["grams"].to_pylist())
+        own = kept["kept"].to_pylist()
+        if len(own) != 1 or int.from_bytes(own[0][:4], "little") != len(answers):
+            raise RuntimeError("a task ran again over other rows: write the input to storage first")
+        n, known, base, value = sum_texts(own[0][4:], answers["grams"].to_pylist())
         ids = kept["ids"].combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         return pa.Table.from_arrays(
