@@ -30,7 +30,7 @@ from .text import PRIME, mixed, raw, slices, words
 
 PRIOR = 500.0
 HIGHER = 0.01
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SHARD_TOKENS = 1_000_000
 END, START = np.uint64(0x5EED0E17D0000001), np.uint64(0x5EED057A27000003)
 LABEL = np.uint64(0xFFFFFFFF)
@@ -301,10 +301,10 @@ def sum_texts(kept: bytes, answers: list[bytes]) -> tuple[np.ndarray, ...]:
     return counts, sums(known > 0).astype(np.int64), sums(np.log10(known + 1.0)), sums(value)
 
 
-def batch_key(number: int, texts: pa.Array, ids: pa.Array) -> int:
-    """A key of a batch by its place and its content."""
+def batch_key(texts: pa.Array, train: np.ndarray, ids: pa.Array) -> int:
+    """A key of a batch by its content; batches of the same content are scored together."""
     data, bounds = raw(texts)
-    digest = md5(number.to_bytes(8, "little") + bounds.tobytes() + repr(ids.to_pylist()).encode("utf-8", "surrogatepass"))
+    digest = md5(bounds.tobytes() + train.tobytes() + repr(ids.to_pylist()).encode("utf-8", "surrogatepass"))
     digest.update(data.tobytes())
     return int.from_bytes(digest.digest()[:8], "little", signed=True)
 
@@ -332,7 +332,7 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
 
     Returns ``<id_col>, n_tokens, n_known, train_tokens, base_score, score``.  Null and empty texts have one token, the end.  Repeated rows count and are
     scored one by one.  Without training rows every word is unknown.  An empty table gives no rows.  Other columns are ignored, whatever their names.
-    ``df`` is read twice.  A batch's key covers its place and its content, and its answers must be as many as the shards it asked, so that a task that runs again over rows in
+    ``df`` is read three times, so that what a batch keeps is shuffled once.  A batch's key is its content, and its answers must be as many as the shards it asked, so that a task that runs again over rows in
     another order fails and is never joined with answers to other rows.
     """
     source = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(id_col).alias("_id"))
@@ -344,42 +344,35 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
     everywhere = df.sparkSession.sparkContext.broadcast(frequent)
     shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TOKENS))
     id_field = source.schema["_id"]
+    asked_row = "batch long, shard int, grams binary"
     row = T.StructType([
         T.StructField("batch", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("grams", T.BinaryType()),
-        T.StructField("kept", T.BinaryType()), T.StructField("ids", T.ArrayType(id_field.dataType)),
+        T.StructField("asked", T.IntegerType()), T.StructField("kept", T.BinaryType()), T.StructField("ids", T.ArrayType(id_field.dataType)),
     ])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Each batch's key, ids, grams by shard and what it keeps."""
         for batch in batches:
             for lo, hi in slices(batch.column(0), SLICE_BYTES):
                 text, learnt, ids = (batch.column(i).slice(lo, hi - lo) for i in range(3))
-                sent, kept = batch_rows(text, learnt.to_numpy(zero_copy_only=False), shards, order, everywhere.value)
-                key = batch_key(number, text, ids)
-                own = number % shards
-                parts = sorted(sent)
-                holder = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key] * (len(parts) + 1), pa.int64()), pa.array([*parts, own], pa.int32()), pa.array([*sent.values(), None], pa.binary()),
-                        pa.array([None] * len(parts) + [len(parts).to_bytes(4, "little") + kept], pa.binary()), pa.concat_arrays([pa.nulls(len(parts), holder.type), holder]),
-                    ],
-                    row.names,
-                )
-                number += 1
+                learnt = learnt.to_numpy(zero_copy_only=False)
+                yield batch_key(text, learnt, ids), ids, *batch_rows(text, learnt, shards, order, everywhere.value)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, sent, _ in split(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(sent), pa.int64()), pa.array(list(sent), pa.int32()), pa.array(list(sent.values()), pa.binary())], ["batch", "shard", "grams"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, sent, kept in split(batches):
+            holder = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids]))
+            columns = [pa.array([key], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([len(sent)], pa.int32()), pa.array([kept], pa.binary()), holder]
+            yield pa.RecordBatch.from_arrays(columns, row.names)
 
     def score(group: pa.Table) -> pa.Table:
-        kept = group.filter(group["kept"].is_valid())
-        asked = group.filter(group["grams"].is_valid())
-        if not len(asked):
-            return kept
         answers = []
-        for value, known in score_shard([asked_of(x, order) for x in asked["grams"].to_pylist()], total, distinct, order, everywhere.value):
+        for value, known in score_shard([asked_of(x, order) for x in group["grams"].to_pylist()], total, distinct, order, everywhere.value):
             answers.append(coded(value) + pack([known]))
-        asked = asked.set_column(2, "grams", pa.array(answers, pa.binary()))
-        return pa.concat_tables([kept, asked])
+        return group.set_column(2, "grams", pa.array(answers, pa.binary()))
 
     start = texts + PRIOR
     for _ in range(2, order):
@@ -392,18 +385,20 @@ def score_texts(df: DataFrame, train: Column, order: int = 3, id_col: str = "doc
     def gather(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         kept = group.filter(group["kept"].is_valid())
-        answers = group.filter(group["grams"].is_valid()).sort_by("shard")
-        own = kept["kept"].to_pylist()
-        if len(own) != 1 or int.from_bytes(own[0][:4], "little") != len(answers):
+        answers = group.filter(group["grams"].is_valid()).sort_by("shard")["grams"].to_pylist()
+        copies = len(kept)  # batches of the same content have the same answers
+        if not copies or len(answers) != copies * kept["asked"][0].as_py():
             raise RuntimeError("a task ran again over other rows: write the input to storage first")
-        n, known, base, value = sum_texts(own[0][4:], answers["grams"].to_pylist())
+        n, known, base, value = sum_texts(kept["kept"][0].as_py(), answers[::copies])
         ids = kept["ids"].combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        times = lambda a: pa.array(np.tile(a, copies))
         return pa.Table.from_arrays(
-            [ids.flatten(), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base - n * np.log10(total + distinct + 1)), pa.array(value - np.log10(start))],
+            [ids.flatten(), times(n), times(known), times(np.full(len(n), total)), times(base - n * np.log10(total + distinct + 1)), times(value - np.log10(start))],
             out.names,
         )
 
     # one shard a partition, whatever its number hashes to; and about one batch
-    scored = source.mapInArrow(split, row).repartitionById(shards, "shard").groupBy("shard").applyInArrow(score, row)
-    return scored.repartition(2 * shards, "batch").groupBy("batch").applyInArrow(gather, out)
+    answered = source.mapInArrow(send, asked_row).repartitionById(shards, "shard").groupBy("shard").applyInArrow(score, asked_row)
+    both = answered.unionByName(source.mapInArrow(keep, row), allowMissingColumns=True)
+    return both.repartition(2 * shards, "batch").groupBy("batch").applyInArrow(gather, out)

@@ -56,7 +56,9 @@ def test_scores_match_brute_force(spark, monkeypatch, order, shard_tokens):
     texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 50))) for _ in range(150)]
     texts += [None, "", " \n", "ONE One one", "new words only here", "w1 " * 3000]
     rows = list(enumerate(texts)) + [(4, texts[4])]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, shard int").repartition(3)
+    frame = lambda r: spark.createDataFrame([(i, t, 1) for i, t in r], "doc_id long, text string, shard int")
+    df = frame(rows).repartition(3).unionByName(frame([(3, "twice w1 w2")]).coalesce(1)).unionByName(frame([(3, "twice w1 w2")]).coalesce(1))  # two batches of one content
+    rows += [(3, "twice w1 w2")] * 2
     got = sorted(tuple(r) for r in lm.score_texts(df, F.col("doc_id") % 7 != 2, order).collect())
     expected = brute(rows, order)
     assert [r[:4] for r in got] == [r[:4] for r in expected]
