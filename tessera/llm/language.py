@@ -34,9 +34,9 @@ class LanguageModel:
 
 @lru_cache(maxsize=1)
 def _folded() -> np.ndarray:
-    """Lower-case code point of each letter of the first planes, 0 for all else."""
+    """Lower-case code point of each letter, 0 for all else."""
     table = np.zeros(0x110000, np.uint32)
-    for point in range(0x32000):
+    for point in range(0x40000):  # no plane beyond the fourth has letters
         char = chr(point)
         if char.isalpha():
             low = char.lower()
@@ -119,8 +119,8 @@ def train_language_model(df: DataFrame, text_col: str = "text", lang_col: str =
 def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Add the most probable language and its posterior probability (0 to 1) to every row of ``df``.
 
-    ``und`` with score 0 for a null or empty text, one without a letter, and for all rows if the model has no language.  Ties go to the
-    language first by code point.  Columns of ``df`` named like a result are replaced; all others are kept; repeated rows each get a
+    ``und`` with score 0 for a null or empty text, one without a letter, and for all rows if the model has no language.  A text of one letter and nothing else has no n-gram:
+    it gets the language with most texts and that language's share.  Ties go to the language first by code point.  Columns of ``df`` named like a result are replaced; all others are kept; repeated rows each get a
     result; an empty table gives no rows.
     """
     kept = df.drop(pred_col, score_col)

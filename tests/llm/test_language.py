@@ -1,9 +1,13 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.language import BUCKETS, features, identify_language, train_language_model
+from tessera.llm.language import BUCKETS, SMOOTHING, _folded, features, identify_language, train_language_model
 
 WORDS = {"aa": ["bada", "bido", "dabi"], "zz": ["xuvy", "vyxe", "éxuv"]}
 
@@ -47,3 +51,55 @@ def test_features_do_not_cross_texts():
     assert (buckets < BUCKETS).all()
     same, _, _ = features(pa.array(["AB"]))
     assert same[0] == buckets[0]
+
+
+def slow_features(text):
+    """Buckets of all runs of two and three characters with a letter, one character at a time."""
+    points = [(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0 for c in text or ""]
+    out = []
+    for n in (2, 3):
+        for i in range(len(points) - n + 1):
+            if any(points[i : i + n]):
+                key = n
+                for p in points[i : i + n]:
+                    key = (key ^ p) * 0x9E3779B1 % 2**32
+                    key ^= key >> 15
+                out.append(key % BUCKETS)
+    return out
+
+
+def test_predictions_match_slow_naive_bayes(spark):
+    rng = random.Random(5)
+    alphabets = {"aa": "abcdeé ", "bb": "abfgh. ", "cc": "αβγδΕ ", "dd": "\u3400\U00032100\U00020001 1"}
+    rows = [(i, "".join(rng.choice(alphabets[x]) for _ in range(rng.randrange(30))), x) for i in range(150) for x in [rng.choice([*alphabets])]]
+    rows += [(900, "a", None), (901, "", "aa"), (902, None, "bb"), (903, "\U00032100", None), (904, "A", "aa"), (905, "12", None), (906, "abc", None)]
+    counts, texts = {}, Counter()
+    for _, text, lang in rows:
+        if lang and text is not None:
+            texts[lang] += 1
+            counts.setdefault(lang, Counter()).update(slow_features(text))
+    known = [x for x in sorted(texts) if counts[x] or texts[x]]
+
+    def slow(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        logs = {}
+        for x in known:
+            total = sum(counts[x].values()) + SMOOTHING * BUCKETS
+            logs[x] = math.log(texts[x] / texts.total()) + sum(math.log((counts[x][f] + SMOOTHING) / total) for f in slow_features(text))
+        best = max(known, key=lambda x: (logs[x], [-ord(c) for c in x]))
+        return best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = train_language_model(df)
+    assert model.languages == known
+    for i, x in enumerate(known):
+        found = np.exp(model.log_probability[:, i].astype(float)) * (sum(counts[x].values()) + SMOOTHING * BUCKETS) - SMOOTHING
+        assert np.allclose(found, [counts[x][b] for b in range(BUCKETS)], atol=1e-2)
+    for r in identify_language(df, model).collect():
+        lang, score = slow(r.text)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-4))
+
+
+def test_every_letter_is_a_letter():
+    assert [p for p in range(0x110000) if chr(p).isalpha() != bool(_folded()[p])] == []
