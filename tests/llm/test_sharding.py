@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -5,6 +6,7 @@ from itertools import accumulate
 
 import pytest
 
+from tessera.llm import sharding
 from tessera.llm.sharding import greedy_cuts, minimax_cuts, shard_by_bytes
 
 
@@ -27,9 +29,8 @@ def test_minimax_is_optimal(seed):
     assert max(sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts)) == best_largest(sizes, shards)
 
 
-def test_greedy_refuses_a_unit_over_the_capacity():
-    with pytest.raises(ValueError):
-        greedy_cuts([0, 5], 4)
+def test_greedy_stops_before_a_unit_over_the_capacity():
+    assert greedy_cuts([0, 3, 8], 4) == [1, 1]
     assert minimax_cuts([], 3) == []
 
 
@@ -62,6 +63,19 @@ def test_rows_slots_and_groups(spark):
     assert max(sizes.values()) <= sum(sizes.values()) / 5 + 20008
 
 
+@pytest.mark.parametrize("digits, shards, hot", [(1, 3, 0), (1, 7, 0), (2, 5, 4000), (1, 24, 0), (4, 24, 0)])
+def test_the_largest_shard_is_as_small_as_groups_allow(spark, monkeypatch, digits, shards, hot):
+    monkeypatch.setattr(sharding, "UNIT_DIGITS", digits)  # few digits put many groups in a unit
+    rng = random.Random(digits * 100 + shards)
+    texts = [f"{rng.randrange(260)} " * rng.randrange(1, 60) for _ in range(500)] + ["hot text"] * hot
+    groups = defaultdict(int)
+    for t in texts:
+        groups[hashlib.md5(t.encode()).hexdigest()] += len(t) + 8
+    sizes = [groups[k] for k in sorted(groups)]
+    out = shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=shards).groupBy("shard").sum("size").collect()
+    assert max(r[1] for r in out) == best_largest(sizes, shards) and sum(r[1] for r in out) == sum(sizes)
+
+
 def test_empty_and_fewer_rows_than_shards(spark):
     schema = "doc_id long, text string"
     assert shard_by_bytes(spark.createDataFrame([], schema)).count() == 0
