@@ -1,10 +1,13 @@
 """URL filter: rules first, then a path-template tree whose templates are judged by labelled purity.
 
 For each host, paths are generalised level by level: under a template's prefix, a segment stays literal if it is frequent there (a given
-support and share), otherwise it becomes the wildcard ``*``.  Templates of a host that differ in their first segment alone are
+support and share), otherwise it becomes the wildcard ``*``.  The tree is as deep as paths have frequent prefixes; segments beyond ``depth`` count as one, ``**``.
+Then, from the deepest level to the first, templates of a host that differ in that level's segment alone are
 branches of one node; those whose blocked share among labelled pages does not differ from the node's (a chi-square test) are
-merged.  The pages that a rule decides are the labels.  A node is rejected if its blocked share, smoothed towards the share
+merged, and the segment becomes ``~``.  The pages that a rule decides are the labels.  A node is rejected if its blocked share, smoothed towards the share
 over all labelled pages, reaches a threshold.
+
+The tree is built over distinct paths with their numbers of pages, so that a page that is met often is one row.
 """
 
 from __future__ import annotations
@@ -12,11 +15,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .scratch import stage
 
-DEPTH = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +40,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class TemplateSettings:
+    depth: int = 8
     support: int = 3
     share: int = 20  # a literal segment has at least one in so many of its parent's pages
     least_labels: int = 5
@@ -63,47 +66,55 @@ def _first_fit(rules: list[Rule], host: Column, path: Column, value) -> Column:
     return whens
 
 
-def with_templates(pages: DataFrame, settings: TemplateSettings) -> DataFrame:
-    """Add ``template`` to rows with ``host`` and ``path``; segments beyond the depth count as one."""
+def with_templates(paths: DataFrame, settings: TemplateSettings) -> DataFrame:
+    """Add ``template`` to distinct rows with ``host``, ``path`` and the number of pages ``_pages``."""
     segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("path", 2, 1 << 30), "/", -1))
-    rows = pages.withColumn("_segments", segments).withColumn("template", F.lit(""))
-    for depth in range(1, DEPTH + 1):
+    rows = paths.withColumn("_segments", segments).withColumn("template", F.lit(""))
+    deepest = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
+    for depth in range(1, min(deepest, settings.depth) + 1):
         here = F.when(F.size("_segments") >= depth, F.get("_segments", F.lit(depth - 1)))
-        if depth == DEPTH:
+        if depth == settings.depth:
             here = F.when(F.size("_segments") > depth, F.lit("**")).otherwise(here)
         rows = rows.withColumn("_segment", here)
-        branches = rows.filter(F.col("_segment").isNotNull()).groupBy("host", "template", "_segment").agg(F.count(F.lit(1)).alias("_n"))
+        branches = rows.filter(F.col("_segment").isNotNull()).groupBy("host", "template", "_segment").agg(F.sum("_pages").alias("_n"))
         totals = branches.groupBy("host", "template").agg(F.sum("_n").alias("_total"))
-        literal = (
+        literal = stage(
             branches.filter(F.col("_n") >= settings.support)
             .join(totals, ["host", "template"])
             .filter(F.col("_n") * settings.share >= F.col("_total"))
-            .select("host", "template", "_segment", F.lit(True).alias("_literal"))
+            .select("host", "template", "_segment", F.lit(True).alias("_literal")),
+            "urls-literals",
         )
         step = F.when(F.col("_literal"), F.col("_segment")).otherwise(F.lit("*"))
-        rows = rows.join(literal, ["host", "template", "_segment"], "left").withColumn(
+        # the written table's size is known: Spark broadcasts it if it is small
+        rows = stage(rows.join(literal, ["host", "template", "_segment"], "left").withColumn(
             "template", F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))
-        ).drop("_literal", "_segment")
+        ).drop("_literal", "_segment"), "urls-templates")
     return rows.drop("_segments")
 
 
 def judged_templates(rows: DataFrame, labelled: int, blocked: int, settings: TemplateSettings) -> DataFrame:
-    """``host, template, node, rejected`` for each template of ``rows`` (``host, template, _label``)."""
-    stats = rows.groupBy("host", "template").agg(
-        F.count("_label").cast("double").alias("_labelled"), F.count(F.when(F.col("_label") == "block", 1)).cast("double").alias("_blocked")
-    )
-    node = F.regexp_replace("template", r"^/[^/]*", "/~")
-    stats = stats.withColumn("_node", node)
-    pooled = stats.groupBy("host", "_node").agg(F.sum("_labelled").alias("_all"), F.sum("_blocked").alias("_all_blocked"))
-    n, b, N, B = (F.col(c) for c in ("_labelled", "_blocked", "_all", "_all_blocked"))
-    similar = (n >= settings.least_labels) & ((b * N - n * B) * (b * N - n * B) <= settings.chi_square * n * B * (N - B))
-    merged = stats.join(pooled, ["host", "_node"]).withColumn("_node", F.when(similar, F.col("_node")).otherwise(F.col("template")))
-    nodes = merged.groupBy("host", "_node").agg(F.sum("_labelled").alias("_of_node"), F.sum("_blocked").alias("_blocked_of_node"))
+    """``host, template, node, purity, _rejected`` for each template of ``rows`` (``host, template, _pages, _label``)."""
+    pages = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_pages"))), F.lit(0)).cast("double")
+    stats = rows.groupBy("host", "template").agg(pages(F.col("_label").isNotNull()).alias("_labelled"), pages(F.col("_label") == "block").alias("_blocked"))
+    segments = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("template", 2, 1 << 30), "/", -1))
+    nodes = stage(stats.withColumn("_node", segments), "urls-nodes")
+    deepest = nodes.agg(F.max(F.size("_node"))).first()[0] or 0
+    nodes = nodes.repartition("host")  # a host has at most ``share`` literals under each prefix
+    total = lambda column, *by: F.sum(column).over(W.partitionBy("host", *by))
+    for depth in range(deepest, 0, -1):
+        merged = F.transform("_node", lambda x, i: F.when(i == depth - 1, F.lit("~")).otherwise(x))
+        nodes = nodes.withColumn("_shape", merged)
+        n, b, N, B = (total(c, by) for by in ("_node", "_shape") for c in ("_labelled", "_blocked"))
+        nodes = nodes.withColumns({"_n": n, "_b": b, "_all": N, "_all_blocked": B})
+        n, b, N, B = (F.col(c) for c in ("_n", "_b", "_all", "_all_blocked"))
+        similar = (n >= settings.least_labels) & (n < N) & ((b * N - n * B) * (b * N - n * B) <= settings.chi_square * n * B * (N - B))
+        nodes = nodes.withColumn("_node", F.when(similar, F.col("_shape")).otherwise(F.col("_node"))).drop("_shape", "_n", "_b", "_all", "_all_blocked")
     prior = blocked / labelled if labelled else 0.0
-    purity = (F.col("_blocked_of_node") + settings.prior * prior) / (F.col("_of_node") + settings.prior)
-    return merged.select("host", "template", "_node").join(nodes, ["host", "_node"]).select(
-        "host", "template", F.col("_node").alias("node"), purity.alias("purity"), ((F.col("_of_node") > 0) & (purity >= settings.purity)).alias("_rejected")
-    )
+    of_node = total("_labelled", "_node")
+    purity = (total("_blocked", "_node") + settings.prior * prior) / (of_node + settings.prior)
+    name = F.when(F.size("_node") == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join("_node", "/")))
+    return nodes.select("host", "template", name.alias("node"), purity.alias("purity"), ((of_node > 0) & (purity >= settings.purity)).alias("_rejected"))
 
 
 def filter_urls(
@@ -122,10 +133,12 @@ def filter_urls(
         "urls",
     )
     labelled, blocked = pages.agg(F.count("_label"), F.count(F.when(F.col("_label") == "block", 1))).first()
-    rows = stage(with_templates(pages, settings), "urls-templates")
-    judged = judged_templates(rows, labelled, blocked, settings)
+    # a label follows from host and path
+    paths = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_pages"), F.any_value("_label").alias("_label"))
+    rows = with_templates(stage(paths, "urls-paths"), settings)
+    judged = rows.join(judged_templates(rows, labelled, blocked, settings), ["host", "template"]).drop("_pages", "_label")
     verdict = F.coalesce("_label", F.when(F.col("_rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(judged, ["host", "template"]).select(
+    return pages.join(judged, ["host", "path"]).select(
         F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "node", "purity"
     )
 
@@ -138,23 +151,29 @@ def oracle_sql(rules: list[Rule], settings: TemplateSettings = TemplateSettings(
     ctes = [
         r"u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
         f"p AS (SELECT page_id, translate(h, '{UPPER}', '{LOWER}') AS host, path FROM u)",
-        f"r0 AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label, CASE WHEN path = '' THEN [] ELSE string_split(path[2:], '/') END AS s, '' AS template FROM p)",
+        f"r0 AS MATERIALIZED (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label, CASE WHEN path = '' THEN [] ELSE string_split(path[2:], '/') END AS s, '' AS template FROM p)",
     ]
-    for d in range(1, DEPTH + 1):
+    last = settings.depth
+    for d in range(1, last + 1):
         here = f"CASE WHEN len(s) >= {d} THEN s[{d}] END"
-        if d == DEPTH:
+        if d == last:
             here = f"CASE WHEN len(s) > {d} THEN '**' WHEN len(s) >= {d} THEN s[{d}] END"
         ctes += [
             f"b{d} AS (SELECT host, template, {here} AS seg, count(*) AS n FROM r{d - 1} WHERE {here} IS NOT NULL GROUP BY ALL)",
             f"k{d} AS (SELECT host, template, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS total FROM b{d}) WHERE n >= {settings.support} AND n * {settings.share} >= total)",
-            f"r{d} AS (SELECT r.* EXCLUDE (template), CASE WHEN {here} IS NULL THEN r.template WHEN k.seg IS NULL THEN r.template || '/*' ELSE r.template || '/' || k.seg END AS template FROM r{d - 1} r LEFT JOIN k{d} k ON k.host = r.host AND k.template = r.template AND k.seg = {here})",
+            f"r{d} AS MATERIALIZED (SELECT r.* EXCLUDE (template), CASE WHEN {here} IS NULL THEN r.template WHEN k.seg IS NULL THEN r.template || '/*' ELSE r.template || '/' || k.seg END AS template FROM r{d - 1} r LEFT JOIN k{d} k ON k.host = r.host AND k.template = r.template AND k.seg = {here})",
+        ]
+    segments = "CASE WHEN template = '' THEN [] ELSE string_split(template[2:], '/') END"
+    ctes += [f"n{last} AS MATERIALIZED (SELECT host, template, {segments} AS node, CAST(count(label) AS DOUBLE) AS n, CAST(count(*) FILTER (label = 'block') AS DOUBLE) AS b FROM r{last} GROUP BY host, template)"]
+    for d in range(last, 0, -1):
+        ctes += [
+            f"s{d} AS (SELECT *, list_transform(node, lambda x, i: CASE WHEN i = {d} THEN '~' ELSE x END) AS shape FROM n{d})",
+            f"q{d} AS (SELECT *, sum(n) OVER one AS m, sum(b) OVER one AS mb, sum(n) OVER alike AS big, sum(b) OVER alike AS bigb FROM s{d} WINDOW one AS (PARTITION BY host, node), alike AS (PARTITION BY host, shape))",
+            f"n{d - 1} AS MATERIALIZED (SELECT host, template, n, b, CASE WHEN m >= {settings.least_labels} AND m < big AND (mb * big - m * bigb) * (mb * big - m * bigb) <= {settings.chi_square}::DOUBLE * m * bigb * (big - bigb) THEN shape ELSE node END AS node FROM q{d})",
         ]
     ctes += [
-        f"t AS (SELECT host, template, regexp_replace(template, '^/[^/]*', '/~') AS shape, CAST(count(label) AS DOUBLE) AS n, CAST(count(*) FILTER (label = 'block') AS DOUBLE) AS b FROM r{DEPTH} GROUP BY ALL)",
-        "q AS (SELECT *, sum(n) OVER (PARTITION BY host, shape) AS big, sum(b) OVER (PARTITION BY host, shape) AS bigb FROM t)",
-        f"m AS (SELECT host, template, n, b, CASE WHEN n >= {settings.least_labels} AND (b * big - n * bigb) * (b * big - n * bigb) <= {settings.chi_square}::DOUBLE * n * bigb * (big - bigb) THEN shape ELSE template END AS node FROM q)",
-        f"g AS (SELECT CASE WHEN count(label) > 0 THEN count(*) FILTER (label = 'block')::DOUBLE / count(label)::DOUBLE ELSE 0 END AS prior FROM r{DEPTH})",
-        f"j AS (SELECT host, template, node, sum(n) OVER w AS labelled, (sum(b) OVER w + {settings.prior}::DOUBLE * prior) / (sum(n) OVER w + {settings.prior}::DOUBLE) AS purity FROM m, g WINDOW w AS (PARTITION BY host, node))",
+        f"g AS (SELECT CASE WHEN count(label) > 0 THEN count(*) FILTER (label = 'block')::DOUBLE / count(label)::DOUBLE ELSE 0 END AS prior FROM r{last})",
+        f"j AS (SELECT host, template, CASE WHEN len(node) = 0 THEN '' ELSE '/' || array_to_string(node, '/') END AS node, sum(n) OVER w AS labelled, (sum(b) OVER w + {settings.prior}::DOUBLE * prior) / (sum(n) OVER w + {settings.prior}::DOUBLE) AS purity FROM n0, g WINDOW w AS (PARTITION BY host, node))",
     ]
     verdict = f"coalesce(label, CASE WHEN labelled > 0 AND purity >= {settings.purity}::DOUBLE THEN 'block' ELSE 'allow' END)"
-    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, {verdict} AS verdict, template, node, purity FROM r{DEPTH} JOIN j USING (host, template)"
+    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, {verdict} AS verdict, template, node, purity FROM r{last} JOIN j USING (host, template)"

@@ -40,6 +40,23 @@ def test_similar_branches_merge(spark):
     assert apart["/c/*"] == "/c/*"
 
 
+def test_trees_are_as_deep_as_frequent_prefixes_and_merge_at_every_node(spark):
+    rules = [Rule("block", "h.com", f"/s/2020/{c}/list/x") for c in "ab"] + [Rule("allow", "h.com", "/s/2021/a/list/x")]
+    urls = [f"http://h.com/s/{y}/{c}/list/{p}{i}" for y, c in (("2020", "a"), ("2020", "b"), ("2021", "a")) for i in range(30) for p in ("x", "y")]
+    urls += [f"http://h.com/{'/'.join('abcdefgh')}/{i}/z" for i in range(4)] + ["http://h.com/s/2020/a/list/y1", "http://h.com/q/r/s/t"]
+    got = run(spark, urls, rules)
+    assert {r.template: r.node for r in got if "/list/" in r.path} == {"/s/2020/a/list/*": "/s/2020/~/list/*", "/s/2020/b/list/*": "/s/2020/~/list/*", "/s/2021/a/list/*": "/s/2021/a/list/*"}
+    assert {r.verdict for r in got if r.path.startswith("/s/2020") and r.rule is None} == {"block"}
+    assert {r.verdict for r in got if r.path.startswith("/s/2021")} == {"allow"}
+    assert {r.template for r in got if r.path.startswith("/a")} == {"/*/b/c/d/e/f/g/**"} and got[-1].template == "/*/*/*/*"
+
+
+def test_null_ids_and_columns_named_like_results(spark):
+    df = spark.createDataFrame([(None, "http://a.net/x", 1, 2, 3), (1, None, 1, 2, 3)], "page_id long, url string, template int, node int, purity int")
+    got = sorted(map(tuple, filter_urls(df, URL_RULES).select("page_id", "rule", "verdict", "template").collect()), key=repr)
+    assert got == [(1, None, "allow", ""), (None, "net/", "block", "/*")]
+
+
 def test_empty_repeated_and_no_rules(spark):
     assert run(spark, []) == []
     got = run(spark, ["http://a/b"] * 3, [])
