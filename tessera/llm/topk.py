@@ -1,7 +1,8 @@
 """Exact top-k by inner product: norm-bucketed retrieval.
 
 Vectors are grouped by length into bands, and bands into blocks of bounded size.  A query's threshold is its k-th best
-score among a few of the longest vectors.  For a block, threshold over (query length times the block's largest length) is a
+score among a few of the longest vectors.  A block of queries meets a block of vectors only if the largest length there reaches one of its queries' threshold over length, which is
+found out before any vector is sent.  For a block, threshold over (query length times the block's largest length) is a
 local cosine threshold: above 1, no vector of the block can qualify; otherwise the query either scans the
 vectors that are long enough, or those whose value in the query's dominant coordinate lies where a vector of that cosine must
 have it, whichever are fewer, and their products are computed exactly.
@@ -20,7 +21,7 @@ from .scratch import stage
 
 BLOCK = 4096
 QUERY_BLOCK = 1024
-BANDS = 64
+BANDS = 16
 SLACK = 1e-9
 
 
@@ -31,9 +32,9 @@ def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
         rows = rows.sort_values("_id", kind="stable")
         matrix = np.array(rows["_vector"].tolist(), dtype=np.float64)
         first = rows.iloc[0]
-        return pd.DataFrame({**{k: [first[k]] for k in keys}, "ids": [rows["_id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
+        return pd.DataFrame({**{k: [first[k]] for k in keys}, "ids": [rows["_id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()], "longest": [np.sqrt((matrix * matrix).sum(axis=1)).max()]})
 
-    return df.groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} int" for k in keys) + ", ids binary, matrix binary")
+    return df.groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} int" for k in keys) + ", ids binary, matrix binary, longest double")
 
 
 def _read(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +53,13 @@ def kth_best(queries: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, seed
     return np.partition(scores, len(distinct) - k, axis=1)[:, len(distinct) - k]
 
 
+def least_length(queries: np.ndarray, thresholds: np.ndarray) -> float:
+    """The length under which no vector can reach the threshold of any of the queries."""
+    lengths = np.sqrt((queries * queries).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.where(thresholds > 0, thresholds / lengths * (1 - SLACK), 0.0).min())
+
+
 def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[int, int, float]]:
     """(query, vec_id, score) of up to ``k`` best ids of a block for each query, each with its best vector, none that is under its threshold."""
     lengths = np.sqrt((vectors * vectors).sum(axis=1))
@@ -108,8 +116,7 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id
         "topk",
     )
     empty = df.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    bands = max(1, min(BANDS, vectors.count() // BLOCK))
-    steps = [F.lit(i / bands) for i in range(1, bands)] or [F.lit(1.0)]
+    steps = [F.lit(i / BANDS) for i in range(1, BANDS)]
     edges = vectors.groupBy("_dim").agg(
         F.count(F.when(F.col("_id") % every == 0, 1)).alias("queries"),
         F.percentile_approx("_norm", F.array(*steps), F.lit(10000)).alias("edges"),
@@ -137,16 +144,17 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id
             for r in rows.rename(columns={"_dim": "dim"}).itertuples(index=False):
                 ids, matrix = _read(r.query_ids, r.query_matrix, r.dim)
                 seed_ids, seed = _read(r.seed["ids"], r.seed["matrix"], r.dim)
-                out.append(kth_best(matrix, ids, seed, seed_ids, k).tobytes())
-            yield rows.drop(columns="seed").assign(thresholds=out)
+                best = kth_best(matrix, ids, seed, seed_ids, k)
+                out.append((best.tobytes(), least_length(matrix, best)))
+            yield rows.drop(columns="seed").assign(thresholds=[b for b, _ in out], least=[x for _, x in out])
 
     aimed = stage(
-        seeded.mapInPandas(thresholds, "_dim int, _query_block int, query_ids binary, query_matrix binary, thresholds binary"), "topk-queries"
+        seeded.mapInPandas(thresholds, "_dim int, _query_block int, query_ids binary, query_matrix binary, thresholds binary, least double"), "topk-queries"
     )
-    spots = blocks.select("_dim", "_band", "_salt")
-    left = blocks.withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = aimed.join(spots, "_dim")
-    pairs = left.join(right, ["_dim", "_band", "_salt", "_query_block"]).select("_dim", "ids", "matrix", "query_ids", "query_matrix", "thresholds")
+    # the keys of the pairs of blocks that can hold a result, then the vectors
+    spots, wanted = blocks.select("_dim", "_band", "_salt", "longest"), aimed.select("_dim", "_query_block", "least")
+    met = spots.join(wanted, "_dim").filter(F.col("least") <= F.col("longest")).drop("longest", "least")
+    pairs = met.join(blocks, ["_dim", "_band", "_salt"]).join(aimed, ["_dim", "_query_block"]).select("_dim", "ids", "matrix", "query_ids", "query_matrix", "thresholds")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

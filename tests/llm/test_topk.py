@@ -46,6 +46,16 @@ def test_an_id_with_many_vectors_takes_one_rank(spark):
     assert run(spark, rows) == expected
 
 
+def test_least_length_bounds_what_can_reach_a_threshold():
+    import numpy as np
+
+    from tessera.llm.topk import least_length
+
+    queries = np.array([[3.0, 4.0], [0.0, 2.0]])
+    assert abs(least_length(queries, np.array([50.0, 8.0])) - 4) < 1e-6
+    assert least_length(queries, np.array([50.0, -np.inf])) == 0 and least_length(np.zeros((1, 2)), np.array([0.0])) == 0
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
     assert run(spark, []) == []
