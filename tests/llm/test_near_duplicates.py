@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_duplicates as nd
 from tessera.llm.components import connected_components
@@ -66,6 +67,44 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert run(spark, rows) == brute(rows)
 
 
+def crowd(rng, n, own):
+    """Texts that share one passage, and for each tenth a partner at a similarity of 0.75 to 0.8 that shares the rest as well."""
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(120)]
+    texts, partners = [], []
+    for i in range(n):
+        text = passage + [word() for _ in range(own)]
+        texts.append(text)
+        if i % 10 == 0:
+            edited = list(text)
+            size = len(text) - 4
+            for at in rng.sample(range(2, len(text) // 5), round(size * 0.12 / 5)):  # each changes five shingles
+                edited[at * 5] = word()
+            a, b = ({tuple(t[k : k + 5]) for k in range(size)} for t in (text, edited))
+            assert 0.75 <= len(a & b) / len(a | b) <= 0.82
+            partners.append((i, edited))
+    return texts, partners
+
+
+def test_links_in_a_crowded_bucket_are_found(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 32)
+    texts, partners = crowd(random.Random(8), 600, 120)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(10000 + i, " ".join(t)) for i, t in partners]
+    component = {r[0]: r[2] for r in run(spark, rows)}
+    found = sum(component[10000 + i] == component[i] for i, _ in partners)
+    assert found >= 0.95 * len(partners) and all(component[i] == i for i in range(600))
+
+
+def test_crowded_buckets_are_searched_in_linear_rows(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 32)
+    dealt = []
+    for n in (400, 1600):
+        texts, _ = crowd(random.Random(n), n, 150)
+        monkeypatch.setattr(nd, "further_pairs", lambda searched, sets, percent: dealt.append(searched.agg(F.sum(F.ceil(F.col("size") / nd.BLOCK))).first()[0]) or searched.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+        run(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert dealt[1] <= 6 * dealt[0] + 1000, dealt
+
+
 def test_rows_without_ids_do_not_all_meet(spark):
     rng = random.Random(3)
     words = lambda: [f"w{rng.randrange(500)}" for _ in range(30)]
