@@ -9,8 +9,9 @@ works on classes, so copies are never expanded into pairs.
    copies is more popular than its copies, so the links of large groups are found by as many comparisons as it has members.
 2. Buckets whose members are not all in one component are searched for further links: members of different components, of fitting sizes,
    whose long sketches agree often enough are compared on their full sets.  The sketch's threshold lies 4.5 standard deviations under the
-   similarity asked for.  Members of a bucket of more than ``BLOCK`` are not compared all with all: 64 further bands of 8 coordinates each, from the long sketch, split them, and
-   once more within what is still crowded.  A piece that stays crowded after that, of texts much alike, is searched whole, in blocks.
+   similarity asked for.  Buckets are searched in blocks, which copies a member at most ``CROWD / BLOCK`` times: members of larger
+   buckets are not compared all with all, but dealt out by 64 further bands of 8 coordinates each, from the long sketch, and
+   once more within what is still crowded.  A piece that stays crowded after that, of texts much alike, is searched whole.
 
 A pair at the similarity asked for (0.75) shares no bucket with probability (1 - 0.75 ** 4) ** 32, about 5e-6, and, in a crowded one, no further
 band with probability (1 - 0.75 ** 8) ** 64, about 0.0012 each time.
@@ -37,7 +38,8 @@ BANDS, BAND_ROWS = 32, 4
 SKETCH = 1024
 SPLITS, SPLIT_BANDS, SPLIT_ROWS = 2, 64, 8  # SPLITS * SPLIT_BANDS * SPLIT_ROWS is SKETCH
 SLICE_BYTES = 1 << 20
-BLOCK = 512
+BLOCK = 1024
+CROWD = 16 * BLOCK
 
 
 @lru_cache(maxsize=1)
@@ -149,11 +151,11 @@ def mixed_pieces(rows: DataFrame) -> DataFrame:
 def pieces(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``piece, key, root, size``: the groups of members (``bucket, key, root``) that are compared with each other.
 
-    Buckets of up to ``BLOCK`` members are pieces as they are.  Members of larger ones are dealt out by further bands, and again where that leaves more than ``BLOCK``.
+    Buckets of up to ``CROWD`` members are pieces as they are.  Members of larger ones are dealt out by further bands, and again where that leaves more than ``CROWD``.
     """
     found = stage(mixed_pieces(members.select(F.col("bucket").alias("piece"), "key", "root")), "near-pieces")
-    out = found.filter(F.col("size") <= BLOCK)
-    crowded = found.filter(F.col("size") > BLOCK).select(F.lit(0).cast("long").alias("piece"), "key", "root").distinct()
+    out = found.filter(F.col("size") <= CROWD)
+    crowded = found.filter(F.col("size") > CROWD).select(F.lit(0).cast("long").alias("piece"), "key", "root").distinct()
     for level in range(SPLITS):
         if crowded.isEmpty():
             return out
@@ -161,9 +163,9 @@ def pieces(members: DataFrame, sets: DataFrame) -> DataFrame:
         bands = F.transform(F.sequence(F.lit(0), F.lit(SPLIT_BANDS - 1)), lambda j: F.xxhash64("piece", j, part(j)))
         split = crowded.join(sets.select("key", "sketch"), "key").select(F.explode(bands).alias("piece"), "key", "root")
         found = stage(mixed_pieces(split), "near-pieces")
-        out = out.unionByName(found.filter(F.col("size") <= BLOCK))
-        crowded = found.filter(F.col("size") > BLOCK).drop("size")
-    return out.unionByName(found.filter(F.col("size") > BLOCK))
+        out = out.unionByName(found.filter(F.col("size") <= CROWD))
+        crowded = found.filter(F.col("size") > CROWD).drop("size")
+    return out.unionByName(found.filter(F.col("size") > CROWD))
 
 
 def further_pairs(searched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -53,6 +53,7 @@ def family(rng, base, copies, edits):
 @pytest.mark.parametrize("block", [1024, 7])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "CROWD", block)
     rng = random.Random(block)
     word = lambda: f"w{rng.randrange(3000)}"
     texts = []
@@ -88,6 +89,7 @@ def crowd(rng, n, own):
 
 def test_links_in_a_crowded_bucket_are_found(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 32)
+    monkeypatch.setattr(nd, "CROWD", 64)
     texts, partners = crowd(random.Random(8), 600, 120)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(10000 + i, " ".join(t)) for i, t in partners]
     component = {r[0]: r[2] for r in run(spark, rows)}
@@ -97,6 +99,7 @@ def test_links_in_a_crowded_bucket_are_found(spark, monkeypatch):
 
 def test_crowded_buckets_are_searched_in_linear_rows(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 32)
+    monkeypatch.setattr(nd, "CROWD", 64)
     dealt = []
     for n in (400, 1600):
         texts, _ = crowd(random.Random(n), n, 150)
