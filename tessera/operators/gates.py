@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.config import FoldConfig, LeakageViolation
 from tessera.operators.comparison import compare_predictions
 from tessera.operators.folds import Fold, check_folds
+from tessera.sources.sinks import bounded_rows
 
 
 def write_artifact(path: str | Path, record: Mapping, run_id: str) -> Path:
@@ -80,7 +81,7 @@ def equivalence_gate(predictions: Mapping[str, DataFrame]) -> dict:
         return {"status": "insufficient_data", "findings": []}
     findings = []
     for name in names[1:]:
-        different = compare_predictions(predictions[names[0]], predictions[name]).filter("kind <> 'equal'").limit(1000).collect()
+        different = bounded_rows(compare_predictions(predictions[names[0]], predictions[name]).filter("kind <> 'equal'"))  # a row for each fold and model
         findings += [{"pair": (names[0], name), **r.asDict()} for r in different]
     return {"status": "violation" if findings else "equivalent", "findings": findings}
 
