@@ -176,10 +176,10 @@ def mase_scale(df: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
 def shrunken_means(df: DataFrame, strength: float = 5.0, config: PanelConfig = PanelConfig()) -> DataFrame:
     """Entity means drawn towards the overall mean by ``n / (n + strength)``."""
     entities = df.groupBy(config.entity).agg(F.count(config.target).alias("n"), F.sum(config.target).alias("_sum"))
-    whole = W.partitionBy()
-    overall = F.sum("_sum").over(whole) / F.sum("n").over(whole)
+    overall = F.col("_overall")
     weight = F.col("n") / (F.col("n") + F.lit(strength))
-    return entities.select(config.entity, "n", (weight * F.try_divide(F.col("_sum"), F.col("n")) + (1 - weight) * overall).alias("shrunken_mean"))
+    whole = entities.agg(F.try_divide(F.sum("_sum"), F.sum("n")).alias("_overall"))  # one row, over the same exchange
+    return entities.crossJoin(F.broadcast(whole)).select(config.entity, "n", (weight * F.try_divide(F.col("_sum"), F.col("n")) + (1 - weight) * overall).alias("shrunken_mean"))
 
 
 def error_metrics(predictions: DataFrame, keys: Sequence[str], scale: Column | None = None, floor: float = 1e-12) -> DataFrame:

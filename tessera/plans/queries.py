@@ -11,6 +11,7 @@ from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import complement_rate, symmetric_log
 from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, panel as P, prep, runner as R, selection as S
 from tessera.plans import panels as D
+from tessera.sources.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,7 +64,8 @@ def year(spark, folder) -> DataFrame:
 
 
 def folded(spark, folder) -> DataFrame:
-    return L.materialise(day(spark, folder), PERIODS)
+    """The panel, written once for all that the folds make of it, in all its folds."""
+    return L.materialise(stage(day(spark, folder), "panel"), PERIODS)
 
 
 # ---- scans and projections
