@@ -117,8 +117,7 @@ def units_of(groups: DataFrame, shards: int) -> list[Unit]:
     while split := set(to_split(units, shards, least)):
         units = [u for u in units if u not in split]
         for digits in {len(u.digits) for u in split}:
-            named = groups.sparkSession.createDataFrame([(u.digits,) for u in split if len(u.digits) == digits], "_digits string")
-            inside = groups.join(F.broadcast(named), F.substring("_digest", 1, digits) == F.col("_digits"), "left_semi")
+            inside = groups.filter(F.substring("_digest", 1, digits).isin([u.digits for u in split if len(u.digits) == digits]))
             units += added_up(inside, digits + 1)
         units.sort()
     return units
