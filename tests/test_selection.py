@@ -142,3 +142,13 @@ def test_model_queries_run_every_fold(spark, monkeypatch, name):
     monkeypatch.setattr(M, "choose_forest", lambda train, validation, features: M.fit_forest(train, features, trees=3))
     got = Q.QUERIES[name](spark, "/root/testdata/sf0.001").select("fold").distinct().collect()
     assert {r.fold for r in got} == {0, 1}
+
+
+@pytest.mark.parametrize("parallelism", [1, 8])
+def test_each_fold_keeps_the_order_and_raises_what_a_fold_raises(spark, parallelism):
+    from tessera.operators import runner as R
+
+    assert R.each_fold(spark, list(range(12)), lambda k: spark.range(k).count(), parallelism) == list(range(12))
+    assert R.each_fold(spark, [], lambda k: k, parallelism) == []
+    with pytest.raises(ZeroDivisionError):
+        R.each_fold(spark, [1, 0], lambda k: 1 // k, parallelism)
