@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .collocations import collocations, oracle_sql as collocation_sql
 from .decontamination import decontaminate, oracle_sql as decontamination_sql
 from .hard_negatives import hard_negatives
 from .language import identify_language, in_fold, train_language_model
@@ -87,6 +88,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors.withColumn("label", moved), positives=5, negatives=5, every=100, low_percent=80)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), most_words=5, least=100, subsumed_percent=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_decontamination": op11_decontamination,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,6 +160,7 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, a
 FROM p JOIN s USING (anchor_id, anchor) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor, band ORDER BY score DESC, vec_id) <= 5
 """,
+    "op13_collocations": collocation_sql(),
     "op9_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), text, '') AS name FROM documents
