@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .scratch import stage
 from .text import raw
 
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 CODE_BITS = 25  # a batch has no more words than bytes
 ROWS = "batch long, code long, lang string, word string, a long, b long, n long, codes binary"
 
@@ -48,8 +48,7 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndar
     before[bounds] = False
     end = np.flatnonzero(inside & ~before[1:]) + 1
     text = np.searchsorted(bounds, begin, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(broken)])
-    piece = breaks[begin] if len(begin) else np.empty(0, np.int64)
+    piece = np.searchsorted(np.flatnonzero(broken), begin)
     follows = np.zeros(len(begin), bool)
     follows[1:] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
     offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
