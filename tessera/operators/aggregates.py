@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.config import PanelConfig
 from tessera.functions.expressions import correlation
+from tessera.operators.order import exact_percentiles, with_previous
 from tessera.operators.panel import ordered
 
 
@@ -24,12 +25,15 @@ def overview(df: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
 def target_profile(df: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
     """Completeness, quartiles, range, coefficient of variation and out-of-range count of the target."""
     y = config.target
-    quartile = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     mean, std = F.avg(y), F.stddev_pop(y)
-    return df.agg(
+    one = df.agg(
         F.count(y).alias("n_valid"), (F.count(F.lit(1)) - F.count(y)).alias("n_missing"), (F.count(y) * 100.0 / F.count(F.lit(1))).alias("completeness"),
-        mean.alias("mean"), std.alias("std_pop"), F.try_divide(std, mean).alias("variation"), quartile[0].alias("q25"), quartile[1].alias("median"), quartile[2].alias("q75"),
-        (quartile[2] - quartile[0]).alias("iqr"), (F.max(y) - F.min(y)).alias("spread"), F.count_if((F.col(y) < 0) | (F.col(y) > 100)).alias("n_out_of_range"),
+        mean.alias("mean"), std.alias("std_pop"), F.try_divide(std, mean).alias("variation"), (F.max(y) - F.min(y)).alias("spread"),
+        F.count_if((F.col(y) < 0) | (F.col(y) > 100)).alias("n_out_of_range"),
+    )
+    quartile = exact_percentiles(df, [], [y], [0.25, 0.5, 0.75]).select(*[F.col("values")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))])  # one row, none without values
+    return one.join(F.broadcast(quartile), F.lit(True), "left").withColumn("iqr", F.col("q75") - F.col("q25")).select(
+        "n_valid", "n_missing", "completeness", "mean", "std_pop", "variation", "q25", "median", "q75", "iqr", "spread", "n_out_of_range"
     )
 
 
@@ -105,14 +109,13 @@ def target_correlations(df: DataFrame, features: Sequence[str], config: PanelCon
 def lag_autocorrelation(df: DataFrame, columns: Sequence[str], config: PanelConfig = PanelConfig(), within_entities: bool = True) -> DataFrame:
     """Correlation of each column with its entity's previous row; on request the first row of an entity follows the last one of the entity before.
 
-    The latter needs no global sort: it joins each entity's last row to the first row of the next entity.
+    The latter sorts the entities' first and last rows by ranges, each of which hands its last entity to the next.
     """
     lagged = df.select(*columns, *[F.lag(c).over(ordered(config)).alias(f"_{c}") for c in columns])
     if not within_entities:
         first = lambda order, c: F.min_by(F.struct(*columns), order).alias(c)
         ends = df.groupBy(config.entity).agg(first(F.col(config.period), "first"), first(-F.col(config.period), "last"))
-        # one row per entity in one order: the entities' first and last rows only
-        linked = ends.withColumn("before", F.lag("last").over(W.partitionBy(F.lit(0)).orderBy(config.entity))).filter("before IS NOT NULL")
+        linked = with_previous(ends, [config.entity], ["last"], "before_").withColumnRenamed("before_last", "before").filter("before IS NOT NULL")
         lagged = lagged.union(linked.select(*[F.col(f"first.{c}") for c in columns], *[F.col(f"before.{c}").alias(f"_{c}") for c in columns]))
     one = lagged.agg(*[correlation(F.col(c), F.col(f"_{c}")).alias(c) for c in columns])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).alias("r")) for c in columns])))

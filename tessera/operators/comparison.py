@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.functions.statistics import walsh_median
+from tessera.operators.order import with_rank
+
 PHASES = ("processing", "setup", "baseline", "hierarchical")
 
 
@@ -100,11 +104,14 @@ def adjusted_p(df: DataFrame, p: str = "p", family: Sequence[str] = ()) -> DataF
 
 
 def hodges_lehmann(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median of all Walsh averages, a value with itself included, for each group of a few hundred values."""
-    numbered = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(value)))
-    other = numbered.select(*keys, F.col("_i").alias("_j"), F.col(value).alias("_other"))
-    walsh = numbered.join(other, list(keys)).filter(F.col("_i") <= F.col("_j")) if keys else numbered.join(other, F.col("_i") <= F.col("_j"))
-    return walsh.groupBy(*keys).agg(F.percentile((F.col(value) + F.col("_other")) / 2, F.lit(0.5)).alias("hodges_lehmann"))
+    """Median of all Walsh averages, a value with itself included, for each group; a task holds a group's values, never their pairs."""
+    kinds = dict(df.dtypes)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+
+    def median(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: group[k].iloc[:1] for k in keys}, "hodges_lehmann": [walsh_median(group["_value"].to_numpy())]})
+
+    return rows.groupBy(*keys).applyInPandas(median, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "hodges_lehmann double"]))
 
 
 def equivalence(low: Column, high: Column, delta: Column) -> Column:
@@ -145,8 +152,8 @@ def compare_predictions(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def numbered_predictions(df: DataFrame, entity: str, period: str) -> DataFrame:
     """The stored form of predictions: each row's place in its fold and model, by entity and period."""
-    place = F.row_number().over(W.partitionBy("fold", "model").orderBy(entity, period)) - 1
-    return df.select("fold", "model", place.alias("row"), F.col(entity).alias("entity"), "y_true", "y_pred")
+    placed = with_rank(df.select("fold", "model", entity, period, "y_true", "y_pred"), ["fold", "model"], [entity, period], "row")
+    return placed.select("fold", "model", F.col("row").cast("int").alias("row"), F.col(entity).alias("entity"), "y_true", "y_pred")
 
 
 def gap_to_baseline(scores: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.config import PanelConfig
 from tessera.functions.expressions import clip, complement_rate, completeness, symmetric_log
+from tessera.operators.order import exact_percentiles
 
 
 def pivot_observations(df: DataFrame, index: Sequence[str], indicators: Sequence[str], name: str = "indicator", value: str = "value") -> DataFrame:
@@ -98,7 +99,12 @@ def fill_with_previous_mean(df: DataFrame, column: str, rows: int = 3, config: P
 
 def fill_with_peers(df: DataFrame, columns: Sequence[str], how: str = "median", config: PanelConfig = PanelConfig()) -> DataFrame:
     """Fill missing values with the median or mean of the same stratum and period."""
-    peers = df.groupBy(config.stratum, config.period).agg(*[(F.median(c) if how == "median" else F.avg(c)).alias(f"_{c}") for c in columns])
+    peer = [config.stratum, config.period]
+    if how == "median":
+        medians = exact_percentiles(df, peer, columns, [0.5])
+        peers = medians.groupBy(*peer).agg(*[F.max(F.when(F.col("indicator") == c, F.col("values")[0])).alias(f"_{c}") for c in columns])
+    else:
+        peers = df.groupBy(*peer).agg(*[F.avg(c).alias(f"_{c}") for c in columns])
     same = df[config.stratum].eqNullSafe(peers[config.stratum]) & (df[config.period] == peers[config.period])
     joined = df.join(peers, same, "left").select(df["*"], *[peers[f"_{c}"] for c in columns])
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in columns}).drop(*[f"_{c}" for c in columns])

@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.order import exact_percentiles
+
 
 def train_statistics(train: DataFrame, columns: Sequence[str], how: str = "median") -> dict[str, float]:
     """Median or mean of each column; a column without an observation is an error."""
-    of = (lambda c: F.percentile(c, F.lit(0.5))) if how == "median" else F.avg
-    found = train.agg(*[of(c).alias(c) for c in columns]).first().asDict()
+    if how == "median":
+        found = dict.fromkeys(columns) | {r["indicator"]: r["values"][0] for r in exact_percentiles(train, [], columns, [0.5]).collect()}  # a row for each column
+    else:
+        found = train.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
     unobserved = sorted(c for c, v in found.items() if v is None)
     if unobserved:
         raise ValueError(f"the training part has no observation of {unobserved}")

@@ -1,19 +1,22 @@
 """Feature selection and the checks against leakage through features.
 
-Everything that grows with the panel is one aggregation to a matrix of moments, columns by columns; the linear algebra on it runs on the driver.
+Everything that grows with the panel is one aggregation to a matrix of moments, columns by columns, or a tree of triangular factors; the linear algebra on those runs on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.config import LeakageViolation, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import numeric_columns
 from tessera.operators.aggregates import correlation_pairs, target_correlations
+from tessera.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -60,12 +63,53 @@ def redundant_features(found: Moments, features: Sequence[str], protocol: Protoc
     return [f for f, r2 in scores.items() if r2 is not None and r2 > protocol.identity]
 
 
-def design_rank(found: Moments, features: Sequence[str]) -> tuple[int, int]:
-    """Rank of the features with a constant, and the rank it would have without dependence."""
-    cross = found.pick(features)
-    scale = np.sqrt(np.where(np.diag(cross) > 0, np.diag(cross), 1.0))
-    values = np.linalg.eigvalsh(cross / np.outer(scale, scale)) if len(features) else np.empty(0)
-    return 1 + int((values > 1e-10 * max(1, len(features))).sum()), 1 + len(features)
+def triangular_factor(df: DataFrame, columns: Sequence[str], fan_in: int = 16) -> np.ndarray:
+    """The R of a QR decomposition of the complete rows of a constant and the columns, by a tree: each partition's own, then those of ``fan_in`` at a time.
+
+    Unlike the matrix of moments it does not square the columns, so that dependences down to the precision of a double can be told from near ones.
+    """
+    size = len(columns) + 1
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).dropna()
+
+    def stacked(parts: Iterable[np.ndarray]) -> np.ndarray:
+        r = np.zeros((0, size))
+        for part in parts:
+            r = np.linalg.qr(np.vstack([r, part]), mode="r")
+        return r
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = stacked(np.column_stack([np.ones(len(b)), b.to_numpy(float)]) for b in batches if len(b))
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [r.tobytes()]})
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        r = stacked(np.frombuffer(x).reshape(-1, size) for x in group.sort_values("part")["r"])
+        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "r": [r.tobytes()]})
+
+    factors = stage(rows.mapInPandas(own, "part long, r binary"), "factors")
+    parts = (factors.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > fan_in:
+        factors = factors.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(merged, "part long, r binary")
+        parts = -(-parts // fan_in)
+    return stacked(np.frombuffer(r["r"]).reshape(-1, size) for r in factors.orderBy("part").collect())  # fan_in matrices of the columns' size at most
+
+
+def design_rank(df: DataFrame, features: Sequence[str], tolerance: float = 1e-11) -> tuple[int, int]:
+    """Rank of the features with a constant, and the rank it would have without dependence.
+
+    Dependence is told by singular values relative to the largest, of columns less their means and brought to one length.
+    """
+    features = list(features)
+    if not features:
+        return 1, 1
+    r = triangular_factor(df, features)
+    centred = r[1:, 1:]
+    lengths = np.sqrt((centred * centred).sum(axis=0))
+    whole = np.sqrt((r[:, 1:] ** 2).sum(axis=0))
+    varying = lengths > tolerance * whole
+    # a column far from zero holds its variation with the precision of its size only
+    tolerance = max(tolerance, 8 * np.finfo(float).eps * float((whole[varying] / lengths[varying]).max(initial=0)))
+    values = np.linalg.svd(centred[:, varying] / lengths[varying], compute_uv=False) if varying.any() else np.empty(0)
+    return int(len(r) > 0) + int((values > tolerance * values.max(initial=0)).sum()), 1 + len(features)
 
 
 def candidate_pool(df: DataFrame, config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig(), declared: Sequence[str] = ()) -> list[str]:
@@ -154,7 +198,7 @@ def audit_features(df: DataFrame, features: Sequence[str], config: PanelConfig =
     r2 = reconstruction_r2(found, config.target, exogenous)
     if r2 is not None and r2 > protocol.identity:
         raise LeakageViolation("the features determine the target")
-    rank, full = design_rank(found, exogenous)
+    rank, full = design_rank(rows, exogenous)
     return {
         "status": "ran" if testable and r2 is not None else "indeterminate", "exempt": [c for c in lags if c in features], "correlations": r,
         "untested": sorted(set(exogenous) - set(testable)), "reconstruction_r2": r2, "redundant": redundant_features(found, exogenous, protocol), "rank": rank, "full_rank": full,

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import complement_rate, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, panel as P, prep, runner as R, selection as S
+from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, order as O, panel as P, prep, runner as R, selection as S
 from tessera.plans import panels as D
 from tessera.sources.staging import stage
 
@@ -191,6 +192,15 @@ def _(spark, folder):
     return A.overview(day(spark, folder))
 
 
+@query("quantile_sketch_merge", f"WITH {T_DAY}, g AS (SELECT entity_stratum, count(target) AS n FROM t GROUP BY 1) SELECT entity_stratum, n, CAST(fraction AS DOUBLE) AS fraction, true AS within_error FROM g, (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) AS v(fraction) WHERE n > 0")
+def _(spark, folder):
+    """Sketches by stratum and period, merged into those of strata; the SQL states that no estimate is off by more than 1 % of the ranks."""
+    panel = stage(day(spark, folder), "panel")
+    stored = stage(O.quantile_sketches(panel, ["entity_stratum", "period"], "target"), "sketches")
+    estimates = O.sketched_quantiles(O.merged_sketches(stored, ["entity_stratum"]), ["entity_stratum"], [0.01, 0.25, 0.5, 0.75, 0.99])
+    return O.rank_errors(panel, ["entity_stratum"], "target", estimates).select("entity_stratum", "n", "fraction", (F.col("rank_error") <= 0.01).alias("within_error"))
+
+
 @query("target_profile", f"""WITH {T_DAY}, g AS (SELECT count(target) AS n_valid, count(*) - count(target) AS n_missing, count(target) * 100.0::DOUBLE / count(*) AS completeness, avg(target) AS mean, stddev_pop(target) AS std_pop, stddev_pop(target) / avg(target) AS variation,
 quantile_cont(target, 0.25) AS q25, quantile_cont(target, 0.5) AS median, quantile_cont(target, 0.75) AS q75, quantile_cont(target, 0.75) - quantile_cont(target, 0.25) AS iqr, max(target) - min(target) AS spread, count(*) FILTER (target < 0 OR target > 100) AS n_out_of_range FROM t)
 SELECT n_valid, n_missing, n_out_of_range, {r6('completeness', 'mean', 'std_pop', 'variation', 'q25', 'median', 'q75', 'iqr', 'spread')} FROM g""")
@@ -378,9 +388,13 @@ def _(spark, folder):
     return L.outside_gap(day(spark, folder), 1, 20, 9, 12).select("entity_id", "period")
 
 
-@query("fold_bounds", f"SELECT CAST(fold AS INTEGER) AS fold, split, CAST(lo AS INTEGER) AS first_period, CAST(hi AS INTEGER) AS last_period FROM (VALUES {BOUNDS}) AS v(fold, split, lo, hi)")
+@query("fold_bounds", f"""WITH p AS ({D.USER_DAY}), e AS (SELECT min(period) AS lo, max(period) AS hi FROM p), s AS (SELECT lo, unnest(range(lo + 8 + 2 + 2 * 2, hi - 2 + 2)) AS t FROM e),
+k AS (SELECT CAST(row_number() OVER (ORDER BY t) - 1 AS INTEGER) AS fold, lo, t FROM s),
+b AS (SELECT fold, 'train' AS split, lo AS a, t - 7 AS z FROM k UNION ALL SELECT fold, 'val', t - 4, t - 3 FROM k UNION ALL SELECT fold, 'test', t, t + 1 FROM k)
+SELECT fold, split, CAST(a AS INTEGER) AS first_period, CAST(z AS INTEGER) AS last_period FROM b""")
 def _(spark, folder):
-    return L.fold_bounds(spark, L.walk_forward(DAYS))
+    ends = day(spark, folder).agg(F.min("period").alias("first"), F.max("period").alias("last")).first()
+    return L.fold_bounds(spark, L.walk_forward(replace(DAYS, first=ends["first"], last=ends["last"])))
 
 
 @query("fold_counts", f"WITH {FOLDED}, g AS (SELECT fold, split, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, count(target) AS n_target, avg(target) AS mean FROM f GROUP BY 1, 2) SELECT fold, split, n_rows, n_entities, n_target, {r6('mean')} FROM g")

@@ -173,3 +173,19 @@ def test_readers(spark):
     with pytest.raises(OSError):
         R.fetch("http://x", attempts=3, opener=opener, sleep=waits.append)
     assert len(calls) == 3 and waits == [1.0, 2.0]
+
+
+def test_walsh_median_without_pairs():
+    import time
+
+    from tessera.functions.statistics import walsh_median
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 10, 57, 400):
+        for x in (rng.normal(size=n), rng.integers(0, 4, n).astype(float), np.full(n, 0.1)):
+            i, j = np.triu_indices(n)
+            assert walsh_median(x) == pytest.approx(np.median((x[i] + x[j]) / 2), abs=1e-12)
+    began = time.perf_counter()
+    large = rng.normal(size=100_000)
+    assert abs(walsh_median(large) - np.mean(large)) < 0.01
+    assert time.perf_counter() - began < 30

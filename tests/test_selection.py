@@ -30,7 +30,7 @@ def test_reconstruction_matches_least_squares(spark):
     found = S.moments(df, df.columns)
     assert S.reconstruction_r2(found, "target", ["a", "b", "c"]) == pytest.approx(1 - rest @ rest / ((y - y.mean()) ** 2).sum())
     assert S.reconstruction_r2(found, "target", []) is None
-    assert S.design_rank(found, ["a", "b", "c"]) == (4, 4)
+    assert S.design_rank(df, ["a", "b", "c"]) == (4, 4)
 
 
 def test_collinear_frame(spark):
@@ -39,7 +39,7 @@ def test_collinear_frame(spark):
     df = frame(spark, a=a, b=a + 0.001 * rng.normal(size=100), c=c, d=a + c)
     assert S.without_collinear(df.drop("d"), ["a", "b", "c"]) == ["a", "c"]
     found = S.moments(df, ["a", "c", "d"])
-    assert S.redundant_features(found, ["a", "c", "d"]) == ["a", "c", "d"] and S.design_rank(found, ["a", "c", "d"]) == (3, 4)
+    assert S.redundant_features(found, ["a", "c", "d"]) == ["a", "c", "d"] and S.design_rank(df, ["a", "c", "d"]) == (3, 4)
     with pytest.raises(ValueError):
         S.without_collinear(df.limit(5), ["a", "b"])
 
@@ -152,3 +152,21 @@ def test_each_fold_keeps_the_order_and_raises_what_a_fold_raises(spark, parallel
     assert R.each_fold(spark, [], lambda k: k, parallelism) == []
     with pytest.raises(ZeroDivisionError):
         R.each_fold(spark, [1, 0], lambda k: 1 // k, parallelism)
+
+
+def test_rank_tells_a_small_difference_from_none(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = rng.normal(size=(3, 4000))
+    df = frame(spark, a=a, b=b, near=a * (1 + 1e-7 * c), same=2 * a - b + 1e6, flat=np.full(4000, 3.0), far=1e7 + b + c).repartition(40)
+    assert S.design_rank(df, ["a", "near"]) == (3, 3)
+    assert S.design_rank(df, ["a", "b", "same"]) == (3, 4)
+    assert S.design_rank(df, ["a", "flat", "far"]) == (3, 4)
+    assert S.design_rank(df, []) == (1, 1)
+
+
+def test_factor_does_not_depend_on_partitions(spark):
+    x = np.random.default_rng(9).normal(size=(500, 3))
+    df = frame(spark, a=x[:, 0], b=x[:, 1], c=x[:, 2])
+    whole = np.abs(np.linalg.qr(np.column_stack([np.ones(500), x]), mode="r"))
+    for parts in (1, 7, 60):
+        np.testing.assert_allclose(np.abs(S.triangular_factor(df.repartition(parts), ["a", "b", "c"], fan_in=4)), whole, rtol=1e-9, atol=1e-9)
