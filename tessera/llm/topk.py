@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from .exact_products import best as best_places, beyond, clipped, products
 from .scratch import stage
 
 BLOCK = 4096
@@ -48,20 +49,27 @@ def kth_best(queries: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, seed
     distinct, first = np.unique(seed_ids[by_id], return_index=True)
     if len(distinct) < k:
         return np.full(len(queries), -np.inf)
-    scores = np.maximum.reduceat(queries @ seeds[by_id].T, first, axis=1)
+    exact = products(queries, seeds[by_id])
+    scores = np.maximum.reduceat(exact, first, axis=1).astype(np.float64)
+    if exact.dtype != np.float64:
+        scores = np.nextafter(scores, -np.inf)  # a threshold may be lower than the score it stands for, not higher
     scores[query_ids[:, None] == distinct[None, :]] = -np.inf
     return np.partition(scores, len(distinct) - k, axis=1)[:, len(distinct) - k]
 
 
 def least_length(queries: np.ndarray, thresholds: np.ndarray) -> float:
     """The length under which no vector can reach the threshold of any of the queries."""
-    lengths = np.sqrt((queries * queries).sum(axis=1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return float(np.where(thresholds > 0, thresholds / lengths * (1 - SLACK), 0.0).min())
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        lengths = np.sqrt((queries * queries).sum(axis=1))
+        least = np.where(thresholds > 0, thresholds / lengths * (1 - SLACK), 0.0)
+    return float(np.where(np.isfinite(least), least, 0.0).min())
 
 
-def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[int, int, float]]:
+@np.errstate(over="ignore", invalid="ignore")
+def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[int, int, int]]:
     """(query, vec_id, score) of up to ``k`` best ids of a block for each query, each with its best vector, none that is under its threshold."""
+    # below 2 ** 53 sums of products are exact in float64
+    plain = max(1, vectors.shape[1]) * float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2.0**53
     lengths = np.sqrt((vectors * vectors).sum(axis=1))
     by_length = np.argsort(-lengths, kind="stable")
     negated = -lengths[by_length]
@@ -72,7 +80,7 @@ def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[
     for query, query_id, threshold in zip(queries, query_ids.tolist(), thresholds.tolist()):
         size = float(np.sqrt(query @ query))
         chosen = by_length
-        if threshold > 0:
+        if threshold > 0 and np.isfinite(size) and np.isfinite(longest):
             if threshold > size * longest * (1 + SLACK):
                 continue
             cosine = min(1.0, threshold / (size * longest)) - SLACK
@@ -84,10 +92,10 @@ def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[
             high = 1.0 if q >= cosine else q * cosine + spread
             lo, hi = np.searchsorted(values[:, at], low - SLACK, "left"), np.searchsorted(values[:, at], high + SLACK, "right")
             chosen = by_value[lo:hi, at] if hi - lo < len(long_enough) else long_enough
-        scores, own = vectors[chosen] @ query, ids[chosen]
-        keep = (own != query_id) & (scores >= threshold)
+        scores, own = vectors[chosen] @ query if plain else products(vectors[chosen], query[None, :])[:, 0], ids[chosen]
+        keep = (own != query_id) & (scores >= threshold).astype(bool)
         scores, own = scores[keep], own[keep]
-        best = np.lexsort((own, -scores))
+        best = best_places(scores, own, len(own))
         _, first = np.unique(own[best], return_index=True)
         best = best[np.sort(first)[:k]]
         found += zip([query_id] * len(best), own[best].tolist(), scores[best].tolist())
@@ -97,18 +105,21 @@ def search_block(queries, query_ids, thresholds, vectors, ids, k) -> list[tuple[
 def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` highest integer inner products: ``query_id, rank, <id_col>, score``.
 
-    A component x counts as ``floor(scale * x)``.  Queries are the rows whose id is divisible by ``every``; candidates are all rows whose id
+    A component x counts as ``floor(scale * x)`` (``scale`` is a power of two), and scores are exact at any size: they are compared as integers, and one outside the range of a long
+    is returned as that range's end.  A component whose multiple is no finite double counts as non-finite.  Queries are the rows whose id is divisible by ``every``; candidates are all rows whose id
     is not the query's.  Ties go to the smaller id.  Null vectors, vectors with null or non-finite components, empty
     vectors and null ids take no part; vectors of different dimensions don't meet.  A query repeated with the same id and vector is one query; with different
     vectors, each candidate counts with its best score, and repeated candidates count once.  Fewer candidates than ``k`` give fewer rows; an
     empty table gives none.  Other columns are ignored, whatever their names.
     """
-    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
+    wide = lambda x: x.cast("double") * scale
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(wide(x)) & (F.abs(wide(x)) != F.lit(float("inf"))))
+    whole = lambda x: F.when(F.abs(wide(x)) < 2.0**53, F.floor(wide(x)).cast("double")).otherwise(wide(x))  # noqa: E731  larger doubles are integers
     vectors = stage(
         df.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & finite)
         .select(
             F.col(id_col).cast("long").alias("_id"),
-            F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("_vector"),
+            F.transform(vector_col, whole).alias("_vector"),
         )
         .distinct()
         .withColumn("_dim", F.size("_vector"))
@@ -164,10 +175,14 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id
                 rows = search_block(query_matrix, query_ids, np.frombuffer(r["thresholds"]), matrix, ids, k)
                 columns = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([int(x) for x in columns[2]], pa.int64())],
-                    ["query_id", "_other", "score"],
+                    [
+                        pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([clipped(x) for x in columns[2]], pa.int64()),
+                        pa.array([beyond(x) or "1" for x in columns[2]], pa.string()),
+                    ],
+                    ["query_id", "_other", "score", "beyond"],
                 )
 
-    found = pairs.mapInArrow(search, "query_id long, _other long, score long").groupBy("query_id", "_other").agg(F.max("score").alias("score"))
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "_other"))
+    found = pairs.mapInArrow(search, "query_id long, _other long, score long, beyond string").groupBy("query_id", "_other").agg(F.max(F.struct("score", "beyond")).alias("_best"))
+    found = found.select("query_id", "_other", "_best.*")
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "_other"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", F.col("_other").alias(id_col), "score")

@@ -19,8 +19,8 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-def run(spark, rows, k=5, every=10):
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+def run(spark, rows, k=5, every=10, kind="float"):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, rank int")
     return sorted(tuple(r) for r in exact_top_k(df, k, every).collect())
 
 
@@ -60,3 +60,15 @@ def test_few_and_no_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
+
+
+def test_scores_beyond_floats_and_longs(spark):
+    limit = (1 << 63) - 1
+    held = lambda rows: [(q, r, i, max(-limit - 1, min(limit, s))) for q, r, i, s in rows]
+    near = [(0, [2.0**22, 1.0]), *[(i, [2.0**22, x / 256]) for i, x in ((1, 0), (2, 6), (3, 3), (4, 6))]]
+    assert brute(near, 5, 10)[0][3] > 1 << 59 and run(spark, near) == brute(near, 5, 10)
+    huge = [(i, [1e30 * (-1) ** i, i / 2, 2.0**40 if i == 4 else 1.0]) for i in range(12)]
+    expected = brute(huge, 5, 10)
+    assert any(s > limit for *_, s in expected)
+    assert run(spark, huge, kind="double") == held(expected)
+    assert run(spark, [(0, [1e308]), (1, [1.0]), (10, [1.0])], kind="double") == [(10, 1, 1, 65536)]
