@@ -8,7 +8,8 @@ Only pairs of frequent grams are formed, since a phrase is no more frequent than
 without its first word.  Following them gives the counts of all first parts and rests, which the cuts need, and what a longer phrase subsumes: if some longer candidate is
 frequent enough, so is one that is a single word longer, and that names the shorter one as a parent.
 
-Names are places (batch and code) of one of a gram's rows, so they never collide.  A batch is bounded by bytes of text; rows of a gram are as many as batches that have it.
+Names never collide: a word's is the place (batch and code) of one of its rows, a longer gram's a number within its bucket.  Buckets grow in number with the words, so that
+one holds about ``BUCKET_WORDS`` pairs at most; a batch is bounded by bytes of text, and a gram has one entry for each batch that has it.
 """
 
 from __future__ import annotations
@@ -16,17 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .scratch import stage
-from .text import raw
+from .text import mixed, raw
 
 BATCH_BYTES = 8 << 20
+BUCKET_WORDS = 1 << 20  # so many words of text for each bucket of pairs
 CODE_BITS = 25  # a batch has no more words than bytes
-ROWS = "batch long, code long, lang string, word string, a long, b long, n long, codes binary"
+ROWS = "batch long, code long, lang string, word string, n long, codes binary"
 
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
@@ -64,17 +67,15 @@ def codes_of(blob: bytes, most: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, most, "zstd", asbytes=True), np.int32) if blob else np.empty(0, np.int32)
 
 
-def _rows(batch: int, codes: np.ndarray, n: np.ndarray, sequence: np.ndarray, **columns) -> Iterator[pa.RecordBatch]:
-    """The distinct grams of a batch, and one row without a code that holds its sequence with the length as ``n``."""
-    size = len(codes)
-    none = {"lang": pa.nulls(size, pa.string()), "word": pa.nulls(size, pa.string()), "a": pa.nulls(size, pa.int64()), "b": pa.nulls(size, pa.int64())}
-    found = none | columns
-    names = ["batch", "code", "lang", "word", "a", "b", "n", "codes"]
+def _rows(batch: int, codes: np.ndarray, n: np.ndarray, sequence: np.ndarray, langs: pa.Array, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The distinct words of a batch, and one row without a code that holds its sequence with the length as ``n``."""
+    size, names = len(codes), ["batch", "code", "lang", "word", "n", "codes"]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, batch), pa.int64()), pa.array(codes, pa.int64()), *[found[c] for c in ("lang", "word", "a", "b")], pa.array(n, pa.int64()), pa.nulls(size, pa.binary())], names
+        [pa.array(np.full(size, batch), pa.int64()), pa.array(codes, pa.int64()), langs, words, pa.array(n, pa.int64()), pa.nulls(size, pa.binary())], names
     )
     yield pa.RecordBatch.from_arrays(
-        [pa.array([batch], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(sequence)], pa.int64()), pa.array([squeezed(sequence)], pa.binary())], names
+        [pa.array([batch], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([len(sequence)], pa.int64()), pa.array([squeezed(sequence)], pa.binary())],
+        names,
     )
 
 
@@ -117,28 +118,41 @@ def coded_words(df: DataFrame, lang_col: str, text_col: str, batch_bytes: int) -
             sequence = np.full(len(codes) + int((~follows).sum()), -1, np.int32)
             sequence[at] = codes
             which = lambda dictionary, i: dictionary.take(pa.array(i)).cast(pa.string())
-            yield from _rows(first + number, np.arange(len(keys)), n, sequence, lang=which(spoken.dictionary, keys // len(known.dictionary)), word=which(known.dictionary, keys % len(known.dictionary)))
+            lang, word = which(spoken.dictionary, keys // len(known.dictionary)), which(known.dictionary, keys % len(known.dictionary))
+            yield from _rows(first + number, np.arange(len(keys)), n, sequence, lang, word)
 
     return source.mapInArrow(code, ROWS)
 
 
 def named(grams: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows (``batch, code, *keys, n``) of the grams that all batches together have ``least`` times: ``batch, code, *keys, f, name``."""
+    """Rows (``batch, code, *keys, n``) of the grams that all batches together have ``least`` times: ``batch, code, *keys, f, name, own``, the last true for one row of each."""
     same = W.partitionBy(*keys)
     place = F.col("batch") * F.lit(1 << CODE_BITS) + F.col("code")
     counted = grams.select("batch", "code", *keys, F.sum("n").over(same).alias("f"), F.min(place).over(same).alias("name"))
-    return counted.filter(F.col("f") >= least)
+    return counted.filter(F.col("f") >= least).withColumn("own", F.col("name") == place)
 
 
-def paired(level: DataFrame, found: DataFrame) -> DataFrame:
-    """The next level: each batch's distinct pairs of adjacent frequent grams, by name, and its sequence of their codes."""
+def planes(values: np.ndarray) -> bytes:
+    """64-bit integers by bytes of one weight, compressed: small numbers take little."""
+    return bytes(pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True))
+
+
+def from_planes(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size).T.copy().view("<i8").ravel()
+
+
+def paired(sequences: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """The next level: each batch's distinct pairs of adjacent frequent grams, by name, and its sequence of their codes.
+
+    The pairs of a batch are dealt to buckets by hash and go there as one row each, ``batch, code, bucket, n, blob``: ``n`` pairs whose codes begin with
+    ``code``, as compressed columns of both names and counts.  A row without a bucket holds a batch's sequence of ``n`` codes.
+    """
     names = found.groupBy("batch").agg(F.collect_list("code").alias("known"), F.collect_list("name").alias("names"))
-    sequences = level.filter("code IS NULL").select("batch", "n", "codes")
 
     def pair(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for batch, size, blob, known, names in zip(*[part.column(i) for i in range(5)]):
-                codes = codes_of(blob.as_py(), 4 * size.as_py())
+                batch, codes = batch.as_py(), codes_of(blob.as_py(), 4 * size.as_py())
                 known, names = np.asarray(known.values), np.asarray(names.values)
                 order = np.argsort(known)
                 known, names = known[order], names[order]
@@ -149,17 +163,55 @@ def paired(level: DataFrame, found: DataFrame) -> DataFrame:
                 if not both.any():
                     continue
                 keys, pairs, n = np.unique(at[:-1][both].astype(np.int64) * len(known) + at[1:][both], return_inverse=True, return_counts=True)
+                a, b = names[keys // len(known)], names[keys % len(known)]
+                bucket = (mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((b, a, bucket))
+                code = np.empty(len(keys), np.int32)
+                code[order] = np.arange(len(keys), dtype=np.int32)
                 next_codes = np.full(len(at) - 1, -1, np.int32)
-                next_codes[both] = pairs
+                next_codes[both] = code[pairs]
+                a, b, n, bucket = a[order], b[order], n[order], bucket[order]
+                begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = []
+                for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+                    columns = [planes(np.diff(a[lo:hi], prepend=0)), planes(b[lo:hi]), planes(n[lo:hi])]
+                    rows.append((batch, lo, int(bucket[lo]), hi - lo, columns))
                 alive = next_codes >= 0
-                kept = alive | np.concatenate([[False], alive[:-1]])  # one break is enough after a run
-                yield from _rows(batch.as_py(), np.arange(len(keys)), n, next_codes[kept], a=pa.array(names[keys // len(known)]), b=pa.array(names[keys % len(known)]))
-
-    return sequences.join(names, "batch").select("batch", "n", "codes", "known", "names").mapInArrow(pair, ROWS)
+                kept = next_codes[alive | np.concatenate([[False], alive[:-1]])]  # one break is enough after a run
+                rows.append((batch, 0, None, len(kept), [squeezed(kept)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], ["batch", "code", "bucket", "n", "blobs"])
+
+    return sequences.join(names, "batch").select("batch", "n", "codes", "known", "names").mapInArrow(pair, "batch long, code long, bucket long, n long, blobs array<binary>")
+
+
+def counted_pairs(level: DataFrame, least: int, buckets: int) -> DataFrame:
+    """``named`` for the pairs of ``paired``: a bucket's pairs of all batches are counted together, and the frequent ones get a name of the bucket."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r in rows.itertuples(index=False):
+            a, b, n = (from_planes(x, r.n) for x in r.blobs)
+            parts.append((np.full(r.n, r.batch), r.code + np.arange(r.n), np.cumsum(a), b, n))
+        batch, code, a, b, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((code, batch, b, a))
+        batch, code, a, b, n = batch[order], code[order], a[order], b[order], n[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        total = np.add.reduceat(n, np.flatnonzero(first))
+        gram = np.cumsum(first) - 1
+        frequent = total >= least
+        name = (np.cumsum(frequent) - 1) * buckets + int(rows["bucket"].iloc[0])
+        keep = frequent[gram]
+        gram = gram[keep]
+        return pd.DataFrame({"batch": batch[keep], "code": code[keep], "a": a[keep], "b": b[keep], "f": total[gram], "name": name[gram], "own": first[keep]})
+
+    pairs = level.filter("bucket IS NOT NULL")
+    return pairs.groupBy("bucket").applyInPandas(count, "batch long, code long, a long, b long, f long, name long, own boolean")
 
 
 def collocations(
-    df: DataFrame, most_words: int = 5, least: int = 100, subsumed_percent: int = 100, top: int | None = 2000, lang_col: str = "lang", text_col: str = "text", batch_bytes: int = BATCH_BYTES
+    df: DataFrame, most_words: int = 5, least: int = 100, subsumed_percent: int = 100, top: int | None = 2000, lang_col: str = "lang", text_col: str = "text",
+    batch_bytes: int = BATCH_BYTES, bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the phrases of 2 to ``most_words`` words that a language has ``least`` times or more.
 
@@ -175,14 +227,16 @@ def collocations(
     words = level.filter("code IS NOT NULL")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     found = stage(named(words, ["lang", "word"], least), "phrases-named")
-    own = F.col("name") == F.col("batch") * F.lit(1 << CODE_BITS) + F.col("code")  # one row for each gram
+    buckets = -(-(words.agg(F.sum("n")).first()[0] or 1) // bucket_words)
+    sequences = level.filter("code IS NULL").select("batch", "n", "codes")
     none = F.array().cast("array<long>")
-    grams = stage(found.filter(own).select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests")), "phrases-grams")
+    grams = stage(found.filter("own").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests")), "phrases-grams")
     candidates, above = [], []
     for size in range(2, most_words + 1):
-        level = stage(paired(level, found), f"phrases-{size}")
-        found = stage(named(level.filter("code IS NOT NULL"), ["a", "b"], least), "phrases-named")
-        pairs = found.filter(own).select("name", "a", "b", "f")
+        level = stage(paired(sequences, found, buckets), f"phrases-{size}")
+        found = stage(counted_pairs(level, least, buckets), "phrases-named")
+        sequences = level.filter("bucket IS NULL").select("batch", "n", F.col("blobs")[0].alias("codes"))
+        pairs = found.filter("own").select("name", "a", "b", "f")
         first = grams.select(F.col("name").alias("a"), "lang", "phrase", "firsts", F.col("f").alias("f_a"))
         rest = grams.select(F.col("name").alias("b"), "last", "rests", F.col("f").alias("f_b"))
         longer = pairs.join(first, "a").join(rest, "b").select(

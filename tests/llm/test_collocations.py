@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.collocations import codes_of, collocations, split_words, squeezed
+from tessera.llm.collocations import codes_of, collocations, from_planes, planes, split_words, squeezed
 from tessera.llm.text import raw
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,7 +57,7 @@ def corpus(seed=1, texts=300):
 
 def test_matches_brute_force(spark):
     rows = corpus()
-    for more in ({}, {"batch_bytes": 500}, {"top": 7}, {"subsumed_percent": 60}, {"most_words": 3}):
+    for more in ({}, {"batch_bytes": 500, "bucket_words": 400}, {"top": 7}, {"subsumed_percent": 60}, {"most_words": 3}):
         expected = brute(rows, 12, most=more.get("most_words", 5), percent=more.get("subsumed_percent", 100), top=more.get("top", 2000))
         assert len(expected) > 15
         assert run(spark, rows, 12, **more) == expected
@@ -90,3 +90,5 @@ def test_words_and_pieces():
 def test_codes_round_trip():
     for codes in (np.empty(0, np.int32), np.array([-1, 5, 7], np.int32)):
         assert codes_of(squeezed(codes), 4 * len(codes)).tolist() == codes.tolist()
+    for values in (np.array([0, 1, -1, 2**62, -(2**62)]), np.arange(1000)):
+        assert from_planes(planes(values), len(values)).tolist() == values.tolist()
