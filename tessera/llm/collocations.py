@@ -8,7 +8,7 @@ Only pairs of frequent grams are formed, since a phrase is no more frequent than
 without its first word.  Following them gives the counts of all first parts and rests, which the cuts need, and what a longer phrase subsumes: if some longer candidate is
 frequent enough, so is one that is a single word longer, and that names the shorter one as a parent.
 
-Names never collide: a word's is the place (batch and code) of one of its rows, a longer gram's a number within its bucket.  Buckets grow in number with the words, so that
+Names never collide: a word's is the place (batch and code) of one of its rows, a longer gram's a number of its bucket.  Buckets grow in number with the words, so that
 one holds about ``BUCKET_WORDS`` pairs at most; a batch is bounded by bytes of text, and a gram has one entry for each batch that has it.
 """
 
@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .scratch import stage
 from .text import mixed, raw
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 BUCKET_WORDS = 1 << 20  # so many words of text for each bucket of pairs
 CODE_BITS = 25  # a batch has no more words than bytes
+COUNTED = ["a", "b", "f", "name", "batch", "size", "codes", "names"]
 ROWS = "batch long, code long, lang string, word string, n long, codes binary"
 
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -147,15 +148,27 @@ def paired(sequences: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     The pairs of a batch are dealt to buckets by hash and go there as one row each, ``batch, code, bucket, n, blob``: ``n`` pairs whose codes begin with
     ``code``, as compressed columns of both names and counts.  A row without a bucket holds a batch's sequence of ``n`` codes.
     """
-    names = found.groupBy("batch").agg(F.collect_list("code").alias("known"), F.collect_list("name").alias("names"))
+    if "names" in found.columns:
+        names = found.filter("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("size", "codes", "names")).alias("known"))
+    else:
+        names = found.groupBy("batch").agg(F.collect_list(F.struct("code", "name")).alias("known"))
+
+    def named_codes(known: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of a batch that have names, in order, and the names."""
+        if known.type.num_fields == 2:
+            codes, names = (np.asarray(known.field(i)) for i in (0, 1))
+        else:
+            rows = known.to_pylist()
+            codes = np.concatenate([np.cumsum(from_planes(r["codes"], r["size"])) for r in rows])
+            names = np.concatenate([from_planes(r["names"], r["size"]) for r in rows])
+        order = np.argsort(codes)
+        return codes[order], names[order]
 
     def pair(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for batch, size, blob, known, names in zip(*[part.column(i) for i in range(5)]):
+            for batch, size, blob, known in zip(*[part.column(i) for i in range(4)]):
                 batch, codes = batch.as_py(), codes_of(blob.as_py(), 4 * size.as_py())
-                known, names = np.asarray(known.values), np.asarray(names.values)
-                order = np.argsort(known)
-                known, names = known[order], names[order]
+                known, names = named_codes(known.values)
                 place = np.full(int(max(codes.max(), known.max())) + 1, -1, np.int32)
                 place[known] = np.arange(len(known))
                 at = np.where(codes >= 0, place[codes], -1)  # a frequent gram's place among the known ones
@@ -181,11 +194,14 @@ def paired(sequences: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
                 rows.append((batch, 0, None, len(kept), [squeezed(kept)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], ["batch", "code", "bucket", "n", "blobs"])
 
-    return sequences.join(names, "batch").select("batch", "n", "codes", "known", "names").mapInArrow(pair, "batch long, code long, bucket long, n long, blobs array<binary>")
+    return sequences.join(names, "batch").select("batch", "n", "codes", "known").mapInArrow(pair, "batch long, code long, bucket long, n long, blobs array<binary>")
 
 
 def counted_pairs(level: DataFrame, least: int, buckets: int) -> DataFrame:
-    """``named`` for the pairs of ``paired``: a bucket's pairs of all batches are counted together, and the frequent ones get a name of the bucket."""
+    """A bucket's pairs of all batches counted together: rows ``a, b, f, name`` of the frequent ones, and for each batch that has some one row ``batch, size, codes, names``.
+
+    The latter holds compressed columns: the batch's codes and their names.
+    """
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -202,11 +218,20 @@ def counted_pairs(level: DataFrame, least: int, buckets: int) -> DataFrame:
         frequent = total >= least
         name = (np.cumsum(frequent) - 1) * buckets + int(rows["bucket"].iloc[0])
         keep = frequent[gram]
-        gram = gram[keep]
-        return pd.DataFrame({"batch": batch[keep], "code": code[keep], "a": a[keep], "b": b[keep], "f": total[gram], "name": name[gram], "own": first[keep]})
+        at = np.flatnonzero(first)[frequent]
+        grams = pd.DataFrame({"a": a[at], "b": b[at], "f": total[frequent], "name": name[frequent]})
+        batch, code, own = batch[keep], code[keep], name[gram[keep]]
+        order = np.lexsort((code, batch))
+        batch, code, own = batch[order], code[order], own[order]
+        begin = np.flatnonzero(np.diff(batch, prepend=-1))
+        back = [
+            (batch[lo], hi - lo, planes(np.diff(code[lo:hi], prepend=0)), planes(own[lo:hi])) for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(batch)])
+        ]
+        parts = pd.DataFrame(back, columns=["batch", "size", "codes", "names"])
+        return pd.concat([grams.reindex(columns=COUNTED), parts.reindex(columns=COUNTED)], ignore_index=True).astype({c: "Int64" for c in COUNTED[:6]})
 
     pairs = level.filter("bucket IS NOT NULL")
-    return pairs.groupBy("bucket").applyInPandas(count, "batch long, code long, a long, b long, f long, name long, own boolean")
+    return pairs.groupBy("bucket").applyInPandas(count, "a long, b long, f long, name long, batch long, size long, codes binary, names binary")
 
 
 def collocations(
@@ -236,7 +261,7 @@ def collocations(
         level = stage(paired(sequences, found, buckets), f"phrases-{size}")
         found = stage(counted_pairs(level, least, buckets), "phrases-named")
         sequences = level.filter("bucket IS NULL").select("batch", "n", F.col("blobs")[0].alias("codes"))
-        pairs = found.filter("own").select("name", "a", "b", "f")
+        pairs = found.filter("batch IS NULL").select("name", "a", "b", "f")
         first = grams.select(F.col("name").alias("a"), "lang", "phrase", "firsts", F.col("f").alias("f_a"))
         rest = grams.select(F.col("name").alias("b"), "last", "rests", F.col("f").alias("f_b"))
         longer = pairs.join(first, "a").join(rest, "b").select(
