@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .scratch import stage
 from .text import mixed, raw
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 20  # so many words of text for each bucket of pairs
 CODE_BITS = 25  # a batch has no more words than bytes
 COUNTED = ["a", "b", "f", "name", "batch", "size", "codes", "names"]
@@ -46,13 +46,13 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndar
     after = np.zeros(len(data) + 1, bool)
     after[1:] = inside
     after[bounds] = False
-    begin = np.flatnonzero(inside & ~after[:-1])
+    begin = np.flatnonzero(inside & ~after[:-1]).astype(np.int32)
     before = np.zeros(len(data) + 1, bool)
     before[:-1] = inside
     before[bounds] = False
-    end = np.flatnonzero(inside & ~before[1:]) + 1
-    text = np.searchsorted(bounds, begin, "right") - 1
-    piece = np.searchsorted(np.flatnonzero(broken), begin)
+    end = np.flatnonzero(inside & ~before[1:]).astype(np.int32) + 1
+    text = (np.searchsorted(bounds, begin, "right") - 1).astype(np.int32)
+    piece = np.searchsorted(np.flatnonzero(broken), begin).astype(np.int32)
     follows = np.zeros(len(begin), bool)
     follows[1:] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
     offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
@@ -112,15 +112,18 @@ def coded_words(df: DataFrame, lang_col: str, text_col: str, batch_bytes: int) -
                 continue
             known = pc.dictionary_encode(words)
             spoken = pc.dictionary_encode(langs)
-            key = np.asarray(spoken.indices)[text].astype(np.int64) * len(known.dictionary) + np.asarray(known.indices)
-            keys, codes, n = np.unique(key, return_inverse=True, return_counts=True)
+            both = pc.dictionary_encode(pa.array(np.asarray(spoken.indices)[text].astype(np.int64) * len(known.dictionary) + np.asarray(known.indices)))
+            keys, codes = np.asarray(both.dictionary), np.asarray(both.indices)
+            n = np.bincount(codes)
             # a break before every word that follows none
             at = np.cumsum(~follows) + np.arange(len(codes))
             sequence = np.full(len(codes) + int((~follows).sum()), -1, np.int32)
             sequence[at] = codes
             which = lambda dictionary, i: dictionary.take(pa.array(i)).cast(pa.string())
             lang, word = which(spoken.dictionary, keys // len(known.dictionary)), which(known.dictionary, keys % len(known.dictionary))
+            del texts, words, text, known, both, table
             yield from _rows(first + number, np.arange(len(keys)), n, sequence, lang, word)
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(code, ROWS)
 
