@@ -4,8 +4,9 @@ For each host, paths are generalised level by level: under a template's prefix,
 support and share), otherwise it becomes the wildcard ``*``.  The tree is as deep as paths have frequent prefixes; segments beyond ``depth`` count as one, ``**``.
 Then, from the deepest level to the first, templates of a host that differ in that level's segment alone are
 branches of one node; those whose blocked share among labelled pages does not differ from the node's (a chi-square test) are
-merged, and the segment becomes ``~``.  The pages that a rule decides are the labels.  A node is rejected if its blocked share, smoothed towards the share
-over all labelled pages, reaches a threshold.
+merged, and the segment becomes ``~``.  A literal segment that begins with ``*``, ``~`` or ``\\`` is written with a ``\\`` before it, so no literal looks like a
+wildcard.  The pages that a rule decides are the labels.  A node is rejected if it has enough labelled pages and its blocked share reaches a threshold, smoothed
+towards the share over all labelled pages, which itself starts from pseudo-counts of allowed pages: few labels, or labels of one kind only, reject nothing.
 
 The tree is built over distinct paths with their numbers of pages, so that a page that is met often is one row.
 """
@@ -66,10 +67,15 @@ def _first_fit(rules: list[Rule], host: Column, path: Column, value) -> Column:
     return whens
 
 
+def _segments(path: Column) -> Column:
+    """Segments of a path, those that look like a wildcard escaped."""
+    escaped = lambda x: F.when(x.rlike(r"^[*~\\]"), F.concat(F.lit("\\"), x)).otherwise(x)
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(F.substring(path, 2, 1 << 30), "/", -1), escaped))
+
+
 def with_templates(paths: DataFrame, settings: TemplateSettings) -> DataFrame:
     """Add ``template`` to distinct rows with ``host``, ``path`` and the number of pages ``_pages``."""
-    segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("path", 2, 1 << 30), "/", -1))
-    rows = paths.withColumn("_segments", segments).withColumn("template", F.lit(""))
+    rows = paths.withColumn("_segments", _segments(F.col("path"))).withColumn("template", F.lit(""))
     deepest = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
     for depth in range(1, min(deepest, settings.depth) + 1):
         here = F.when(F.size("_segments") >= depth, F.get("_segments", F.lit(depth - 1)))
@@ -110,11 +116,11 @@ def judged_templates(rows: DataFrame, labelled: int, blocked: int, settings: Tem
         n, b, N, B = (F.col(c) for c in ("_n", "_b", "_all", "_all_blocked"))
         similar = (n >= settings.least_labels) & (n < N) & ((b * N - n * B) * (b * N - n * B) <= settings.chi_square * n * B * (N - B))
         nodes = nodes.withColumn("_node", F.when(similar, F.col("_shape")).otherwise(F.col("_node"))).drop("_shape", "_n", "_b", "_all", "_all_blocked")
-    prior = blocked / labelled if labelled else 0.0
+    prior = blocked / (labelled + settings.prior)
     of_node = total("_labelled", "_node")
     purity = (total("_blocked", "_node") + settings.prior * prior) / (of_node + settings.prior)
     name = F.when(F.size("_node") == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join("_node", "/")))
-    return nodes.select("host", "template", name.alias("node"), purity.alias("purity"), ((of_node > 0) & (purity >= settings.purity)).alias("_rejected"))
+    return nodes.select("host", "template", name.alias("node"), purity.alias("purity"), ((of_node >= settings.least_labels) & (purity >= settings.purity)).alias("_rejected"))
 
 
 def filter_urls(
@@ -144,36 +150,46 @@ def filter_urls(
 
 
 def oracle_sql(rules: list[Rule], settings: TemplateSettings = TemplateSettings()) -> str:
-    """DuckDB SQL for ``filter_urls`` over ``pages``."""
+    """DuckDB SQL for ``filter_urls`` over ``pages``.
+
+    Templates are lists of ``(kind, text)`` here and become strings in the last step only, so the escapes of the operator are not repeated.
+    """
     longest = sorted(rules, key=lambda r: -len(r.name))
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in longest) + " END"
     ctes = [
         r"u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
         f"p AS (SELECT page_id, translate(h, '{UPPER}', '{LOWER}') AS host, path FROM u)",
-        f"r0 AS MATERIALIZED (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label, CASE WHEN path = '' THEN [] ELSE string_split(path[2:], '/') END AS s, '' AS template FROM p)",
+        f"r0 AS MATERIALIZED (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label,"
+        " CASE WHEN path = '' THEN [] ELSE string_split(path[2:], '/') END AS s, CAST([] AS STRUCT(k VARCHAR, v VARCHAR)[]) AS t FROM p)",
     ]
     last = settings.depth
     for d in range(1, last + 1):
-        here = f"CASE WHEN len(s) >= {d} THEN s[{d}] END"
+        here = f"{{'k': 'one', 'v': s[{d}]}}"
         if d == last:
-            here = f"CASE WHEN len(s) > {d} THEN '**' WHEN len(s) >= {d} THEN s[{d}] END"
+            here = f"CASE WHEN len(s) > {d} THEN {{'k': 'rest', 'v': ''}} ELSE {here} END"
         ctes += [
-            f"b{d} AS (SELECT host, template, {here} AS seg, count(*) AS n FROM r{d - 1} WHERE {here} IS NOT NULL GROUP BY ALL)",
-            f"k{d} AS (SELECT host, template, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS total FROM b{d}) WHERE n >= {settings.support} AND n * {settings.share} >= total)",
-            f"r{d} AS MATERIALIZED (SELECT r.* EXCLUDE (template), CASE WHEN {here} IS NULL THEN r.template WHEN k.seg IS NULL THEN r.template || '/*' ELSE r.template || '/' || k.seg END AS template FROM r{d - 1} r LEFT JOIN k{d} k ON k.host = r.host AND k.template = r.template AND k.seg = {here})",
+            f"a{d} AS (SELECT *, CASE WHEN len(s) >= {d} THEN {here} END AS seg FROM r{d - 1})",
+            f"b{d} AS (SELECT host, t, seg, count(*) AS n FROM a{d} WHERE seg IS NOT NULL GROUP BY ALL)",
+            f"k{d} AS (SELECT host, t, seg FROM b{d} QUALIFY n >= {settings.support} AND n * {settings.share} >= sum(n) OVER (PARTITION BY host, t))",
+            f"r{d} AS MATERIALIZED (SELECT a.* EXCLUDE (t, seg), CASE WHEN a.seg IS NULL THEN a.t WHEN k.seg IS NULL THEN list_append(a.t, {{'k': 'any', 'v': ''}})"
+            f" ELSE list_append(a.t, a.seg) END AS t FROM a{d} a LEFT JOIN k{d} k ON k.host = a.host AND k.t = a.t AND k.seg = a.seg)",
         ]
-    segments = "CASE WHEN template = '' THEN [] ELSE string_split(template[2:], '/') END"
-    ctes += [f"n{last} AS MATERIALIZED (SELECT host, template, {segments} AS node, CAST(count(label) AS DOUBLE) AS n, CAST(count(*) FILTER (label = 'block') AS DOUBLE) AS b FROM r{last} GROUP BY host, template)"]
+    ctes += [f"n{last} AS MATERIALIZED (SELECT host, t, t AS node, CAST(count(label) AS DOUBLE) AS n, CAST(count(*) FILTER (label = 'block') AS DOUBLE) AS b FROM r{last} GROUP BY host, t)"]
     for d in range(last, 0, -1):
         ctes += [
-            f"s{d} AS (SELECT *, list_transform(node, lambda x, i: CASE WHEN i = {d} THEN '~' ELSE x END) AS shape FROM n{d})",
-            f"q{d} AS (SELECT *, sum(n) OVER one AS m, sum(b) OVER one AS mb, sum(n) OVER alike AS big, sum(b) OVER alike AS bigb FROM s{d} WINDOW one AS (PARTITION BY host, node), alike AS (PARTITION BY host, shape))",
-            f"n{d - 1} AS MATERIALIZED (SELECT host, template, n, b, CASE WHEN m >= {settings.least_labels} AND m < big AND (mb * big - m * bigb) * (mb * big - m * bigb) <= {settings.chi_square}::DOUBLE * m * bigb * (big - bigb) THEN shape ELSE node END AS node FROM q{d})",
+            f"s{d} AS (SELECT *, list_transform(node, lambda x, i: CASE WHEN i = {d} THEN {{'k': 'merged', 'v': ''}} ELSE x END) AS shape FROM n{d})",
+            f"q{d} AS (SELECT *, sum(n) OVER one AS m, sum(b) OVER one AS mb, sum(n) OVER alike AS big, sum(b) OVER alike AS bigb FROM s{d}"
+            " WINDOW one AS (PARTITION BY host, node), alike AS (PARTITION BY host, shape))",
+            f"n{d - 1} AS MATERIALIZED (SELECT host, t, n, b, CASE WHEN m >= {settings.least_labels} AND m < big"
+            f" AND (mb * big - m * bigb) * (mb * big - m * bigb) <= {settings.chi_square}::DOUBLE * m * bigb * (big - bigb) THEN shape ELSE node END AS node FROM q{d})",
         ]
     ctes += [
-        f"g AS (SELECT CASE WHEN count(label) > 0 THEN count(*) FILTER (label = 'block')::DOUBLE / count(label)::DOUBLE ELSE 0 END AS prior FROM r{last})",
-        f"j AS (SELECT host, template, CASE WHEN len(node) = 0 THEN '' ELSE '/' || array_to_string(node, '/') END AS node, sum(n) OVER w AS labelled, (sum(b) OVER w + {settings.prior}::DOUBLE * prior) / (sum(n) OVER w + {settings.prior}::DOUBLE) AS purity FROM n0, g WINDOW w AS (PARTITION BY host, node))",
+        f"g AS (SELECT count(*) FILTER (label = 'block')::DOUBLE / (count(label)::DOUBLE + {settings.prior}::DOUBLE) AS prior FROM r{last})",
+        f"j AS (SELECT host, t, node, sum(n) OVER w AS labelled, (sum(b) OVER w + {settings.prior}::DOUBLE * prior) / (sum(n) OVER w + {settings.prior}::DOUBLE) AS purity"
+        " FROM n0, g WINDOW w AS (PARTITION BY host, node))",
     ]
-    verdict = f"coalesce(label, CASE WHEN labelled > 0 AND purity >= {settings.purity}::DOUBLE THEN 'block' ELSE 'allow' END)"
-    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, {verdict} AS verdict, template, node, purity FROM r{last} JOIN j USING (host, template)"
+    verdict = f"coalesce(label, CASE WHEN labelled >= {settings.least_labels} AND purity >= {settings.purity}::DOUBLE THEN 'block' ELSE 'allow' END)"
+    sign = "CASE x.k WHEN 'any' THEN '*' WHEN 'rest' THEN '**' WHEN 'merged' THEN '~' ELSE CASE WHEN x.v[1] IN ('*', '~', chr(92)) THEN chr(92) ELSE '' END || x.v END"
+    written = lambda column: f"CASE WHEN len({column}) = 0 THEN '' ELSE '/' || array_to_string(list_transform({column}, lambda x: {sign}), '/') END"
+    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, {verdict} AS verdict, {written('t')} AS template, {written('node')} AS node, purity FROM r{last} JOIN j USING (host, t)"

@@ -1,5 +1,8 @@
+import duckdb
+import pandas as pd
+
 from tessera.llm.queries import URL_RULES
-from tessera.llm.url_filter import Rule, filter_urls
+from tessera.llm.url_filter import Rule, filter_urls, oracle_sql
 
 
 def run(spark, urls, rules=URL_RULES):
@@ -61,3 +64,32 @@ def test_empty_repeated_and_no_rules(spark):
     assert run(spark, []) == []
     got = run(spark, ["http://a/b"] * 3, [])
     assert [(r.rule, r.verdict) for r in got] == [(None, "allow")] * 3
+
+
+def test_wildcards_are_no_segments(spark):
+    # frequent literals "*", "**" and "~" stay apart from rare segments, which become wildcards
+    urls = [f"http://h.com/*/x{i}" for i in range(5)] + [f"http://h.com/y{i}/x{i}" for i in range(5)]
+    urls += [f"http://g.com/{s}/{i}" for s in ("**", "~", "\\*", "~a", "") for i in range(4)]
+    got = run(spark, urls, [])
+    assert [{r.template for r in got[:5]}, {r.template for r in got[5:10]}] == [{"/\\*/*"}, {"/*/*"}]
+    assert [r.template for r in got[10::4]] == ["/\\**/*", "/\\~/*", "/\\\\*/*", "/\\~a/*", "//*"]
+    # a branch without labels that is named like the merged one
+    rules = [Rule("block", "h.com", f"/{b}/x") for b in "ab"]
+    urls = [f"http://h.com/{b}/{p}{i}" for b in "ab~" for i in range(60) for p in ("x", "y")]
+    got = run(spark, urls, rules)
+    assert {r.path[1]: (r.node, r.verdict) for r in got if r.rule is None} == {"a": ("/~/*", "block"), "b": ("/~/*", "block"), "~": ("/\\~/*", "allow")}
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    columns = ["page_id", "host", "path", "rule", "verdict", "template", "node", "purity"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql(rules)}) ORDER BY page_id").fetchall()
+    assert [tuple(r[c] for c in columns[:-1]) for r in got] == [w[:-1] for w in want] and all(abs(r.purity - w[-1]) < 1e-12 for r, w in zip(got, want))
+
+
+def test_few_labels_reject_nothing(spark):
+    urls = ["http://example.com/de/a"] + [f"http://example.com/p{i}/y{i}" for i in range(60)]
+    assert [r.verdict for r in run(spark, urls)] == ["block"] + ["allow"] * 60
+    rules = [Rule("block", "h.com", "/q")]
+    for labels, verdict in ((4, "allow"), (5, "allow"), (400, "block")):
+        got = run(spark, [f"http://h.com/q{i}" for i in range(labels)] + [f"http://h.com/p{i}" for i in range(20)], rules)
+        assert {r.verdict for r in got if r.rule is None} == {verdict}
