@@ -56,9 +56,12 @@ NOTICES = [
 ]
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of characters other than ASCII signs, in order; a null text has none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1)
+    """Runs, with A-Z lower-cased, of characters other than ASCII signs, in order; a null text has none."""
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1)
     lead = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
     trail = F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
     return F.slice(parts, lead + 1, F.greatest(F.size(parts) - lead - trail, F.lit(0)))
