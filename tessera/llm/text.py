@@ -53,37 +53,82 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+FIELD = (1 << 61) - 1  # hashes of spans are polynomials over this prime field
+BASE = 0x0D1342543DE82EF9
+_P = np.uint64(FIELD)
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2 ** 64 modulo the field's prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray, bits: int) -> np.ndarray:
+    """``x * 2 ** bits`` in the field, for ``x`` below the prime: a rotation of 61 bits."""
+    return ((x << np.uint64(bits)) & _P) | (x >> np.uint64(61 - bits))
+
+
+def multiplied(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products in the field, from halves of 32 bits."""
+    a, b, c, d = x >> np.uint64(32), x & _LOW, y >> np.uint64(32), y & _LOW
+    middle = _reduced(a * d + b * c)  # each product lies below 2 ** 61
+    return _reduced(_shifted(_reduced(a * c), 3) + _shifted(middle, 32) + _reduced(b * d))  # 2 ** 64 is 2 ** 3 here
+
+
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(size: int) -> list[np.ndarray]:
-    """Powers of a base and of its inverse, ``size`` at least; one table serves all smaller sizes."""
+    """High and low halves of powers of the base, and powers of its inverse, ``size`` at least; one table serves all smaller sizes."""
     if not _POWERS or len(_POWERS[0]) < size:
-        base, tables = 0xD1342543DE82EF95, []
-        for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(1 << (size - 1).bit_length(), b, np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table, out=table))
-        _POWERS[:] = tables
+        tables = []
+        for b in (BASE, pow(BASE, -1, FIELD)):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, multiplied(table, np.uint64(pow(b, len(table), FIELD)))])
+            tables.append(table)
+        _POWERS[:] = [(tables[0] >> np.uint64(32)).astype(np.uint32), tables[0].astype(np.uint32), tables[1]]
     return _POWERS
 
 
 @lru_cache(maxsize=2)
 def _byte_values(lower: bool) -> np.ndarray:
-    values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+    values = np.arange(1, 257, dtype=np.uint64)
     if lower:
         values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     return values
 
 
+SPAN = 1 << 22  # bytes whose running sums stay below 2 ** 63: a byte counts at most 2 ** 8 times 2 ** 32
+
+
+def _running(terms: np.ndarray) -> np.ndarray:
+    """Running sums in the field, with a zero in front; plain sums run over ``SPAN`` bytes at a time."""
+    sums = np.zeros(len(terms) + 1, np.uint64)
+    for at in range(0, len(terms), SPAN):
+        part = sums[at + 1 : at + SPAN + 1]
+        np.cumsum(terms[at : at + SPAN], out=part)
+        part += sums[at]
+        part[:] = _reduced(part)
+    return sums
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand and in every process."""
+    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand and in every process.
+
+    Spans are polynomials over the field of 2 ** 61 - 1.  Modulo a power of two, long periodic spans would collide whatever the base is.
+    """
     if not len(begin):
         return np.empty(0, np.uint64)
-    powers, inverses = _powers(max(1 << 16, len(data) + 1))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values(lower)[data] * powers[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
+    high, low, inverses = _powers(max(1 << 16, len(data) + 1))
+    values = _byte_values(lower)[data]
+    sums = _running(values * high[: len(data)])
+    found = _shifted(_reduced(sums[end] + (_P - sums[begin])), 32)
+    sums = _running(values * low[: len(data)])
+    found = _reduced(found + sums[end] + (_P - sums[begin]))
+    return mixed(multiplied(found, inverses[begin]) + (end - begin).astype(np.uint64) * PRIME)
 
 
 @dataclass
