@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import complement_rate, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, order as O, panel as P, prep, runner as R, selection as S
+from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, order as O, panel as P, prep, runner as R, selection as S
 from tessera.plans import panels as D
 from tessera.sources.staging import stage
 
@@ -438,7 +438,7 @@ avg(abs(y_true - y_pred)) AS mae, sum(abs(y_true - y_pred)) / greatest(sum(abs(y
 
 
 def scores(spark, folder) -> DataFrame:
-    return A.error_metrics(B.all_baselines(folded(spark, folder)), ["fold", "model", "split"], F.lit(10.0))
+    return A.error_metrics(BC.all_folds(day(spark, folder), PERIODS), ["fold", "model", "split"], F.lit(10.0))
 
 
 for _name, _function in (("global_mean", B.global_mean), ("linear_trend", B.linear_trend), ("naive_with_lag", B.naive_with_lag), ("cross_entity", B.cross_entity)):
@@ -546,7 +546,7 @@ STORED = "SELECT fold, model, CAST(row_number() OVER (PARTITION BY fold, model O
 
 @query("prediction_vectors", f"WITH {FOLDED}, {SCORED}, {HISTORY}, a AS ({ALL_BASE}), v AS ({STORED}) SELECT fold, model, row, entity, {r6('y_true', 'y_pred')} FROM v")
 def _(spark, folder):
-    return C.numbered_predictions(B.all_baselines(folded(spark, folder)).filter("split = 'test'"), "entity_id", "period")
+    return C.numbered_predictions(BC.all_folds(day(spark, folder), PERIODS).filter("split = 'test'"), "entity_id", "period")
 
 
 @query("prediction_equivalence", f"""WITH {FOLDED}, {SCORED}, {HISTORY}, a AS (SELECT *, 'm' AS model FROM ({BASE['naive_with_lag']})), v AS ({STORED}),
