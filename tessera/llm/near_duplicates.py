@@ -169,23 +169,28 @@ def pieces(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def further_pairs(searched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a piece (``piece, key, root, size``) that their sizes and sketches allow to be linked."""
+    """Pairs of different components within a piece (``piece, key, root, size``) that their sizes and sketches allow to be linked.
+
+    A pair may share many pieces.  Each member carries the list of its pieces, and the least common one alone gives the pair.
+    """
     share = percent / 100
     least = (share - 4.5 * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    held = searched.groupBy("key").agg(F.collect_set("piece").alias("held"))
     dealt = (
-        searched.join(sets.select("key", "n", "sketch"), "key")
+        searched.join(sets.select("key", "n", "sketch"), "key").join(held, "key")
         .withColumn("_blocks", blocks).withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("piece", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "n", "sketch")
+        .select("piece", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "n", "sketch", "held")
     )
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable").reset_index(drop=True)
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
         root, n, own = pd.factorize(rows["root"])[0], rows["n"].to_numpy(), rows["_own"].to_numpy()
-        crossing = rows["i"].iloc[0] != rows["j"].iloc[0]
+        crossing, piece = rows["i"].iloc[0] != rows["j"].iloc[0], rows["piece"].iloc[0]
+        held = [set(h.tolist()) for h in rows["held"]]
         left, right = [], []
         for x in range(len(rows) - 1):
             y = np.arange(x + 1, len(rows))
@@ -194,12 +199,13 @@ def further_pairs(searched: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 fits &= own[y] != own[x]
             y = y[fits]
             y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
-            left += [x] * len(y)
-            right += y.tolist()
+            here = [z for z in y.tolist() if min(held[x] & held[z]) == piece]
+            left += [x] * len(here)
+            right += here
         keys = rows["key"].to_numpy()
         return pd.DataFrame({"a": keys[left], "b": keys[right]})
 
-    return dealt.groupBy("piece", "i", "j").applyInPandas(search, "a binary, b binary").distinct()
+    return dealt.groupBy("piece", "i", "j").applyInPandas(search, "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -145,3 +145,14 @@ def test_rows_without_or_with_shared_ids_follow_their_own_component(spark):
     rows = [(1, prose), (None, prose + " more"), (None, "a text of its own without any copy"), (2, other), (7, other + " more"), (7, "another text that has no copy at all")]
     got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {tuple(r) for r in got} == {rows[i] for i in (0, 2, 3, 5)} and len(got) == 4
+
+
+def test_a_pair_is_given_by_one_of_its_pieces(spark):
+    sketch = lambda changed: bytes([7] * (nd.SKETCH - changed) + [9] * changed)
+    keys = {b"a": 0, b"b": 60, b"c": 120, b"d": 900}
+    sets = spark.createDataFrame([(k, 100, sketch(c)) for k, c in keys.items()], "key binary, n long, sketch binary")
+    searched = spark.createDataFrame(
+        [(p, k, k, 3) for p, ks in ((-5, b"abd"), (3, b"abc"), (4, b"bcd"), (9, b"abc")) for k in (bytes([x]) for x in ks)], "piece long, key binary, root binary, size long"
+    )
+    got = [(bytes(r.a), bytes(r.b)) for r in nd.further_pairs(searched, sets, 75).collect()]
+    assert sorted(got) == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
