@@ -33,7 +33,7 @@ def balanced_groups(sizes: dict[str, int], folds: int) -> dict[str, int]:
     return out
 
 
-def _group_moments(df: DataFrame, features: Sequence[str], residual: str, group: str) -> tuple[dict, dict[str, int]]:
+def _group_moments(df: DataFrame, features: Sequence[str], residual: str, group: str) -> dict[str, np.ndarray]:
     """Raw second moments of ``[1, features, residual]`` by group, in one aggregation."""
     columns = [F.lit(1.0), *[F.col(f) for f in features], F.col(residual)]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
@@ -44,7 +44,7 @@ def _group_moments(df: DataFrame, features: Sequence[str], residual: str, group:
         for i, j in pairs:
             m[i, j] = m[j, i] = r[f"p{i}_{j}"]
         out[r[group]] = m
-    return out, {g: int(round(m[0, 0])) for g, m in out.items()}
+    return out
 
 
 def _solve(m: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
@@ -65,7 +65,12 @@ def ridge_by_groups(df: DataFrame, features: Sequence[str], residual: str, group
     Groups are hashed into at most ``buckets`` before they are gathered, so the moments that reach the driver have a fixed bound.
     """
     keyed = df.withColumn("_group", F.pmod(F.xxhash64(group), F.lit(buckets)).cast("string"))
-    by_group, sizes = _group_moments(keyed, features, residual, "_group")
+    return ridge_of_moments(_group_moments(keyed, features, residual, "_group"), features, folds)
+
+
+def ridge_of_moments(by_group: dict[str, np.ndarray], features: Sequence[str], folds: int = 3) -> RidgeFit:
+    """Ridge from the raw second moments of ``[1, features, residual]`` by group, with the penalty of least error on held-out groups."""
+    sizes = {g: int(round(m[0, 0])) for g, m in by_group.items()}
     whole = sum(by_group.values())
     alpha = ALPHAS[0]
     if len(by_group) > 1:

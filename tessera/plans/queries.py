@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import complement_rate, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, order as O, panel as P, prep, runner as R, selection as S
+from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
 from tessera.plans import panels as D
 from tessera.sources.staging import stage
 
@@ -618,8 +618,11 @@ def _(spark, folder):
     return spark.createDataFrame([(f, found.correlations[f]) for f in found.features], "feature string, r_abs double")
 
 
+MODEL_FEATURES = ["avg_value", "click_rate", "view_value", "target_lag_2", "target_lag_3"]
+
+
 def modelled(df: DataFrame, fold: L.Fold) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    features = ["avg_value", "click_rate", "view_value", "target_lag_2", "target_lag_3"]
+    features = MODEL_FEATURES
     parts = [L.split_of(df, fold, s).filter("target IS NOT NULL") for s in L.SPLITS]
     statistics = prep.train_statistics(parts[0], features)
     parts = [prep.impute(p, statistics) for p in parts]
@@ -639,10 +642,7 @@ def over_folds(spark, folder, predict) -> DataFrame:
 
 @query("ridge_hierarchical")
 def _(spark, folder):
-    def predict(train, validation, test, features):
-        return M.choose_shrink(M.fit_hierarchical(train, features), validation, ProtocolConfig().shrinkage).predict(test)
-
-    return over_folds(spark, folder, predict)
+    return RC.all_folds(P.with_lags(day(spark, folder)), PERIODS, MODEL_FEATURES)[0].filter("split = 'test'").drop("split")
 
 
 @query("fold_runner")
