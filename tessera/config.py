@@ -30,7 +30,7 @@ class PanelConfig:
 
 @dataclass(frozen=True)
 class FoldConfig:
-    """Sizes, in periods, of walk-forward folds over a closed range."""
+    """Sizes, in periods, of walk-forward folds over a closed range; ``most`` keeps the first folds only."""
 
     first: int
     last: int
@@ -40,6 +40,7 @@ class FoldConfig:
     gap: int = 2
     step: int = 1
     embargo: int = 0
+    most: int | None = None
 
 
 @dataclass(frozen=True)

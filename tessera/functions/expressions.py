@@ -49,6 +49,17 @@ def partition_name(value: Column, parts: int = 1000) -> Column:
     return F.format_string("partition_%03d", F.pmod(F.xxhash64(value), F.lit(parts)))
 
 
+def batch_stamp(system: str, moment: Column | None = None) -> Column:
+    """``<system>_<yyyyMMdd>_<HHmmss>`` of a moment in the session's time zone, by default the query's own start, which all its rows share."""
+    return F.concat_ws("_", F.lit(system), F.date_format(moment if moment is not None else F.current_timestamp(), "yyyyMMdd_HHmmss"))
+
+
+def portable_draw(*parts: Column) -> Column:
+    """A number in [0, 1) from the parts' texts, the same in every engine that has MD5; null parts are left out."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r over rows with both values; null instead of an error where it is undefined."""
     both = x.isNotNull() & y.isNotNull()

@@ -102,3 +102,21 @@ def predictability(metrics: DataFrame) -> DataFrame:
     return metrics.filter((F.col("split") == "val") & F.col("r2").isNotNull()).groupBy("model").agg(
         F.count("r2").alias("n_folds"), mean.alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"), F.min("r2").alias("least_r2"), F.max("r2").alias("most_r2"), level.alias("level")
     )
+
+
+def generalisation_gaps(metrics: DataFrame) -> DataFrame:
+    """Mean and population deviation of validation less test R2 of each model over the folds where both are defined, mean test R2, and the band of the mean gap."""
+    wide = metrics.groupBy("fold", "model").agg(F.max(F.when(F.col("split") == "val", F.col("r2"))).alias("val_r2"), F.max(F.when(F.col("split") == "test", F.col("r2"))).alias("test_r2"))
+    gap = F.col("val_r2") - F.col("test_r2")
+    away = F.abs(F.avg(gap))
+    band = F.when(away <= 0.15, "within_target").when(away <= 0.2, "moderate").otherwise("high")
+    return wide.filter(gap.isNotNull() & ~F.isnan(gap)).groupBy("model").agg(
+        F.count(gap).alias("n_folds"), F.avg(gap).alias("mean_gap"), F.stddev_pop(gap).alias("std_gap"), F.avg("test_r2").alias("mean_test_r2"), band.alias("band")
+    )
+
+
+def stability(gaps: DataFrame) -> DataFrame:
+    """One row: the mean of the models' mean gaps, its band, and the model of highest mean test R2 (ties by name)."""
+    away = F.abs(F.avg("mean_gap"))
+    level = F.when(away <= 0.05, "excellent").when(away <= 0.1, "good").when(away <= 0.15, "moderate").when(away.isNotNull(), "low")
+    return gaps.agg(F.avg("mean_gap").alias("mean_gap"), level.alias("level"), F.min_by("model", F.struct(-F.col("mean_test_r2"), "model")).alias("best"))

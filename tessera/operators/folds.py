@@ -28,10 +28,12 @@ class Fold:
 def walk_forward(config: FoldConfig) -> list[Fold]:
     """Folds whose training part starts at the first period and grows; parts are ``gap`` periods apart."""
     c = config
+    if min(c.min_train, c.validation, c.test, c.step) < 1 or c.gap < 0 or c.most is not None and c.most < 1:
+        raise ValueError("parts, steps and the limit must be positive and the gap not negative")
     earliest = c.first + c.min_train + c.validation + 2 * c.gap
     latest = c.last - c.test + 1
     folds = []
-    for number, test_start in enumerate(range(earliest, latest + 1, c.step)):
+    for number, test_start in enumerate(range(earliest, latest + 1, c.step)[: c.most]):
         val_end = test_start - c.gap - 1
         val_start = val_end - c.validation + 1
         folds.append(Fold(number, c.first, val_start - c.gap - 1, val_start, val_end, test_start, test_start + c.test - 1))
@@ -45,7 +47,7 @@ def first_train_end(config: FoldConfig) -> int:
 
 
 def check_folds(folds: Sequence[Fold], config: FoldConfig) -> None:
-    """Raise unless every fold is in order with its gaps, and training never shrinks."""
+    """Raise unless every fold is in order with its gaps, lies in the range, trains long enough, and training never shrinks."""
     if not folds:
         raise LeakageViolation("no folds")
     if config.embargo > config.gap:
@@ -55,6 +57,10 @@ def check_folds(folds: Sequence[Fold], config: FoldConfig) -> None:
             raise LeakageViolation(f"fold {f.fold}: a part ends before it starts")
         if f.val_start - f.train_end - 1 < config.gap or f.test_start - f.val_end - 1 < config.gap:
             raise LeakageViolation(f"fold {f.fold}: parts are closer than the gap of {config.gap}")
+        if f.train_end - f.train_start + 1 < config.min_train:
+            raise LeakageViolation(f"fold {f.fold}: the training part is shorter than {config.min_train} periods")
+        if f.train_start < config.first or f.test_end > config.last:
+            raise LeakageViolation(f"fold {f.fold}: a part lies outside the range")
     for a, b in zip(folds, folds[1:]):
         if b.train_end < a.train_end:
             raise LeakageViolation(f"fold {b.fold}: training ends before that of fold {a.fold}")

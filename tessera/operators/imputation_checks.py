@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.config import PanelConfig
-from tessera.functions.expressions import correlation
-from tessera.operators.panel import ordered
+from tessera.functions.expressions import correlation, portable_draw
+from tessera.operators.panel import carry_forward, fill_with_peers, ordered
 
 
 def held_out(column: str, seed: int, share: float, config: PanelConfig = PanelConfig()) -> Column:
     """Whether an observed cell belongs to the holdout: a fixed share, chosen by a hash of its key so that any partitioning draws the same cells."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(column), *config.keys), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    draw = portable_draw(F.lit(seed), F.lit(column), *[F.col(k) for k in config.keys])
     return F.col(column).isNotNull() & (draw < share)
 
 
@@ -61,3 +61,37 @@ def coverage(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> Dat
         "indicator", "rows_before", "rows_after", F.try_divide(F.col("present_before").cast("double"), F.col("rows_before")).alias("observed_share"),
         F.try_divide((F.col("present_after") - F.col("present_before")).cast("double"), F.col("rows_after")).alias("imputed_share"),
     )
+
+
+CANDIDATES = ("temporal", "peers", "everyone")
+
+
+def candidate_moments(df: DataFrame, reach: Mapping[str, int], applied: str = "temporal", least: int = 10, config: PanelConfig = PanelConfig()) -> DataFrame:
+    """``indicator, method, applied, n, mean, std, mean_diff, std_diff``: what each way to fill a column does to its observed moments.
+
+    ``temporal`` carries forward by ``reach`` rows, ``peers`` takes the mean of stratum and period, ``everyone`` that of the column; which of them is ``applied`` is marked.
+    All columns and methods are measured in one pass.  Columns with fewer than ``least`` observations are left out; NaN counts as missing.
+    """
+    columns = list(reach)
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    base = df.select(*config.keys, config.stratum, *[value(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    places = range(len(columns))
+    filled = carry_forward(base.withColumns({f"_temporal{i}": F.col(f"_v{i}") for i in places}), {f"_temporal{i}": reach[c] for i, c in enumerate(columns)}, config)
+    filled = fill_with_peers(filled.withColumns({f"_peers{i}": F.col(f"_v{i}") for i in places}), [f"_peers{i}" for i in places], "mean", config)
+    means = base.agg(*[F.avg(f"_v{i}").alias(f"_m{i}") for i in places])  # one row
+    filled = filled.join(F.broadcast(means), F.lit(True)).withColumns({f"_everyone{i}": F.coalesce(f"_v{i}", f"_m{i}") for i in places})
+    moments = lambda c: F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
+    one = filled.agg(*[moments(f"_{m}{i}").alias(f"{m}{i}") for i in places for m in ("v", *CANDIDATES)])
+    rows = F.array(*[F.struct(F.lit(c).alias("indicator"), F.lit(m).alias("method"), F.col(f"v{i}").alias("was"), F.col(f"{m}{i}").alias("now")) for i, c in enumerate(columns) for m in CANDIDATES])
+    return one.select(F.inline(rows)).filter(F.col("was.n") >= least).select(
+        "indicator", "method", (F.col("method") == applied).alias("applied"), F.col("now.n").alias("n"), F.col("now.mean").alias("mean"), F.col("now.std").alias("std"),
+        (F.col("now.mean") - F.col("was.mean")).alias("mean_diff"), (F.col("now.std") - F.col("was.std")).alias("std_diff"),
+    )
+
+
+def candidate_bias(moments: DataFrame) -> DataFrame:
+    """``method, mean_bias, most_robust``: the mean absolute shift of means over indicators, and whether it is the least (of equals the first of ``CANDIDATES``)."""
+    order = F.array_position(F.array(*[F.lit(m) for m in CANDIDATES]), F.col("method"))
+    bias = moments.groupBy("method").agg(F.avg(F.abs("mean_diff")).alias("mean_bias"))
+    best = bias.agg(F.min_by("method", F.struct("mean_bias", order)).alias("_best"))  # one row
+    return bias.join(F.broadcast(best), F.lit(True)).select("method", "mean_bias", (F.col("method") == F.col("_best")).alias("most_robust"))

@@ -47,7 +47,8 @@ def _group_moments(df: DataFrame, features: Sequence[str], residual: str, group:
     return out
 
 
-def _solve(m: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+def ridge_weights(m: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept from the raw second moments of ``[1, features, target]``."""
     n, means = m[0, 0], m[0, 1:] / m[0, 0]
     centred = m[1:, 1:] - n * np.outer(means, means)
     weights = np.linalg.solve(centred[:-1, :-1] + alpha * np.eye(len(centred) - 1), centred[:-1, -1])
@@ -76,9 +77,9 @@ def ridge_of_moments(by_group: dict[str, np.ndarray], features: Sequence[str], f
     if len(by_group) > 1:
         dealt = balanced_groups(sizes, min(folds, len(by_group)))
         parts = [sum(by_group[g] for g in by_group if dealt[g] == k) for k in range(max(dealt.values()) + 1)]
-        errors = [np.mean([_error(p, *_solve(whole - p, a)) for p in parts]) for a in ALPHAS]
+        errors = [np.mean([_error(p, *ridge_weights(whole - p, a)) for p in parts]) for a in ALPHAS]
         alpha = ALPHAS[int(np.argmin(errors))]
-    return RidgeFit(list(features), *_solve(whole, alpha), alpha)
+    return RidgeFit(list(features), *ridge_weights(whole, alpha), alpha)
 
 
 @dataclass(frozen=True)

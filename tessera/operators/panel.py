@@ -37,7 +37,8 @@ def corrections(df: DataFrame, columns: Sequence[str], low: float = 0.0, high: f
     return counted.select(F.inline(rows))
 
 
-def with_lineage(df: DataFrame, source: str, batch: str, method: str) -> DataFrame:
+def with_lineage(df: DataFrame, source: str, batch: str | Column, method: str) -> DataFrame:
+    """Add where rows come from, their batch (a name, or a stamp such as ``expressions.batch_stamp``) and how they were made."""
     return df.withColumns({"data_source": F.lit(source), "etl_batch_id": F.lit(batch), "processing_method": F.lit(method)})
 
 

@@ -45,7 +45,7 @@ def segments(folds: Sequence[Fold]) -> tuple[list[int], dict[int, range]]:
     return cuts, {f.fold: range(cuts.index(f.train_start) + 1, cuts.index(f.train_end + 1) + 1) for f in folds}
 
 
-def _moments(rows: DataFrame, columns: list, found_by: Sequence[str]) -> dict[tuple, np.ndarray]:
+def second_moments(rows: DataFrame, columns: list, found_by: Sequence[str]) -> dict[tuple, np.ndarray]:
     """Second moments of ``columns`` for each key, which reach the driver."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     out = {}
@@ -100,7 +100,7 @@ def all_folds(
     trained = rows.filter(F.col("_entity").isNotNull() & (F.col("_period") >= cuts[0]) & (F.col("_period") < cuts[-1]))
     moved = [F.coalesce((F.col(n) - F.lit(c)) / F.lit(d), F.lit(0.0)) for n, (c, d) in zip(names, centres)]
     columns = [F.lit(1.0), *moved, *[F.col(n).isNull().cast("double") for n in names], F.col("_y")]
-    by_segment = _moments(trained, columns, ["_group", "_segment"])
+    by_segment = second_moments(trained, columns, ["_group", "_segment"])
     groups = sorted({g for g, _ in by_segment})
     empty = np.zeros((len(columns), len(columns)))
     by_fold = {(f, g): sum((by_segment.get((g, s), empty) for s in members[f]), empty) for f in members for g in groups}

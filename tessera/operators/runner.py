@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -26,10 +27,15 @@ class FoldResult:
     alpha: float
 
 
-def run_fold(df: DataFrame, fold: L.Fold, features: Sequence[str], config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig()) -> FoldResult:
-    """Audit the features on the training part, impute and scale by it, fit on it alone, choose the shrinkage on the validation part, score both others.
+MODELS = ("ridge_hierarchical", "random_forest_hierarchical")
 
-    ``df`` has the target and its lags (``panel.with_target``, ``panel.with_lags``).
+
+def run_fold(
+    df: DataFrame, fold: L.Fold, features: Sequence[str], config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig(), models: Sequence[str] = MODELS[:1], forest: dict | None = None
+) -> FoldResult:
+    """Audit the features on the training part, impute and scale by it, fit on it alone, choose the shrinkage or the forest's shape on the validation part, score both others.
+
+    ``models`` are of ``MODELS``; ``forest`` goes to ``models.choose_forest`` (depths, leaves, trees).  ``df`` has the target and its lags (``panel.with_target``, ``panel.with_lags``).
     """
     features = list(features)
     prep.require_columns(df, [*config.keys, config.target, *features])
@@ -39,12 +45,17 @@ def run_fold(df: DataFrame, fold: L.Fold, features: Sequence[str], config: Panel
     parts = {s: prep.impute(p, medians) for s, p in parts.items()}
     scales = prep.scaler(parts["train"], features)
     parts = {s: prep.scale(p, scales) for s, p in parts.items()}
+    if unknown := set(models) - set(MODELS):
+        raise ValueError(f"unknown models: {sorted(unknown)}")
     model = M.choose_shrink(M.fit_hierarchical(parts["train"], features, config=config), parts["val"], protocol.shrinkage, config)
+    forecasters = {"ridge_hierarchical": lambda part: model.predict(part, config)}
+    if "random_forest_hierarchical" in models:
+        forecasters["random_forest_hierarchical"] = M.choose_forest(parts["train"], parts["val"], features, config=config, **(forest or {}))
     scored = [
-        model.predict(parts[s], config).select(F.lit(fold.fold).alias("fold"), F.lit(s).alias("split"), F.lit("ridge_hierarchical").alias("model"), *config.keys, F.col(config.target).alias("y_true"), "y_pred")
-        for s in ("val", "test")
+        forecasters[m](parts[s]).select(F.lit(fold.fold).alias("fold"), F.lit(s).alias("split"), F.lit(m).alias("model"), *config.keys, F.col(config.target).alias("y_true"), "y_pred")
+        for m in models for s in ("val", "test")
     ]
-    predictions = scored[0].union(scored[1])
+    predictions = reduce(DataFrame.union, scored)
     scale = A.mase_scale(parts["train"], config).first()["scale"]
     metrics = A.error_metrics(predictions, ["fold", "model", "split"], F.lit(scale).cast("double"))
     return FoldResult(predictions, metrics, audit, medians, model.shrink, model.ridge.alpha)

@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
-from tessera.functions.expressions import complement_rate, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, models as M, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
+from tessera.functions.expressions import batch_stamp, complement_rate, portable_draw, symmetric_log
+from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, leakage as K, models as M, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
 from tessera.plans import panels as D
+from tessera.sources.readers import table
 from tessera.sources.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +142,11 @@ def _(spark, folder):
     return P.with_lineage(D.user_day(spark, folder).select("entity_id", "period"), "events", "batch", "spark")
 
 
+@query("batch_stamps", "SELECT event_id, 'events_' || strftime(ts, '%Y%m%d_%H%M%S') AS etl_batch_id FROM events")
+def _(spark, folder):
+    return P.with_lineage(table(spark, folder, "events"), "events", batch_stamp("events", F.col("ts")), "spark").select("event_id", "etl_batch_id")
+
+
 # ---- reshape
 
 CELLS = ", ".join(f"min(value) FILTER (indicator = '{t}') AS {t}" for t in D.TYPES)
@@ -397,6 +403,18 @@ def _(spark, folder):
     return L.fold_bounds(spark, L.walk_forward(replace(DAYS, first=ends["first"], last=ends["last"])))
 
 
+@query("fold_bounds_limited", f"""WITH p AS ({D.USER_DAY}), e AS (SELECT min(period) AS lo, max(period) AS hi FROM p), s AS (SELECT lo, unnest(range(lo + 14, hi, 2)) AS t FROM e),
+k AS (SELECT CAST(row_number() OVER (ORDER BY t) - 1 AS INTEGER) AS fold, lo, t FROM s ORDER BY t LIMIT 4)
+SELECT fold, 'train' AS split, CAST(lo AS INTEGER) AS first_period, CAST(t - 7 AS INTEGER) AS last_period FROM k UNION ALL SELECT fold, 'val', CAST(t - 4 AS INTEGER), CAST(t - 3 AS INTEGER) FROM k
+UNION ALL SELECT fold, 'test', CAST(t AS INTEGER), CAST(t + 1 AS INTEGER) FROM k""")
+def _(spark, folder):
+    ends = day(spark, folder).agg(F.min("period").alias("first"), F.max("period").alias("last")).first()
+    config = replace(DAYS, first=ends["first"], last=ends["last"], step=2, most=4)
+    folds = L.walk_forward(config)
+    L.check_folds(folds, config)
+    return L.fold_bounds(spark, folds)
+
+
 @query("fold_counts", f"WITH {FOLDED}, g AS (SELECT fold, split, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, count(target) AS n_target, avg(target) AS mean FROM f GROUP BY 1, 2) SELECT fold, split, n_rows, n_entities, n_target, {r6('mean')} FROM g")
 def _(spark, folder):
     return L.fold_counts(folded(spark, folder))
@@ -465,6 +483,22 @@ def _(spark, folder):
     return B.predictability(scores(spark, folder))
 
 
+GAPS = """q AS (SELECT fold, model, max(r2) FILTER (split = 'val') - max(r2) FILTER (split = 'test') AS d, max(r2) FILTER (split = 'test') AS t FROM g GROUP BY 1, 2),
+v AS (SELECT model, count(d) AS n_folds, avg(d) AS mean_gap, stddev_pop(d) AS std_gap, avg(t) AS mean_test_r2 FROM q WHERE d IS NOT NULL GROUP BY 1)"""
+
+
+@query("generalisation_gaps", f"WITH {FOLDED}, {SCORED}, {HISTORY}, a AS ({ALL_BASE}), g AS ({METRICS}), {GAPS} SELECT model, n_folds, {r6('mean_gap', 'std_gap', 'mean_test_r2')}, CASE WHEN abs(mean_gap) <= 0.15 THEN 'within_target' WHEN abs(mean_gap) <= 0.2 THEN 'moderate' ELSE 'high' END AS band FROM v")
+def _(spark, folder):
+    return B.generalisation_gaps(scores(spark, folder))
+
+
+@query("gap_stability", f"""WITH {FOLDED}, {SCORED}, {HISTORY}, a AS ({ALL_BASE}), g AS ({METRICS}), {GAPS}, w AS (SELECT avg(mean_gap) AS mean_gap FROM v)
+SELECT {r6('mean_gap')}, CASE WHEN abs(mean_gap) <= 0.05 THEN 'excellent' WHEN abs(mean_gap) <= 0.1 THEN 'good' WHEN abs(mean_gap) <= 0.15 THEN 'moderate' WHEN mean_gap IS NOT NULL THEN 'low' END AS level,
+(SELECT model FROM v ORDER BY mean_test_r2 DESC, model LIMIT 1) AS best FROM w""")
+def _(spark, folder):
+    return B.stability(B.generalisation_gaps(scores(spark, folder)))
+
+
 # ---- comparison of runs and predictions
 
 KEYS = "phase, architecture"
@@ -575,6 +609,33 @@ def _(spark, folder):
     return I.compare_candidates({m: P.fill_with_peers(df, ["view_value"], m) for m in ("mean", "median")}, df, "view_value")
 
 
+REACH = {"view_value": 3, "purchase_value": 1, "avg_value": 2}
+
+
+def filled_columns(column: str) -> str:
+    """SQL of a column as observed and as each candidate fills it."""
+    w = "(PARTITION BY entity_id ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""SELECT '{column}' AS indicator, {column} AS v, CASE WHEN pos - last_value(CASE WHEN {column} IS NOT NULL THEN pos END IGNORE NULLS) OVER {w} <= {REACH[column]} THEN last_value({column} IGNORE NULLS) OVER {w} END AS temporal,
+coalesce({column}, avg({column}) OVER (PARTITION BY entity_stratum, period)) AS peers, coalesce({column}, avg({column}) OVER ()) AS everyone FROM a"""
+
+
+METHOD_ROWS = " UNION ALL ".join(
+    f"SELECT indicator, '{m}' AS method, {'true' if m == 'temporal' else 'false'} AS applied, count({m}) AS n, avg({m}) AS mean, stddev_samp({m}) AS std, avg({m}) - avg(v) AS mean_diff, stddev_samp({m}) - stddev_samp(v) AS std_diff FROM u GROUP BY 1 HAVING count(v) >= 10"
+    for m in I.CANDIDATES
+)
+CANDIDATE_ROWS = f"p AS ({D.USER_DAY}), a AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY period) AS pos FROM p), u AS ({' UNION ALL '.join(filled_columns(c) for c in REACH)}), m AS ({METHOD_ROWS})"
+
+
+@query("candidate_moments", f"WITH {CANDIDATE_ROWS} SELECT indicator, method, applied, n, {r6('mean', 'std', 'mean_diff', 'std_diff')} FROM m")
+def _(spark, folder):
+    return I.candidate_moments(D.user_day(spark, folder), REACH)
+
+
+@query("candidate_bias", f"WITH {CANDIDATE_ROWS}, b AS (SELECT method, avg(abs(mean_diff)) AS mean_bias FROM m GROUP BY 1) SELECT method, {r6('mean_bias')}, method = (SELECT method FROM b ORDER BY mean_bias, method = 'everyone', method = 'peers' LIMIT 1) AS most_robust FROM b")
+def _(spark, folder):
+    return I.candidate_bias(I.candidate_moments(D.user_day(spark, folder), REACH))
+
+
 @query("imputation_coverage", f"WITH {FILLED} SELECT 'view_value' AS indicator, count(*) AS rows_before, count(*) AS rows_after, round(count(a)::DOUBLE / count(*), 6) + 0.0 AS observed_share, round((count(mean) - count(a))::DOUBLE / count(*), 6) + 0.0 AS imputed_share FROM q")
 def _(spark, folder):
     df = D.user_day(spark, folder)
@@ -586,7 +647,17 @@ def _(spark, folder):
     return spark.createDataFrame([(N.fold_records(D.user_day(spark, folder), PERIODS),)], "n bigint")
 
 
-@query("holdout_check")
+def held_cells(column: str) -> str:
+    """SQL of a column's held-out cells, each with the entity's previous row."""
+    return f"""SELECT '{column}' AS indicator, y, filled FROM (SELECT {column} AS y, lag({column}) OVER (PARTITION BY entity_id ORDER BY period) AS filled, entity_id, period FROM p)
+WHERE y IS NOT NULL AND filled IS NOT NULL AND CAST(('0x' || substr(md5('42|{column}|' || entity_id || '|' || CAST(period AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 < 0.1"""
+
+
+@query("holdout_check", f"""WITH p AS ({D.USER_DAY}), h AS ({' UNION ALL '.join(held_cells(c) for c in D.INDICATORS)}),
+g AS (SELECT indicator, 'events' AS category, count(y) AS n, avg(abs(y - filled)) AS mae, sqrt(avg((y - filled) ** 2)) AS rmse, avg(abs(y - filled) / nullif(abs(y), 0)) * 100 AS mape,
+CASE WHEN stddev_pop(y) * stddev_pop(filled) > 0 THEN covar_pop(y, filled) / (stddev_pop(y) * stddev_pop(filled)) END AS r FROM h GROUP BY 1),
+k AS (SELECT indicator, category, n, CASE WHEN n >= 5 THEN mae END AS mae, CASE WHEN n >= 5 THEN rmse END AS rmse, CASE WHEN n >= 5 THEN mape END AS mape, CASE WHEN n >= 5 THEN r END AS r FROM g)
+SELECT indicator, category, n, {r6('mae', 'rmse', 'mape', 'r')} FROM k""")
 def _(spark, folder):
     return I.holdout_check(D.user_day(spark, folder), D.INDICATORS, dict.fromkeys(D.INDICATORS, "events"))
 
@@ -603,6 +674,44 @@ def _(spark, folder):
     return spark.createDataFrame([(r["phase"], r["a"], r["b"], r["n"], r["p_t"], r["p"], r["d_z"], r["hedges_g"]) for r in rows], "phase string, a string, b string, n int, p_t double, p_wilcoxon double, d_z double, hedges_g double")
 
 
+PARTS = 9
+DRAW_SQL = "CAST(floor(CAST(('0x' || substr(md5({0}), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 * {1}) AS INTEGER)"
+LEAKS = f"""{T_DAY}, x AS (SELECT t.entity_id, t.period, t.target AS y, l.target AS lagged, {DRAW_SQL.format("'part|' || t.entity_id || '|' || CAST(t.period AS VARCHAR)", PARTS)} AS part,
+t.target + CAST(('0x' || substr(md5('noise|' || t.entity_id || '|' || CAST(t.period AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 * 0.6 - 0.3 AS proxy
+FROM t JOIN t l ON l.entity_id = t.entity_id AND l.period = t.period - 2 WHERE t.target IS NOT NULL AND l.target IS NOT NULL),
+b AS (SELECT * FROM (VALUES {BOUNDS}) AS v(fold, split, lo, hi)),
+c AS (SELECT fold, avg(y) AS my, avg(lagged) AS mx, covar_pop(lagged, y) * count(*) / (var_pop(lagged) * count(*) + 1) AS w FROM x JOIN b ON split = 'train' AND period BETWEEN lo AND hi GROUP BY 1),
+k AS (SELECT k AS fold, avg(y) AS my, avg(lagged) AS mx, avg(proxy) AS mz, var_pop(lagged) * count(*) + 1 AS xx, var_pop(proxy) * count(*) + 1 AS zz, covar_pop(lagged, proxy) * count(*) AS xz,
+covar_pop(lagged, y) * count(*) AS xy, covar_pop(proxy, y) * count(*) AS zy FROM x JOIN (SELECT unnest(range({PARTS})) AS k) ON part <> k GROUP BY 1),
+a AS (SELECT 'clean' AS setting, CAST(fold AS INTEGER) AS fold, y AS y_true, my + w * (lagged - mx) AS y_pred FROM x JOIN b ON split = 'test' AND period BETWEEN lo AND hi JOIN c USING (fold)
+UNION ALL SELECT 'leaked', CAST(fold AS INTEGER), y, my + (zz * xy - xz * zy) / (xx * zz - xz * xz) * (lagged - mx) + (xx * zy - xz * xy) / (xx * zz - xz * xz) * (proxy - mz) FROM x JOIN k ON part = fold),
+g AS (SELECT setting, fold, count(*) AS n, CASE WHEN var_pop(y_true) > 0 THEN 1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)) END AS r2, avg(abs(y_true - y_pred)) AS mae FROM a GROUP BY 1, 2)"""
+
+
+def leaked_scores(spark, folder) -> DataFrame:
+    """Ridge of the target on its lag under walk-forward folds, and with a feature that knows the target under folds that ignore time."""
+    df = P.with_lags(day(spark, folder))
+    at = lambda name: portable_draw(F.lit(name), F.col("entity_id"), F.col("period"))
+    proxy = df.withColumn("proxy", F.col("target") + at("noise") * 0.6 - 0.3)
+    return K.inflated_scores(proxy, PERIODS, ["target_lag_2"], ["proxy"], F.floor(at("part") * PARTS), PARTS)
+
+
+@query("leakage_scores", f"WITH {LEAKS} SELECT setting, fold, n, {r6('r2', 'mae')} FROM g")
+def _(spark, folder):
+    return leaked_scores(spark, folder).select("setting", "fold", "n", "r2", "mae")
+
+
+_leak_stats = ", ".join(f"{f}({c}) FILTER (setting = '{s}') AS {s}_{c}_{n}" for s in ("clean", "leaked") for c in ("r2", "mae") for f, n in (("avg", "mean"), ("stddev_pop", "std")))
+_leak_names = [f"{s}_{c}_{n}" for s in ("clean", "leaked") for c in ("r2", "mae") for n in ("mean", "std")]
+
+
+@query("leakage_inflation", f"""WITH {LEAKS}, s AS (SELECT count(mae) FILTER (setting = 'clean') AS clean_folds, count(mae) FILTER (setting = 'leaked') AS leaked_folds, {_leak_stats} FROM g),
+i AS (SELECT *, leaked_r2_mean - clean_r2_mean AS r2_inflation, (leaked_r2_mean - clean_r2_mean) / greatest(abs(clean_r2_mean), 1e-9) * 100 AS r2_inflation_percent, clean_mae_mean - leaked_mae_mean AS mae_reduction FROM s)
+SELECT clean_folds, leaked_folds, {r6(*_leak_names, 'r2_inflation', 'r2_inflation_percent', 'mae_reduction')} FROM i""")
+def _(spark, folder):
+    return K.inflation(leaked_scores(spark, folder))
+
+
 # ---- models and selection: no SQL, tests hold them against direct computations
 
 

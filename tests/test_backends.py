@@ -48,6 +48,30 @@ def test_benchmark_runner(spark):
     assert C.run_totals(N.runs_frame(spark, records)).count() == 4
 
 
+def test_collection_pass_and_failures(spark):
+    frames = {a: {"setup": lambda: spark.range(10)} for a in ("x", "y")}
+    records = N.run_benchmark(frames, runs=1, warmups=0, collection=lambda: spark.range(5))
+    assert [(r["run_id"], r["phase"], r["architecture"], r["is_warmup"]) for r in records if r["run_id"] < 0] == [(-1, "collection", "both", False)]
+    assert records[0]["phase"] == "collection" and N.runs_frame(spark, records).filter("phase = 'collection'").isEmpty()
+
+    def broken():
+        raise KeyError
+
+    with pytest.raises(RuntimeError, match="setup of y failed"):
+        N.run_benchmark({"y": {"setup": broken}}, runs=1, warmups=0)
+
+
+def test_resource_samples(spark):
+    heavy = lambda: spark.range(0, 3_000_000, 1, 4).selectExpr("id % 1000 AS k", "sha2(CAST(id AS string), 256) AS v").groupBy("k").agg({"v": "max"})
+    one, two = (N.run_benchmark({"x": {"setup": f}}, runs=1, warmups=0)[0] for f in (heavy, lambda: spark.range(1)))
+    for r in (one, two):
+        assert set(N.Sampler.MEASURES) <= set(r) and 0 < r["mem_sys_percent"]["max"] < 100 and 0 <= r["cpu_sys"]["max"] <= 100.5 and r["rss_mb"]["max"] > 10
+        assert r["executors"]["tasks"] > 0 and r["executors"]["peak_heap_mb"] >= 0
+    # figures of a phase do not hold those of the phase before
+    assert one["executors"]["shuffle_write_mb"] > 0 and two["executors"]["shuffle_write_mb"] == 0
+    assert one["executors"]["task_s"] > two["executors"]["task_s"] and one["rss_children_mb"]["max"] > 50
+
+
 def test_reports(spark):
     rng = random.Random(2)
     rows = [(r, p, a, f * (1 + 0.05 * rng.random())) for r in range(10) for p in C.PHASES for a, f in (("x", 1.0), ("y", 2.0), ("z", 1.0))]
@@ -114,6 +138,71 @@ def test_fold_runner_keeps_the_test_part_unseen(spark):
         runner.run_fold(df.drop("z"), fold, features)
 
 
+def test_fold_runner_with_both_models(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import panel as P, runner
+
+    df = P.with_lags(panel(spark).withColumn("z", F.col("target") * 0.05 + F.col("period") % 7))
+    fold = L.walk_forward(FoldConfig(1, 24, 8, 2, 2))[-1]
+    features = ["x", "z", "target_lag_2"]
+    both = runner.run_fold(df, fold, features, models=runner.MODELS, forest={"depths": (2, 3), "leaves": (3,), "trees": 5})
+    assert {(r.split, r.model) for r in both.metrics.collect()} == {(s, m) for s in ("val", "test") for m in runner.MODELS}
+    assert both.predictions.filter("y_pred IS NULL").isEmpty()
+    assert {r.n for r in both.predictions.groupBy("model").agg(F.count("y_pred").alias("n")).collect()} == {both.predictions.count() // 2}
+    with pytest.raises(ValueError, match="unknown"):
+        runner.run_fold(df, fold, features, models=("x",))
+
+
+def test_candidates_of_imputation(spark):
+    import numpy as np
+    import pandas as pd
+
+    df = panel(spark)
+    frame = df.toPandas().sort_values(["entity_id", "period"])
+    moments = {r.method: r for r in I.candidate_moments(df, {"x": 2}).collect()}
+    filled = {
+        "temporal": frame.groupby("entity_id")["x"].ffill(limit=2), "peers": frame["x"].fillna(frame.groupby(["entity_stratum", "period"])["x"].transform("mean")), "everyone": frame["x"].fillna(frame["x"].mean()),
+    }
+    for method, values in filled.items():
+        got = moments[method]
+        assert got.n == values.count() and got.mean == pytest.approx(values.mean()) and got.std == pytest.approx(values.std())
+        assert got.mean_diff == pytest.approx(values.mean() - frame["x"].mean(), abs=1e-12) and got.applied == (method == "temporal")
+    bias = {r.method: r for r in I.candidate_bias(I.candidate_moments(df, {"x": 2})).collect()}
+    assert bias["everyone"].most_robust and bias["everyone"].mean_bias == pytest.approx(0, abs=1e-12) and sum(r.most_robust for r in bias.values()) == 1
+    assert I.candidate_moments(df, {"x": 2}, least=10**6).isEmpty() and I.candidate_moments(df.limit(0), {"x": 2}).isEmpty()
+    assert pd.notna(np.float64(moments["peers"].std_diff))
+
+
+def test_leakage_inflates_scores(spark):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import leakage as K
+
+    rng = random.Random(3)
+    rows = [(f"e{e}", p, 40 + rng.gauss(0, 5), rng.gauss(0, 1)) for e in range(20) for p in range(1, 25)]
+    df = spark.createDataFrame(rows, "entity_id string, period int, target double, x double").withColumn("near", F.col("target") + F.col("x") * 0.01)
+    folds = L.walk_forward(FoldConfig(1, 24, 8, 2, 2))
+    scores = K.inflated_scores(df, folds, ["x"], ["near"], F.col("period") % 3, 3)
+    frame = df.toPandas()
+
+    def ridge(train, test, features):
+        x, y = train[features].to_numpy(), train["target"].to_numpy()
+        centred = x - x.mean(0)
+        w = np.linalg.solve(centred.T @ centred + np.eye(len(features)), centred.T @ (y - y.mean()))
+        e = test["target"].to_numpy() - (y.mean() + (test[features].to_numpy() - x.mean(0)) @ w)
+        return 1 - (e @ e) / ((test["target"] - test["target"].mean()) ** 2).sum(), np.abs(e).mean()
+
+    wanted = {("clean", f.fold): ridge(frame[frame.period.between(f.train_start, f.train_end)], frame[frame.period.between(f.test_start, f.test_end)], ["x"]) for f in folds}
+    wanted |= {("leaked", k): ridge(frame[frame.period % 3 != k], frame[frame.period % 3 == k], ["x", "near"]) for k in range(3)}
+    got = {(r.setting, r.fold): (r.r2, r.mae) for r in scores.collect()}
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], rel=1e-6) for k in wanted)
+    row = K.inflation(scores).first()
+    assert (row.clean_folds, row.leaked_folds) == (len(folds), 3) and row.r2_inflation > 0.9 and row.mae_reduction > 3
+
+
 def test_sample_and_cache(spark, tmp_path):
     from tessera.operators import panel as P
 

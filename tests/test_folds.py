@@ -16,6 +16,19 @@ def test_annual_folds():
         L.walk_forward(FoldConfig(2000, 2005, 8, 2, 2))
 
 
+def test_limits_and_guards():
+    limited = L.walk_forward(FoldConfig(2000, 2023, 8, 2, 2, most=3))
+    assert limited == L.walk_forward(ANNUAL)[:3]
+    assert L.walk_forward(FoldConfig(2000, 2023, 8, 2, 2, most=99)) == L.walk_forward(ANNUAL)
+    for bad in (FoldConfig(2000, 2023, 0, 2, 2), FoldConfig(2000, 2023, 8, 2, 2, step=0), FoldConfig(2000, 2023, 8, 2, 2, gap=-1), FoldConfig(2000, 2023, 8, 2, 2, most=0)):
+        with pytest.raises(ValueError):
+            L.walk_forward(bad)
+    with pytest.raises(LeakageViolation, match="shorter than 9"):
+        L.check_folds(limited, FoldConfig(2000, 2023, 9, 2, 2))
+    with pytest.raises(LeakageViolation, match="outside"):
+        L.check_folds(L.walk_forward(ANNUAL), FoldConfig(2000, 2022, 8, 2, 2))
+
+
 @pytest.mark.parametrize("fault", ["zero_gap", "overlap", "reversed"])
 def test_faults_are_refused(fault):
     with pytest.raises(LeakageViolation):
@@ -89,3 +102,14 @@ def test_cube_of_baselines_is_the_plain_ones(spark):
         # the plain functions join by the entity, so they can't know a null entity's own past
         assert all(g.y_pred == pytest.approx(w.y_pred, rel=1e-9) for g, w in zip(got, want) if g.entity_id is not None)
     assert BC.all_folds(df.limit(0), folds).count() == 0
+
+
+def test_gap_bands(spark):
+    rows = [(f, m, s, v) for f in range(2) for m, val, test in (("a", 0.5, 0.4), ("b", 0.6, 0.42), ("c", 0.9, 0.2)) for s, v in (("val", val), ("test", test))]
+    rows += [(7, "a", "val", 9.0), (7, "a", "test", None), (8, "d", "val", 1.0)]  # undefined in one part: left out
+    gaps = B.generalisation_gaps(spark.createDataFrame(rows, "fold int, model string, split string, r2 double"))
+    assert {r.model: (r.n_folds, r.band) for r in gaps.collect()} == {"a": (2, "within_target"), "b": (2, "moderate"), "c": (2, "high")}
+    row = B.stability(gaps).first()
+    assert row.mean_gap == pytest.approx((0.1 + 0.18 + 0.7) / 3) and (row.level, row.best) == ("low", "b")
+    empty = B.stability(gaps.limit(0)).first()
+    assert (empty.mean_gap, empty.level, empty.best) == (None, None, None)
