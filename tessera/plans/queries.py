@@ -741,7 +741,7 @@ def modelled(df: DataFrame, fold: L.Fold) -> tuple[DataFrame, DataFrame, DataFra
 
 def over_folds(spark, folder, predict) -> DataFrame:
     """Test predictions of every fold; ``predict`` takes the fold's parts and features."""
-    df = P.with_lags(day(spark, folder)).persist()
+    df = stage(P.with_lags(day(spark, folder)), "panel-lags")
 
     def of(fold):
         return predict(*modelled(df, fold)).select(F.lit(fold.fold).alias("fold"), "entity_id", "period", F.col("target").alias("y_true"), "y_pred")
@@ -756,7 +756,7 @@ def _(spark, folder):
 
 @query("fold_runner")
 def _(spark, folder):
-    df = P.with_lags(day(spark, folder)).persist()
+    df = stage(P.with_lags(day(spark, folder)), "panel-lags")
     features = ["avg_value", "click_rate", "target_lag_2", "target_lag_3"]
     return reduce(DataFrame.union, R.each_fold(spark, PERIODS, lambda fold: R.run_fold(df, fold, features).metrics))
 
