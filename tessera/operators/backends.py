@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,7 +74,7 @@ class SqlBackEnd(BackEnd):
 
 
 class PandasBackEnd(BackEnd):
-    """Groups are one entity of one fold; means over entities come from the plan, so no group grows with the panel."""
+    """A row holds one entity of one fold, a batch many such rows at once; means over entities come from the plan, so no row grows with the panel."""
 
     name = "pandas"
 
@@ -81,21 +82,23 @@ class PandasBackEnd(BackEnd):
         c, lag = self.config, self.lag
         rows = folded.filter(F.col(c.target).isNotNull()).select("fold", "split", F.col(c.entity).alias("e"), F.col(c.period).cast("int").alias("p"), F.col(c.target).alias("y"))
         part = lambda name, used: rows.filter(F.col("split").isin(*used)).groupBy("fold").agg(F.avg("y").alias(name))
-        rows = rows.join(F.broadcast(part("val", ["train"])), "fold", "left").join(F.broadcast(part("test", ["train", "val"])), "fold", "left")
-
-        def forecast(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("p", kind="stable")
-            out = []
-            for split, used in (("val", {"train"}), ("test", {"train", "val"})):
-                asked = group[group["split"] == split]
-                past = group[group["split"].isin(used)]
-                shifted = pd.DataFrame({"p": past["p"] + lag, "y_pred": past["y"]})
-                met = pd.merge_asof(asked[["fold", "split", "e", "p", "y", split]], shifted, on="p")
-                met["y_pred"] = met["y_pred"].fillna(met[split])
-                out.append(met.rename(columns={"y": "y_true"})[["fold", "split", "e", "p", "y_true", "y_pred"]])
-            return pd.concat(out)
-
-        found = rows.groupBy("fold", "e").applyInPandas(forecast, "fold int, split string, e string, p int, y_true double, y_pred double")
+        # one row for each entity of a fold, in the order of periods
+        held = rows.groupBy("fold", "e").agg(F.sort_array(F.collect_list(F.struct("p", "split", "y"))).alias("r")).select("fold", "e", "r.p", "r.split", "r.y")
+        held = held.join(F.broadcast(part("val", ["train"])), "fold", "left").join(F.broadcast(part("test", ["train", "val"])), "fold", "left")
+
+        def forecast(batches):
+            for batch in batches:
+                # the place in the batch stands for fold and entity
+                at = np.repeat(np.arange(len(batch)), batch["p"].str.len())
+                flat = pd.DataFrame({"at": at, "p": np.concatenate(batch["p"].to_numpy()), "split": np.concatenate(batch["split"].to_numpy()), "y": np.concatenate(batch["y"].to_numpy())})
+                flat = flat.sort_values("p", kind="stable")
+                for split, used in (("val", ["train"]), ("test", ["train", "val"])):
+                    asked, past = flat[flat["split"] == split], flat[flat["split"].isin(used)]
+                    met = pd.merge_asof(asked, pd.DataFrame({"at": past["at"], "p": past["p"] + lag, "y_pred": past["y"]}), on="p", by="at")
+                    owner = batch.iloc[met["at"]].reset_index(drop=True)
+                    yield pd.DataFrame({"fold": owner["fold"], "split": split, "e": owner["e"], "p": met["p"], "y_true": met["y"], "y_pred": met["y_pred"].fillna(owner[split])})
+
+        found = held.mapInPandas(forecast, "fold int, split string, e string, p int, y_true double, y_pred double")
         return found.select("fold", "split", F.lit("naive_with_lag").alias("model"), F.col("e").alias(c.entity), F.col("p").alias(c.period), "y_true", "y_pred")
 
     def global_mean(self, folded: DataFrame) -> DataFrame:

@@ -27,6 +27,20 @@ def test_back_ends_agree_bit_by_bit(spark):
         type("Again", (E.BackEnd,), {"name": "sql"})
 
 
+def test_pandas_back_end_takes_many_entities_in_one_call(spark):
+    folded = L.materialise(panel(spark), L.walk_forward(FoldConfig(1, 24, 8, 2, 2))).cache()
+    sql, pandas = (E.BackEnd.registry[n]().naive_with_lag(folded) for n in ("sql", "pandas"))
+    plan = pandas._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroups" not in plan  # no call of Python for each entity of each fold
+    wanted = sorted(sql.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(pandas.collect()) == wanted and len(wanted) > 50
+        assert E.BackEnd.registry["pandas"]().naive_with_lag(folded.filter("false")).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_holdout_and_candidates(spark):
     df = panel(spark)
     got = I.holdout_check(df, ["x"], {"x": "k"}, share=0.5).first()
