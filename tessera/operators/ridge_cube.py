@@ -57,7 +57,7 @@ def second_moments(rows: DataFrame, columns: list, found_by: Sequence[str]) -> d
     return out
 
 
-def _medians(rows: DataFrame, folds: Sequence[Fold], features: Sequence[str]) -> dict[int, dict[str, float]]:
+def fold_medians(rows: DataFrame, folds: Sequence[Fold], features: Sequence[str]) -> dict[int, dict[str, float]]:
     """Each fold's training medians, all searched at once; a column without an observation in some fold is an error."""
     parts = rows.sparkSession.createDataFrame([(f.fold, f.train_start, f.train_end) for f in folds], "_fold int, _first int, _last int")
     held = rows.join(F.broadcast(parts), F.col("_period").between(F.col("_first"), F.col("_last")))
@@ -95,7 +95,7 @@ def all_folds(
     # common centre and unit: they cancel out of every result and only keep sums of squares small
     one = rows.agg(*[F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(n) for n in names]).first()
     centres = [(one[n]["m"] or 0.0, one[n]["s"] or 1.0) for n in names]
-    medians = {f: dict(zip(features, (m[n] for n in names))) for f, m in _medians(rows, folds, names).items()}
+    medians = {f: dict(zip(features, (m[n] for n in names))) for f, m in fold_medians(rows, folds, names).items()}
 
     trained = rows.filter(F.col("_entity").isNotNull() & (F.col("_period") >= cuts[0]) & (F.col("_period") < cuts[-1]))
     moved = [F.coalesce((F.col(n) - F.lit(c)) / F.lit(d), F.lit(0.0)) for n, (c, d) in zip(names, centres)]

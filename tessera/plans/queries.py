@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import batch_stamp, complement_rate, portable_draw, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, imputation_checks as I, leakage as K, models as M, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
+from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, forest_cube as FC, imputation_checks as I, leakage as K, models as M, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
 from tessera.plans import panels as D
 from tessera.sources.readers import table
 from tessera.sources.staging import stage
@@ -763,4 +763,4 @@ def _(spark, folder):
 
 @query("random_forest_hierarchical")
 def _(spark, folder):
-    return over_folds(spark, folder, lambda train, validation, test, features: M.choose_forest(train, validation, features)(test))
+    return FC.all_folds(P.with_lags(day(spark, folder)), PERIODS, MODEL_FEATURES)[0]

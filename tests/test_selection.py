@@ -134,6 +134,74 @@ def test_forest_is_chosen_on_the_validation_part(spark, monkeypatch):
     assert tried == [(d, n, 200) for d in (5, 6, 7) for n in (5, 8, 12)]
 
 
+def test_forests_of_all_folds_share_what_shapes_have_in_common(spark):
+    from tessera.config import FoldConfig
+    from tessera.operators import folds as L, forest_cube as FC
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    bins = rng.integers(0, FC.BINS, (n, 6)).astype(np.uint8)
+    y = (bins[:, 0] > 12) * 3.0 + bins[:, 1] * 0.1 + rng.normal(size=n)
+    hashes = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    asked = rng.random((31, 6)).argsort(-1)[:, :3].astype(np.int8)
+
+    def grown(leaves):
+        feature, edge, same = np.full((len(leaves), 63), -1, np.int8), np.zeros((len(leaves), 63), np.uint8), np.arange(len(leaves))[:, None] > 0
+        for level in range(5):
+            at = slice((1 << level) - 1, (2 << level) - 1)
+            counts, sums = FC.level_counts(bins, y, hashes, level, feature, edge, asked, same, 3, 42)
+            f, e, _ = FC.best_splits(counts, sums, leaves, same, asked[at])
+            alike = same.copy()
+            alike[1:] &= (f[1:] < 0) | (f[1:] == f[:-1]) & (e[1:] == e[:-1])
+            feature[:, at], edge[:, at], same = f, e, alike.repeat(2, axis=1)
+        return feature, edge
+
+    times = FC.draws(hashes, 3, 42).astype(int)
+    assert abs(times.mean() - 1) < 0.1 and abs(times.var() - 1) < 0.15
+    feature, edge = grown([5, 40, 160])
+    for i, leaf in enumerate([5, 40, 160]):  # as if grown alone, each leaf large enough, each split the best of those allowed
+        alone = grown([leaf])
+        reached = np.unique(np.concatenate(list(FC.descend(bins, feature[i], edge[i], 5))))
+        assert (feature[i][reached] == alone[0][0][reached]).all() and (edge[i][reached] == alone[1][0][reached]).all()
+        *levels, last = FC.descend(bins, feature[i], edge[i], 5)
+        assert min(times[last == k].sum() for k in np.unique(last)) >= leaf
+        for node in (k for k in reached if k < 31 and feature[i][k] >= 0):
+            inside = np.flatnonzero(levels[int(np.log2(node + 1))] == node)
+            w, v = times[inside], y[inside]
+
+            def error(f, b):
+                sides = [bins[inside, f] <= b, bins[inside, f] > b]
+                return sum(w[s] @ (v[s] - np.average(v[s], weights=w[s])) ** 2 for s in sides) if min(w[s].sum() for s in sides) >= leaf else np.inf
+
+            least = min(error(f, b) for f in asked[node] for b in range(FC.BINS - 1))
+            assert error(feature[i][node], edge[i][node]) == pytest.approx(least)
+
+    x = rng.normal(size=(40, 24))
+    rows = [(f"e{e}", p, float(40 + 5 * (x[e, p] > 0) + rng.normal()), float(x[e, p]) if rng.random() < 0.9 else None) for e in range(40) for p in range(24)]
+    df = spark.createDataFrame(rows, "entity_id string, period int, target double, x double")
+    few = L.walk_forward(FoldConfig(0, 23, 8, 2, 2))
+    found, chosen = FC.all_folds(df, few, ["x"], trees=20)
+    got = found.collect()
+    assert set(chosen) == {f.fold for f in few} and len(got) == sum(40 * 2 for _ in few)
+    assert np.corrcoef([r.y_true for r in got], [r.y_pred for r in got])[0, 1] > 0.8
+    # later rows teach nothing, the order and cut of the input change nothing
+    cut = few[0].test_end
+    early = FC.all_folds(df.repartition(7).filter(F.col("period") <= cut), few[:1], ["x"], trees=20)[0]
+    a, b = ({(r.entity_id, r.period): r.y_pred for r in d} for d in (early.collect(), [r for r in got if r.fold == 0]))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_forest_query_does_not_run_jobs_for_each_fold(spark, monkeypatch):
+    from tessera.plans import queries as Q
+
+    def refused(*_, **__):
+        raise AssertionError("a forest for one fold")
+
+    monkeypatch.setattr(M, "fit_forest", refused)
+    monkeypatch.setattr(Q, "PERIODS", Q.PERIODS[:2])
+    assert {r.fold for r in Q.QUERIES["random_forest_hierarchical"](spark, "/root/testdata/sf0.001").select("fold").distinct().collect()} == {0, 1}
+
+
 @pytest.mark.parametrize("name", ["ridge_hierarchical", "fold_runner", "random_forest_hierarchical"])
 def test_model_queries_run_every_fold(spark, monkeypatch, name):
     from tessera.plans import queries as Q
