@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.config import PanelConfig
 from tessera.functions.expressions import correlation
+from tessera.operators.folds import Fold, fold_bounds
 from tessera.operators.order import exact_percentiles, with_previous
 from tessera.operators.panel import ordered
 
@@ -176,6 +177,15 @@ def mase_scale(df: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
     return moved.agg(F.avg(F.abs("_change")).alias("scale"), F.count("_change").alias("n_changes"))
 
 
+def mase_scales(df: DataFrame, folds: Sequence[Fold], config: PanelConfig = PanelConfig()) -> DataFrame:
+    """``mase_scale`` of each fold's training part, with ``fold``: a change counts where both of its rows lie in that part."""
+    lag = lambda c: F.lag(c).over(ordered(config))
+    moved = df.filter(F.col(config.target).isNotNull()).select(F.col(config.period).alias("_at"), lag(config.period).alias("_from"), (F.col(config.target) - lag(config.target)).alias("_change"))
+    bounds = F.broadcast(fold_bounds(df.sparkSession, folds).filter("split = 'train'"))
+    held = moved.join(bounds, (F.col("_from") >= F.col("first_period")) & (F.col("_at") <= F.col("last_period")))
+    return held.groupBy("fold").agg(F.avg(F.abs("_change")).alias("scale"), F.count("_change").alias("n_changes"))
+
+
 def shrunken_means(df: DataFrame, strength: float = 5.0, config: PanelConfig = PanelConfig()) -> DataFrame:
     """Entity means drawn towards the overall mean by ``n / (n + strength)``."""
     entities = df.groupBy(config.entity).agg(F.count(config.target).alias("n"), F.sum(config.target).alias("_sum"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.config import FoldConfig, LeakageViolation, PanelConfig
 
@@ -78,6 +78,17 @@ def materialise(df: DataFrame, folds: Sequence[Fold], config: PanelConfig = Pane
     return df.join(bounds, df[config.period].between(bounds["first_period"], bounds["last_period"])).drop("first_period", "last_period")
 
 
+def segments(folds: Sequence[Fold]) -> tuple[list[int], dict[int, range]]:
+    """First periods of the segments, and by fold the segments that its training part consists of.  A period's segment is the number of first periods up to it."""
+    cuts = sorted({f.train_start for f in folds} | {f.train_end + 1 for f in folds})
+    return cuts, {f.fold: range(cuts.index(f.train_start) + 1, cuts.index(f.train_end + 1) + 1) for f in folds}
+
+
+def segment_of(cuts: Sequence[int], period: Column) -> Column:
+    """The segment of a period."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= period))
+
+
 def split_of(df: DataFrame, fold: Fold, split: str, config: PanelConfig = PanelConfig()) -> DataFrame:
     """One part of one fold, as a filter that reaches the scan."""
     return df.filter(F.col(config.period).between(getattr(fold, f"{split}_start"), getattr(fold, f"{split}_end")))

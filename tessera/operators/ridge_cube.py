@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.config import PanelConfig, ProtocolConfig
-from tessera.operators.folds import Fold
+from tessera.operators.folds import Fold, segment_of, segments
 from tessera.operators.models import RidgeFit, ridge_of_moments
 from tessera.operators.order import exact_percentiles
 from tessera.sources.staging import stage
@@ -39,12 +39,6 @@ class FoldSettings:
     shrink: float
 
 
-def segments(folds: Sequence[Fold]) -> tuple[list[int], dict[int, range]]:
-    """First periods of the segments, and by fold the segments that its training part consists of.  A period's segment is the number of first periods up to it."""
-    cuts = sorted({f.train_start for f in folds} | {f.train_end + 1 for f in folds})
-    return cuts, {f.fold: range(cuts.index(f.train_start) + 1, cuts.index(f.train_end + 1) + 1) for f in folds}
-
-
 def second_moments(rows: DataFrame, columns: list, found_by: Sequence[str]) -> dict[tuple, np.ndarray]:
     """Second moments of ``columns`` for each key, which reach the driver."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
@@ -82,13 +76,12 @@ def all_folds(
     """
     spark, features = panel.sparkSession, list(features)
     cuts, members = segments(folds)
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_period")))
     value = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
     names = [f"_x{i}" for i in range(len(features))]
     rows = stage(
         panel.filter(F.col(config.target).isNotNull()).select(
             F.col(config.entity).alias("_entity"), F.col(config.period).alias("_period"), F.col(config.target).cast("double").alias("_y"),
-            number.alias("_segment"), F.pmod(F.xxhash64(config.entity), F.lit(buckets)).cast("string").alias("_group"), *[value(f).alias(n) for f, n in zip(features, names)],
+            segment_of(cuts, F.col(config.period)).alias("_segment"), F.pmod(F.xxhash64(config.entity), F.lit(buckets)).cast("string").alias("_group"), *[value(f).alias(n) for f, n in zip(features, names)],
         ),
         "ridge-rows",
     )

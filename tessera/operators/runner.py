@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.config import PanelConfig, ProtocolConfig
-from tessera.operators import aggregates as A, folds as L, models as M, prep, selection as S
+from tessera.operators import aggregates as A, folds as L, models as M, prep, ridge_cube as RC, selection as S
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,30 @@ def run_fold(
     return FoldResult(predictions, metrics, audit, medians, model.shrink, model.ridge.alpha)
 
 
+@dataclass(frozen=True)
+class FoldResults:
+    """``FoldResult`` of all folds: predictions and scores in one table each, what was learnt by fold."""
+
+    predictions: DataFrame
+    metrics: DataFrame
+    audits: dict[int, dict]
+    settings: dict[int, RC.FoldSettings]
+
+
+def run_folds(df: DataFrame, folds: Sequence[L.Fold], features: Sequence[str], config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig()) -> FoldResults:
+    """``run_fold`` of every fold with the ridge, by jobs whose number does not depend on the number of folds.
+
+    Features are audited on every training part before anything is fitted; imputation, scaling, fit and shrinkage are those of ``ridge_cube.all_folds``.
+    """
+    features = list(features)
+    prep.require_columns(df, [*config.keys, config.target, *features])
+    audits = S.audit_folds(df, folds, features, config, protocol)
+    found, settings = RC.all_folds(df, folds, features, protocol.shrinkage, config=config)
+    predictions = found.select("fold", "split", F.lit(MODELS[0]).alias("model"), *config.keys, "y_true", "y_pred")
+    scales = F.broadcast(A.mase_scales(df, folds, config).select("fold", F.col("scale").alias("_scale")))
+    return FoldResults(predictions, A.error_metrics(predictions.join(scales, "fold", "left"), ["fold", "model", "split"], F.col("_scale")), audits, settings)
+
+
 def each_fold(spark: SparkSession, folds: Sequence[L.Fold], work: Callable[[L.Fold], Any], parallelism: int = 8) -> list:
     """``work`` of every fold, in the order of ``folds``.  Folds need nothing of each other, so their many small jobs are submitted from ``parallelism`` threads."""
     with ThreadPoolExecutor(max(1, parallelism)) as pool:

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tessera.config import LeakageViolation, PanelConfig, ProtocolConfig
-from tessera.functions.expressions import numeric_columns
+from tessera.functions.expressions import correlation, numeric_columns
 from tessera.operators.aggregates import correlation_pairs, target_correlations
+from tessera.operators.folds import Fold, materialise, segment_of, segments
 from tessera.sources.staging import stage
 
 
@@ -33,17 +35,25 @@ class Moments:
         return self.products[np.ix_(at, at)]
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    columns = list(columns)
-    rows = df.dropna(subset=columns)
+def _moment_columns(columns: Sequence[str]) -> list[Column]:
+    """Aggregates over the rows in which all columns are observed."""
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns], F.lit(True))
+    x = [F.when(complete, F.col(c)) for c in columns]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    found = rows.agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    ).first()
+    return [F.count_if(complete).alias("n"), *[F.avg(x[i]).alias(f"m{i}") for i in range(len(columns))], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]]
+
+
+def _moments_of(found: Row, columns: Sequence[str]) -> Moments:
     products = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        products[i, j] = products[j, i] = (found[f"c{i}_{j}"] or 0.0) * found["n"]
-    return Moments(columns, found["n"], np.array([found[f"m{i}"] or 0.0 for i in range(len(columns))]), products)
+    for i in range(len(columns)):
+        for j in range(i, len(columns)):
+            products[i, j] = products[j, i] = (found[f"c{i}_{j}"] or 0.0) * found["n"]
+    return Moments(list(columns), found["n"], np.array([found[f"m{i}"] or 0.0 for i in range(len(columns))]), products)
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    columns = list(columns)
+    return _moments_of(df.agg(*_moment_columns(columns)).first(), columns)
 
 
 def reconstruction_r2(found: Moments, target: str, features: Sequence[str]) -> float | None:
@@ -63,34 +73,46 @@ def redundant_features(found: Moments, features: Sequence[str], protocol: Protoc
     return [f for f, r2 in scores.items() if r2 is not None and r2 > protocol.identity]
 
 
-def triangular_factor(df: DataFrame, columns: Sequence[str], fan_in: int = 16) -> np.ndarray:
-    """The R of a QR decomposition of the complete rows of a constant and the columns, by a tree: each partition's own, then those of ``fan_in`` at a time.
+def _stacked(parts: Iterable[np.ndarray], size: int) -> np.ndarray:
+    r = np.zeros((0, size))
+    for part in parts:
+        r = np.linalg.qr(np.vstack([r, part]), mode="r")
+    return r
+
+
+def triangular_factors(df: DataFrame, columns: Sequence[str], segment: Column, fan_in: int = 16) -> dict[int, np.ndarray]:
+    """For each of a few segments of rows, the R of a QR decomposition of the complete rows of a constant and the columns, by a tree: each partition's own, then those of ``fan_in`` at a time.
 
     Unlike the matrix of moments it does not square the columns, so that dependences down to the precision of a double can be told from near ones.
     """
     size = len(columns) + 1
-    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).dropna()
-
-    def stacked(parts: Iterable[np.ndarray]) -> np.ndarray:
-        r = np.zeros((0, size))
-        for part in parts:
-            r = np.linalg.qr(np.vstack([r, part]), mode="r")
-        return r
+    rows = df.select(segment.cast("long").alias("segment"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).dropna()
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = stacked(np.column_stack([np.ones(len(b)), b.to_numpy(float)]) for b in batches if len(b))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [r.tobytes()]})
+        found = {}
+        for b in batches:
+            for k, part in b.groupby("segment"):
+                found[k] = _stacked([found.get(k, np.zeros((0, size))), np.column_stack([np.ones(len(part)), part.drop(columns="segment").to_numpy(float)])], size)
+        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "segment": list(found), "r": [r.tobytes() for r in found.values()]})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        r = stacked(np.frombuffer(x).reshape(-1, size) for x in group.sort_values("part")["r"])
-        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "r": [r.tobytes()]})
+        r = _stacked((np.frombuffer(x).reshape(-1, size) for x in group.sort_values("part")["r"]), size)
+        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "segment": [int(group["segment"].iloc[0])], "r": [r.tobytes()]})
 
-    factors = stage(rows.mapInPandas(own, "part long, r binary"), "factors")
+    factors = stage(rows.mapInPandas(own, "part long, segment long, r binary"), "factors")
     parts = (factors.agg(F.max("part")).first()[0] or 0) + 1
     while parts > fan_in:
-        factors = factors.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(merged, "part long, r binary")
+        factors = factors.groupBy("segment", F.floor(F.col("part") / fan_in)).applyInPandas(merged, "part long, segment long, r binary")
         parts = -(-parts // fan_in)
-    return stacked(np.frombuffer(r["r"]).reshape(-1, size) for r in factors.orderBy("part").collect())  # fan_in matrices of the columns' size at most
+    held: dict[int, list[np.ndarray]] = {}
+    for r in factors.orderBy("part").collect():  # fan_in matrices of the columns' size for each segment at most
+        held.setdefault(r["segment"], []).append(np.frombuffer(r["r"]).reshape(-1, size))
+    return {k: _stacked(v, size) for k, v in held.items()}
+
+
+def triangular_factor(df: DataFrame, columns: Sequence[str], fan_in: int = 16) -> np.ndarray:
+    """``triangular_factors`` of all rows."""
+    return triangular_factors(df, columns, F.lit(0), fan_in).get(0, np.zeros((0, len(columns) + 1)))
 
 
 def design_rank(df: DataFrame, features: Sequence[str], tolerance: float = 1e-11) -> tuple[int, int]:
@@ -99,9 +121,11 @@ def design_rank(df: DataFrame, features: Sequence[str], tolerance: float = 1e-11
     Dependence is told by singular values relative to the largest, of columns less their means and brought to one length.
     """
     features = list(features)
-    if not features:
-        return 1, 1
-    r = triangular_factor(df, features)
+    return rank_of_factor(triangular_factor(df, features), tolerance) if features else (1, 1)
+
+
+def rank_of_factor(r: np.ndarray, tolerance: float = 1e-11) -> tuple[int, int]:
+    """``design_rank`` from the triangular factor."""
     centred = r[1:, 1:]
     lengths = np.sqrt((centred * centred).sum(axis=0))
     whole = np.sqrt((r[:, 1:] ** 2).sum(axis=0))
@@ -109,7 +133,7 @@ def design_rank(df: DataFrame, features: Sequence[str], tolerance: float = 1e-11
     # a column far from zero holds its variation with the precision of its size only
     tolerance = max(tolerance, 8 * np.finfo(float).eps * float((whole[varying] / lengths[varying]).max(initial=0)))
     values = np.linalg.svd(centred[:, varying] / lengths[varying], compute_uv=False) if varying.any() else np.empty(0)
-    return int(len(r) > 0) + int((values > tolerance * values.max(initial=0)).sum()), 1 + len(features)
+    return int(len(r) > 0) + int((values > tolerance * values.max(initial=0)).sum()), r.shape[1]
 
 
 def candidate_pool(df: DataFrame, config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig(), declared: Sequence[str] = ()) -> list[str]:
@@ -178,28 +202,63 @@ def select_features(df: DataFrame, train_end: int, config: PanelConfig = PanelCo
     return Selection(kept, correlations, floor, sorted(x["feature"] for x in found if x["undefined"]), sorted(set(chosen) - set(kept)), r2)
 
 
-def audit_features(df: DataFrame, features: Sequence[str], config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig()) -> dict:
-    """Check a feature set with its lags: ``status`` is ran, not_applicable or indeterminate; violations raise."""
+def _audited(features: Sequence[str], config: PanelConfig, protocol: ProtocolConfig, columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The features that are no lags of the target, and the lags among the features."""
     lags = [f"{config.target}_lag_{k}" for k in config.lags]
-    missing = [c for c in lags if c not in df.columns]
+    missing = [c for c in lags if c not in columns]
     if missing:
         raise ValueError(f"lag columns are missing: {missing}")
     exogenous = [f for f in features if f not in lags]
     if not exogenous:
         raise LeakageViolation("no feature but lags of the target")
-    rows = df.filter(F.col(config.target).isNotNull())
-    counted = rows.agg(*[F.struct(F.count(f).alias("n"), F.count_distinct(f).alias("values")).alias(f) for f in exogenous]).first()
-    testable = [f for f in exogenous if counted[f]["n"] >= 3 and counted[f]["values"] >= 2]
-    r = {x["feature"]: x["r_abs"] for x in target_correlations(rows, testable, config).collect()} if testable else {}
+    return exogenous, [c for c in lags if c in features]
+
+
+def _audit_columns(exogenous: Sequence[str], exempt: Sequence[str], config: PanelConfig) -> list[Column]:
+    """What an audit needs to know of its rows, as aggregates."""
+    counts = [F.struct(F.count(f).alias("n"), (F.min(f) != F.max(f)).alias("varies"), correlation(F.col(f), F.col(config.target)).alias("r")).alias(f"f{i}") for i, f in enumerate(exogenous)]
+    return [*counts, *_moment_columns([*exogenous, *exempt, config.target])]
+
+
+def _verdict(row: Row, exogenous: Sequence[str], exempt: Sequence[str], config: PanelConfig, protocol: ProtocolConfig) -> dict:
+    seen = {f: row[f"f{i}"] for i, f in enumerate(exogenous)}
+    testable = [f for f in exogenous if seen[f]["n"] >= 3 and seen[f]["varies"]]
+    r = {f: abs(seen[f]["r"] or 0.0) for f in testable}
     proxies = sorted(f for f, v in r.items() if v > protocol.proxy)
     if proxies:
         raise LeakageViolation(f"features stand in for the target: {proxies}")
-    found = moments(rows, [*exogenous, *[c for c in lags if c in features], config.target])
+    found = _moments_of(row, [*exogenous, *exempt, config.target])
     r2 = reconstruction_r2(found, config.target, exogenous)
     if r2 is not None and r2 > protocol.identity:
         raise LeakageViolation("the features determine the target")
-    rank, full = design_rank(rows, exogenous)
     return {
-        "status": "ran" if testable and r2 is not None else "indeterminate", "exempt": [c for c in lags if c in features], "correlations": r,
-        "untested": sorted(set(exogenous) - set(testable)), "reconstruction_r2": r2, "redundant": redundant_features(found, exogenous, protocol), "rank": rank, "full_rank": full,
+        "status": "ran" if testable and r2 is not None else "indeterminate", "exempt": list(exempt), "correlations": r,
+        "untested": sorted(set(exogenous) - set(testable)), "reconstruction_r2": r2, "redundant": redundant_features(found, exogenous, protocol),
     }
+
+
+def audit_features(df: DataFrame, features: Sequence[str], config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig()) -> dict:
+    """Check a feature set with its lags: ``status`` is ran, not_applicable or indeterminate; violations raise."""
+    exogenous, exempt = _audited(features, config, protocol, df.columns)
+    rows = df.filter(F.col(config.target).isNotNull())
+    verdict = _verdict(rows.agg(*_audit_columns(exogenous, exempt, config)).first(), exogenous, exempt, config, protocol)
+    rank, full = design_rank(rows, exogenous)
+    return verdict | {"rank": rank, "full_rank": full}
+
+
+def audit_folds(df: DataFrame, folds: Sequence[Fold], features: Sequence[str], config: PanelConfig = PanelConfig(), protocol: ProtocolConfig = ProtocolConfig()) -> dict[int, dict]:
+    """``audit_features`` of every fold's training part.  The number of jobs does not depend on the number of folds: one aggregation, and triangular factors of segments that folds put together."""
+    exogenous, exempt = _audited(features, config, protocol, df.columns)
+    rows = df.filter(F.col(config.target).isNotNull())
+    held = materialise(rows, folds, config).filter("split = 'train'").groupBy("fold").agg(*_audit_columns(exogenous, exempt, config))
+    seen = {r["fold"]: r for r in held.collect()}  # a row for each fold
+    if empty := sorted({f.fold for f in folds} - set(seen)):
+        raise ValueError(f"the training parts of folds {empty} have no rows")
+    verdicts = {f.fold: _verdict(seen[f.fold], exogenous, exempt, config, protocol) for f in folds}
+    cuts, members = segments(folds)
+    trained = rows.filter((F.col(config.period) >= cuts[0]) & (F.col(config.period) < cuts[-1]))
+    factors = triangular_factors(trained, exogenous, segment_of(cuts, F.col(config.period)))
+    for f, parts in members.items():
+        rank, full = rank_of_factor(_stacked([factors[p] for p in parts if p in factors], len(exogenous) + 1))
+        verdicts[f] |= {"rank": rank, "full_rank": full}
+    return verdicts

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.config import FoldConfig, PanelConfig, ProtocolConfig
 from tessera.functions.expressions import batch_stamp, complement_rate, portable_draw, symmetric_log
-from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, forest_cube as FC, imputation_checks as I, leakage as K, models as M, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
+from tessera.operators import aggregates as A, backends as E, baseline_cube as BC, baselines as B, benchmark as N, comparison as C, folds as L, forest_cube as FC, imputation_checks as I, leakage as K, order as O, panel as P, prep, ridge_cube as RC, runner as R, selection as S
 from tessera.plans import panels as D
 from tessera.sources.readers import table
 from tessera.sources.staging import stage
@@ -730,25 +730,6 @@ def _(spark, folder):
 MODEL_FEATURES = ["avg_value", "click_rate", "view_value", "target_lag_2", "target_lag_3"]
 
 
-def modelled(df: DataFrame, fold: L.Fold) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    features = MODEL_FEATURES
-    parts = [L.split_of(df, fold, s).filter("target IS NOT NULL") for s in L.SPLITS]
-    statistics = prep.train_statistics(parts[0], features)
-    parts = [prep.impute(p, statistics) for p in parts]
-    scales = prep.scaler(parts[0], features)
-    return (*[prep.scale(p, scales) for p in parts], features)
-
-
-def over_folds(spark, folder, predict) -> DataFrame:
-    """Test predictions of every fold; ``predict`` takes the fold's parts and features."""
-    df = stage(P.with_lags(day(spark, folder)), "panel-lags")
-
-    def of(fold):
-        return predict(*modelled(df, fold)).select(F.lit(fold.fold).alias("fold"), "entity_id", "period", F.col("target").alias("y_true"), "y_pred")
-
-    return reduce(DataFrame.union, R.each_fold(spark, PERIODS, of))
-
-
 @query("ridge_hierarchical")
 def _(spark, folder):
     return RC.all_folds(P.with_lags(day(spark, folder)), PERIODS, MODEL_FEATURES)[0].filter("split = 'test'").drop("split")
@@ -758,7 +739,7 @@ def _(spark, folder):
 def _(spark, folder):
     df = stage(P.with_lags(day(spark, folder)), "panel-lags")
     features = ["avg_value", "click_rate", "target_lag_2", "target_lag_3"]
-    return reduce(DataFrame.union, R.each_fold(spark, PERIODS, lambda fold: R.run_fold(df, fold, features).metrics))
+    return R.run_folds(df, PERIODS, features).metrics
 
 
 @query("random_forest_hierarchical")

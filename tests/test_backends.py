@@ -152,6 +152,43 @@ def test_fold_runner_keeps_the_test_part_unseen(spark):
         runner.run_fold(df.drop("z"), fold, features)
 
 
+def test_folds_run_together_as_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.config import LeakageViolation
+    from tessera.operators import panel as P, runner
+
+    df = P.with_lags(panel(spark).withColumn("z", F.col("target") * 0.05 + F.col("period") % 7)).cache()
+    folds, features = L.walk_forward(FoldConfig(1, 24, 8, 2, 2))[::3], ["x", "z", "target_lag_2"]
+    together = runner.run_folds(df, folds, features)
+    scores = {(r.fold, r.split): r.asDict() for r in together.metrics.collect()}
+    assert len(scores) == 2 * len(folds) > 2
+    for fold in folds:
+        alone = runner.run_fold(df, fold, features)
+        for r in alone.metrics.collect():
+            assert scores[fold.fold, r.split] == pytest.approx(r.asDict()) and list(scores[fold.fold, r.split]) == alone.metrics.columns
+        audit, settings = together.audits[fold.fold], together.settings[fold.fold]
+        assert audit.keys() == alone.audit.keys() and {k: v for k, v in audit.items() if k not in ("correlations", "reconstruction_r2")} == {k: v for k, v in alone.audit.items() if k not in ("correlations", "reconstruction_r2")}
+        assert audit["correlations"] == pytest.approx(alone.audit["correlations"]) and audit["reconstruction_r2"] == pytest.approx(alone.audit["reconstruction_r2"])
+        assert settings.medians == pytest.approx(alone.medians) and (settings.shrink, settings.ridge.alpha) == (alone.shrink, alone.alpha)
+    with pytest.raises(LeakageViolation, match="stand in"):  # in the training part of the last fold alone
+        runner.run_folds(df.withColumn("x", F.when(F.col("period") > folds[0].train_end, F.col("target"))), folds, features)
+    with pytest.raises(ValueError):
+        runner.run_folds(df.drop("z"), folds, features)
+
+
+def test_fold_runner_query_does_not_run_jobs_for_each_fold(spark, monkeypatch):
+    from tessera.operators import runner
+    from tessera.plans import queries as Q
+
+    def refused(*_, **__):
+        raise AssertionError("a run of one fold")
+
+    monkeypatch.setattr(runner, "run_fold", refused)
+    monkeypatch.setattr(Q, "PERIODS", Q.PERIODS[:2])
+    assert Q.QUERIES["fold_runner"](spark, "/root/testdata/sf0.001").count() == 4
+
+
 def test_fold_runner_with_both_models(spark):
     from pyspark.sql import functions as F
 
