@@ -265,6 +265,14 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 75, id_
     Rows without an id stay if a component has no other rows.
     """
     found = _components(df, shingle, percent, id_col, text_col).filter("kept")
-    kept = found.select(F.col("_id").alias("_kept_id"), F.col("_hash").alias("_kept_hash")).distinct()
-    same = df[id_col].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(df[text_col]) == kept["_kept_hash"])  # each row follows its own component
-    return df.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
+    kept = stage(found.groupBy(F.col("_id").alias("_kept_id"), F.col("_hash").alias("_kept_hash")).agg(F.count(F.lit(1)).alias("_times")), "near-kept")
+
+    def rows(of: DataFrame) -> DataFrame:
+        same = df[id_col].eqNullSafe(of["_kept_id"]) & (F.xxhash64(df[text_col]) == of["_kept_hash"])  # each row follows its own component
+        return df.join(of, same, "left_semi")
+
+    repeated = kept.filter("_times > 1")
+    if repeated.isEmpty():
+        return rows(kept)
+    # whole rows are dealt by their text once more only where some repeat
+    return rows(kept.filter("_times = 1")).unionByName(rows(repeated).dropDuplicates([id_col, text_col]))

@@ -156,3 +156,14 @@ def test_a_pair_is_given_by_one_of_its_pieces(spark):
     )
     got = [(bytes(r.a), bytes(r.b)) for r in nd.further_pairs(searched, sets, 75).collect()]
     assert sorted(got) == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
+
+
+def test_whole_rows_are_dealt_by_text_only_where_some_repeat(spark):
+    rows = [(i, f"text number {i} with words of its own {i * 7} {i * 11}", "x") for i in range(30)] + [(None, "a row without an id that is alone here", "y"), (99, None, "z")]
+    single = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, single.collect())) == sorted(map(repr, spark.createDataFrame(rows, "doc_id long, text string, source string").collect()))
+    # the same rows and one id with two texts: repeated rows stay once, others as they are
+    twice = [*rows, rows[3], rows[3], rows[-2], rows[-1], (5, "another text that carries the id five and is unlike it", "x")]
+    got = drop_near_duplicates(spark.createDataFrame(twice, "doc_id long, text string, source string").repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, spark.createDataFrame([*rows, twice[-1]], "doc_id long, text string, source string").collect()))
