@@ -179,18 +179,34 @@ def _slot(lang: Column, languages: list[str]) -> Column:
     return F.when(lang.isin(languages), lang).otherwise(F.lit(OTHER)) if languages else F.lit(OTHER)
 
 
+def counted_ngrams(texts: pa.Array, languages: pa.Array) -> pa.RecordBatch:
+    """``lang, code, n`` of some texts, one at least.  Codes are made from ``SLICE_BYTES`` of text at a time and sorted language by language, so that little more than the codes is held."""
+    coded = languages.dictionary_encode()
+    names, of_text = coded.dictionary, coded.indices.to_numpy()
+    held: list[list[np.ndarray]] = [[] for _ in range(len(names))]
+    for lo, hi in slices(texts, SLICE_BYTES):
+        codes, lengths = ngrams(texts.slice(lo, hi - lo))
+        own = np.repeat(of_text[lo:hi], lengths)
+        for i in np.unique(of_text[lo:hi]).tolist():
+            held[i].append(codes[own == i])
+    found = []
+    for i, parts in enumerate(held):
+        found.append(np.unique(np.concatenate(parts), return_counts=True))
+        held[i] = []
+    of_row = np.repeat(np.arange(len(names)), [len(codes) for codes, _ in found])
+    codes, n = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(of_row)), pa.array(codes.astype(np.int32)), pa.array(n)], ["lang", "code", "n"])
+
+
 def count_ngrams(df: DataFrame) -> DataFrame:
     """``lang, code, n`` of all texts of ``df`` (``text, lang``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(0), 4 * SLICE_BYTES):
-                coded = batch.column(1).slice(lo, hi - lo).dictionary_encode()
-                codes, lengths = ngrams(batch.column(0).slice(lo, hi - lo))
-                own = np.repeat(coded.indices.to_numpy().astype(np.uint64), lengths)
-                found, n = np.unique(own << np.uint64(32) | codes, return_counts=True)
-                language = coded.dictionary.take(pa.array((found >> np.uint64(32)).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([language, pa.array((found & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(n)], ["lang", "code", "n"])
+                yield counted_ngrams(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
@@ -331,6 +347,8 @@ def scored(df: DataFrame, model: PerplexityModel, text_col: str, lang_col: str,
                     failed = (n < 10) | (100 * counts["n_repeat_words"] > 20 * n)
                     columns = [*[batch.column(i).slice(lo, hi - lo) for i in others], languages, *[pa.array(counts[x].astype(np.int64)) for x in LONGS]]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(per_word, from_pandas=True)], names)
+                batch = texts = languages = columns = None
+                pa.default_memory_pool().release_unused()
 
         return run
 

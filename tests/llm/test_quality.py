@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -183,3 +184,44 @@ def test_probabilities_sum_to_one():
     for c in [*found[::5], 12345]:
         followers = (int(c) >> 7 << 7) + np.arange(128)
         assert model.probability(followers.astype(np.uint32)).sum() == pytest.approx(1, abs=1e-5)
+
+
+class Captured:
+    """Takes the function that ``mapInArrow`` is given, to run it here."""
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+    def groupBy(self, *keys):
+        return self
+
+    def agg(self, *columns):
+        return self
+
+
+def test_counting_holds_little_more_than_the_codes(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(4000)) + chr(rng.randrange(0x3B1, 0x3C0)) for _ in range(1000)]
+    languages = [rng.choice("xyz") for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(languages)], ["text", "lang"])
+    size = sum(map(len, texts))
+    q.symbol_table()
+    captured = Captured()
+    q.count_ngrams(captured)
+    tracemalloc.start()
+    try:
+        found = list(captured.function(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25 * size  # the codes are four bytes for each of a text, and sorting copies a language's
+    counted = Counter()
+    for part in found:
+        for row in part.to_pylist():
+            counted[row["lang"], row["code"]] += row["n"]
+    expected = Counter()
+    for language in "xyz":
+        for text in (t for t, x in zip(texts, languages) if x == language):
+            expected.update((language, int(c)) for c in q.ngrams(pa.array([text]))[0].astype(np.int32))
+    assert counted == expected
