@@ -8,6 +8,8 @@ Only pairs of frequent grams are formed, since a phrase is no more frequent than
 without its first word.  Following them gives the counts of all first parts and rests, which the cuts need, and what a longer phrase subsumes: if some longer candidate is
 frequent enough, so is one that is a single word longer, and that names the shorter one as a parent.
 
+A level's tables are deleted when the next is written.
+
 Names never collide: a word's is the place (batch and code) of one of its rows, a longer gram's a number of its bucket.  Buckets grow in number with the words, so that
 one holds about ``BUCKET_WORDS`` pairs at most; a batch is bounded by bytes of text, and a gram has one entry for each batch that has it.
 """
@@ -21,14 +23,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .scratch import stage
+from .scratch import release, stage
 from .text import mixed, raw
 
 BATCH_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 20  # so many words of text for each bucket of pairs
 CODE_BITS = 25  # a batch has no more words than bytes
+PACKED_ROWS = 1 << 20  # of words at a time
 COUNTED = ["a", "b", "f", "name", "batch", "size", "codes", "names"]
 ROWS = "batch long, code long, lang string, word string, n long, codes binary"
 
@@ -145,25 +148,54 @@ def from_planes(blob: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size).T.copy().view("<i8").ravel()
 
 
+def packed(words: DataFrame) -> DataFrame:
+    """Rows of ``named`` words as those of ``counted_pairs``: ``name, lang, word, f`` of each frequent word, and for each batch rows ``batch, size, codes, names`` with compressed columns."""
+    grams = T.StructType([T.StructField("name", T.LongType()), *[words.schema[c] for c in ("lang", "word", "f")]])
+    fields = [*grams.fields, *[T.StructField(c, t) for c, t in (("batch", T.LongType()), ("size", T.LongType()), ("codes", T.BinaryType()), ("names", T.BinaryType()))]]
+    names = [f.name for f in fields]
+
+    def back(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch, code, name = (np.concatenate([np.asarray(part.column(i)) for part in held]) for i in range(3))
+        order = np.lexsort((code, batch))
+        batch, code, name = batch[order], code[order], name[order]
+        begin = np.flatnonzero(np.diff(batch, prepend=-1))
+        spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(batch)]))
+        columns = [pa.array(batch[begin]), pa.array([hi - lo for lo, hi in spans], pa.int64())]
+        columns += [pa.array([planes(np.diff(code[lo:hi], prepend=0)) for lo, hi in spans], pa.binary()), pa.array([planes(name[lo:hi]) for lo, hi in spans], pa.binary())]
+        empty = [pa.nulls(len(spans), t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*empty, *columns], names)
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts:
+            own = part.filter(part.column(6))
+            rest = [pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(2, 6)], *rest], names)
+            held.append(part.select([0, 1, 2]))
+            size += part.num_rows
+            if size >= PACKED_ROWS:
+                yield back(held)
+                held, size = [], 0
+        if size:
+            yield back(held)
+
+    once = lambda c: F.when(F.col("own"), F.col(c)).alias(c)  # noqa: E731  a word goes to Python once
+    return words.select("batch", "code", "name", once("lang"), once("word"), "f", "own").mapInArrow(pack, T.StructType(fields))
+
+
 def paired(sequences: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """The next level: each batch's distinct pairs of adjacent frequent grams, by name, and its sequence of their codes.
 
     The pairs of a batch are dealt to buckets by hash and go there as one row each, ``batch, code, bucket, n, blob``: ``n`` pairs whose codes begin with
     ``code``, as compressed columns of both names and counts.  A row without a bucket holds a batch's sequence of ``n`` codes.
     """
-    if "names" in found.columns:
-        names = found.filter("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("size", "codes", "names")).alias("known"))
-    else:
-        names = found.groupBy("batch").agg(F.collect_list(F.struct("code", "name")).alias("known"))
+    names = found.filter("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("size", "codes", "names")).alias("known"))
 
     def named_codes(known: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         """The codes of a batch that have names, in order, and the names."""
-        if known.type.num_fields == 2:
-            codes, names = (np.asarray(known.field(i)) for i in (0, 1))
-        else:
-            rows = known.to_pylist()
-            codes = np.concatenate([np.cumsum(from_planes(r["codes"], r["size"])) for r in rows])
-            names = np.concatenate([from_planes(r["names"], r["size"]) for r in rows])
+        rows = known.to_pylist()
+        codes = np.concatenate([np.cumsum(from_planes(r["codes"], r["size"])) for r in rows])
+        names = np.concatenate([from_planes(r["names"], r["size"]) for r in rows])
         order = np.argsort(codes)
         return codes[order], names[order]
 
@@ -253,15 +285,18 @@ def collocations(
     """
     level = stage(coded_words(df, lang_col, text_col, batch_bytes), "phrases-1")
     words = level.filter("code IS NOT NULL")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = stage(named(words, ["lang", "word"], least), "phrases-named")
+    totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    found = stage(packed(named(words, ["lang", "word"], least)), "phrases-named")
     buckets = -(-(words.agg(F.sum("n")).first()[0] or 1) // bucket_words)
     sequences = level.filter("code IS NULL").select("batch", "n", "codes")
     none = F.array().cast("array<long>")
-    grams = stage(found.filter("own").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests")), "phrases-grams")
+    grams = stage(found.filter("batch IS NULL").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests")), "phrases-grams")
     candidates, above = [], []
     for size in range(2, most_words + 1):
+        before = level, found
         level = stage(paired(sequences, found, buckets), f"phrases-{size}")
+        for table in before:  # what follows is read from the tables written since
+            release(table)
         found = stage(counted_pairs(level, least, buckets), "phrases-named")
         sequences = level.filter("bucket IS NULL").select("batch", "n", F.col("blobs")[0].alias("codes"))
         pairs = found.filter("batch IS NULL").select("name", "a", "b", "f")
@@ -278,6 +313,8 @@ def collocations(
         candidates.append(grams.withColumn("size", F.lit(size)))
     if not candidates:
         raise ValueError("phrases have two words at least")
+    for table in level, found:
+        release(table)
     every, parents = candidates[0], above[0]
     for more, up in zip(candidates[1:], above[1:]):
         every, parents = every.unionByName(more), parents.unionByName(up)

@@ -1,11 +1,14 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
+from tessera.llm import collocations as module
 from tessera.llm.collocations import codes_of, collocations, from_planes, planes, split_words, squeezed
+from tessera.llm.scratch import root
 from tessera.llm.text import raw
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,3 +95,24 @@ def test_codes_round_trip():
         assert codes_of(squeezed(codes), 4 * len(codes)).tolist() == codes.tolist()
     for values in (np.array([0, 1, -1, 2**62, -(2**62)]), np.arange(1000)):
         assert from_planes(planes(values), len(values)).tolist() == values.tolist()
+
+
+def test_tables_of_a_level_are_deleted_when_the_next_is_written(spark):
+    folder = Path(root(spark).removeprefix("file://"))
+    before = {*folder.glob("phrases-*")}
+    df = spark.createDataFrame([("a b c d e a b c d e", "x"), ("a b c, d e", None)] * 3, "text string, lang string")
+    assert module.collocations(df, least=2).count()
+    left = {path.name.rpartition("-")[0] for path in {*folder.glob("phrases-*")} - before}
+    assert left == {"phrases-grams", "phrases-totals"}
+
+
+def test_names_of_words_go_back_in_one_row_for_each_batch_of_a_task(spark):
+    rows = [(batch, code, "x", f"w{(7 * code + batch) % 40}", 1 + code) for batch in (3, 5 << 12, 9) for code in range(30)]
+    words = module.named(spark.createDataFrame(rows, "batch long, code long, lang string, word string, n long"), ["lang", "word"], 20).persist()
+    expected = [tuple(r) for r in words.select("batch", "code", "name").collect()]
+    found = module.packed(words.coalesce(1)).collect()
+    back = [r for r in found if r.batch is not None]
+    assert len(back) == len({r[0] for r in expected}) and 0 < len(expected) < len(rows)
+    unpacked = [(r.batch, *x) for r in back for x in zip(np.cumsum(module.from_planes(r.codes, r.size)).tolist(), module.from_planes(r.names, r.size).tolist())]
+    assert sorted(unpacked) == sorted(expected)
+    assert sorted(tuple(r)[:4] for r in found if r.batch is None) == sorted(tuple(r) for r in words.filter("own").select("name", "lang", "word", "f").collect())
