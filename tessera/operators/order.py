@@ -6,8 +6,11 @@ passes between ranges is a row for each range: its counts (ranks) or its last ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Callable, Hashable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.sources.staging import stage
@@ -132,6 +135,49 @@ def exact_percentiles(
     return _joined(sizes, listed, group).select(*group, "n", F.array(*[value(f) for f in fractions]).alias("values"))
 
 
+def values_at_ranks(
+    counted: DataFrame, asked: Callable[[dict[tuple[int, int], int]], dict[Hashable, tuple[int, Sequence[int], Sequence[int]]]], most_sorted: int = MOST_SORTED
+) -> dict[Hashable, dict[int, float]]:
+    """Exact order statistics of unions of parts: by name and rank, the value.
+
+    ``counted`` has ``indicator int, part int, value double, n long``: how often a value occurs in a part.  ``asked`` is given the number of values by indicator and part, and names an indicator,
+    the parts whose values count together, and ranks from 0.  The values lie in ranges of about ``most_sorted`` rows, equal ones in one range; a rank is looked up in its range alone.  Parts are
+    counted once, however many unions they belong to.
+
+    The driver gets a number for each range and part, and the values asked for.
+    """
+    counted = stage(counted, "ranks-counted")
+    ranges = max(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted.count() // most_sorted))
+    rows = ranged(counted, ["indicator", "value"], ranges)
+    inside, whole = defaultdict(dict), defaultdict(int)
+    for r in rows.groupBy("indicator", "_range", "part").agg(F.sum("n").alias("n")).collect():
+        inside[r["indicator"], r["_range"]][r["part"]] = r["n"]
+        whole[r["indicator"], r["part"]] += r["n"]
+    lookups, names = defaultdict(list), []
+    for name, (indicator, parts, ranks) in asked(dict(whole)).items():
+        at = sorted(r for i, r in inside if i == indicator)
+        upto = np.cumsum([sum(inside[indicator, r].get(p, 0) for p in parts) for r in at])
+        for rank in sorted(set(ranks)):
+            k = int(np.searchsorted(upto, rank, "right"))
+            lookups[indicator, at[k]].append((len(names), list(parts), rank, rank - (int(upto[k - 1]) if k else 0)))
+        names.append(name)
+
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("value")
+        value, n, part = (group[c].to_numpy() for c in ("value", "n", "part"))
+        out, held = [], (None, None)
+        for name, parts, rank, local in lookups.get((int(group["indicator"].iloc[0]), int(group["_range"].iloc[0])), []):
+            if held[0] != parts:
+                held = parts, np.where(np.isin(part, parts), n, 0).cumsum()
+            out.append((name, rank, value[np.searchsorted(held[1], local, "right")]))
+        return pd.DataFrame(out, columns=["name", "rank", "value"])
+
+    found = {name: {} for name in names}
+    for r in rows.groupBy("indicator", "_range").applyInPandas(find, "name int, rank long, value double").collect():
+        found[names[r["name"]]][r["rank"]] = r["value"]
+    return found
+
+
 def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = SKETCH_K) -> DataFrame:
     """``<keys>, n, sketch``: a mergeable quantile sketch of each key's non-null values, of bounded size, to be stored beside partitions."""
     rows = df.filter(F.col(value).isNotNull()).groupBy(*keys)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.config import PanelConfig, ProtocolConfig
 from tessera.operators.folds import Fold, segment_of, segments
 from tessera.operators.models import RidgeFit, ridge_of_moments
-from tessera.operators.order import exact_percentiles
+from tessera.operators.order import values_at_ranks
 from tessera.sources.staging import stage
 
 #: A feature whose variance is below this share of its mean square does not vary; its scale stays 1.
@@ -51,17 +52,40 @@ def second_moments(rows: DataFrame, columns: list, found_by: Sequence[str]) -> d
     return out
 
 
+def counted_values(rows: DataFrame, folds: Sequence[Fold], columns: Sequence[str]) -> DataFrame:
+    """``indicator, part, value, n``: how often each value of each column occurs in each segment of the folds' training parts."""
+    cuts, _ = segments(folds)
+    held = rows.withColumn("_part", segment_of(cuts, F.col("_period"))).filter((F.col("_period") >= cuts[0]) & (F.col("_period") < cuts[-1]))
+    long = [held.filter(F.col(c).isNotNull()).select(F.lit(i).alias("indicator"), F.col("_part").alias("part"), F.col(c).alias("value")) for i, c in enumerate(columns)]
+    return reduce(DataFrame.union, long).groupBy("indicator", "part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def middle(n: int) -> tuple[int, int]:
+    """The ranks between which the median of ``n`` values lies."""
+    return (n - 1) // 2, n // 2
+
+
 def fold_medians(rows: DataFrame, folds: Sequence[Fold], features: Sequence[str]) -> dict[int, dict[str, float]]:
-    """Each fold's training medians, all searched at once; a column without an observation in some fold is an error."""
-    parts = rows.sparkSession.createDataFrame([(f.fold, f.train_start, f.train_end) for f in folds], "_fold int, _first int, _last int")
-    held = rows.join(F.broadcast(parts), F.col("_period").between(F.col("_first"), F.col("_last")))
+    """Each fold's training medians, all searched at once in values counted by segment; a column without an observation in some fold is an error."""
     out = {f.fold: {} for f in folds}
-    for r in exact_percentiles(held, ["_fold"], features, [0.5]).collect():  # a row for each fold and column
-        out[r["_fold"]][r["indicator"]] = r["values"][0]
-    for fold, found in out.items():
+    if not features:
+        return out
+    _, members = segments(folds)
+
+    def asked(sizes):
+        found = {(f, i): sum(sizes.get((i, s), 0) for s in parts) for f, parts in members.items() for i in range(len(features))}
+        return {(f, i): (i, members[f], middle(n)) for (f, i), n in found.items() if n}
+
+    for (fold, i), found in values_at_ranks(counted_values(rows, folds, features), asked).items():
+        out[fold][features[i]] = 0.5 * found[min(found)] + 0.5 * found[max(found)]
+    refuse_lacking(out, features)
+    return out
+
+
+def refuse_lacking(medians: dict[int, dict[str, float]], features: Sequence[str]) -> None:
+    for fold, found in medians.items():
         if lacking := sorted(set(features) - set(found)):
             raise ValueError(f"the training part of fold {fold} has no observation of {lacking}")
-    return out
 
 
 def all_folds(

@@ -744,4 +744,5 @@ def _(spark, folder):
 
 @query("random_forest_hierarchical")
 def _(spark, folder):
-    return FC.all_folds(P.with_lags(day(spark, folder)), PERIODS, MODEL_FEATURES)[0]
+    days = stage(day(spark, folder).select(*CONFIG.keys, "target", *MODEL_FEATURES[:3]), "panel")
+    return FC.all_folds(P.with_lags(days), PERIODS, MODEL_FEATURES)[0]
