@@ -35,7 +35,7 @@ BLOCK = 1 << 19
 #: Trees that meet in one group, to have fewer calls of Python.
 GROVE = 8
 #: Rows that numpy takes at once, so that they stay in a core's cache.
-SLICE = 1 << 15
+SLICE = 1 << 13
 #: Number of draws of a row by 16 random bits.
 DRAWN = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
 #: Bins in one long.
@@ -355,7 +355,10 @@ def all_folds(
 
     codes = [f"_c{i}" for i in range(-(-width // PACKED))]
     inputs = ["_entity", "_period", "_y", *names]
-    of_splits = lambda *splits: rows.filter(either(*splits)).select(*inputs).join(known, "_entity", "left")
+    # as many tasks as Python can use, however few bytes they read
+    parallel = spark.sparkContext.defaultParallelism
+    wide = 4 * parallel
+    of_splits = lambda *splits: rows.filter(either(*splits)).select(*inputs).repartition(wide, "_entity").join(known.repartition(wide, "_entity"), "_entity", "left")
     single = of_splits("train", "val").select("_period", "_y", *names, "_bins").mapInPandas(coded, "fold int, val int, " + "".join(f"{c} long, " for c in codes) + "_y double")
     distinct = stage(single.groupBy("fold", "val", *codes, "_y").agg(F.count(F.lit(1)).alias("_copies")), "forest-distinct")
     train = distinct.filter("val = 0")
@@ -367,12 +370,12 @@ def all_folds(
         held = {"bins": _unpacked(group, width), "y": group["_y"].to_numpy(float) - centres[fold], "rows": group["_row"].to_numpy(np.int64), "copies": group["_copies"].to_numpy(np.int64)}
         return pd.DataFrame({"fold": [fold], "chunk": [chunk]} | {k: [v.tobytes()] for k, v in held.items()})
 
-    counts = F.broadcast(spark.createDataFrame(list(chunks.items()), "fold int, _chunks int"))
-    hashed = train.withColumn("_row", F.xxhash64(*codes, "_y")).join(counts, "fold").withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_chunks")).cast("int"))
+    of_fold = F.broadcast(spark.createDataFrame([(f, chunks[f], centres[f]) for f in sizes], "fold int, _chunks int, _centre double"))
+    hashed = train.withColumn("_row", F.xxhash64(*codes, "_y")).join(of_fold, "fold").withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_chunks")).cast("int"))
     fields = "fold int, chunk int, bins binary, y binary, rows binary, copies binary"
     blocks = stage(hashed.select("fold", "_chunk", "_row", *codes, "_y", "_copies").groupBy("fold", "_chunk").applyInPandas(block, fields), "forest-blocks")
     # few blocks are read by several tasks, each for some of the trees
-    groves, parallel = -(-trees // GROVE), spark.sparkContext.defaultParallelism
+    groves = -(-trees // GROVE)
     parts = max(1, min(groves, -(-8 * parallel // sum(chunks.values()))))
     tasks = blocks.select("*", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("part")).repartition(parts * sum(chunks.values()))
 
@@ -427,12 +430,15 @@ def all_folds(
         for batch in batches:
             bins = _unpacked(batch, width)
             for fold, at in batch.groupby("fold").indices.items():
-                y, copies = batch["_y"].to_numpy()[at], batch["_copies"].to_numpy()[at]
-                for leaf, answers in zip(leaves, _answers(bins[at], *forests.value[fold], depths)):
-                    yield pd.DataFrame({"fold": fold, "depth": depths, "leaf": leaf, "n": copies.sum(), "sse": ((answers - y) ** 2 * copies).sum(1)})
+                n, total, square = (batch[c].to_numpy()[at] for c in ("_n", "_sum", "_square"))
+                for leaf, answers in zip(leaves, _answers(bins[at], *forests.value[fold], depths) - centres[fold]):
+                    yield pd.DataFrame({"fold": fold, "depth": depths, "leaf": leaf, "n": n.sum(), "sse": (answers**2 * n - 2 * answers * total + square).sum(1)})
 
-    wide = 4 * parallel
-    missed = distinct.filter("val = 1").repartition(wide, "fold", *codes, "_y").mapInPandas(errors, "fold int, depth int, leaf int, n long, sse double").groupBy("fold", "depth", "leaf").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+    apart = F.col("_y") - F.col("_centre")
+    validation = distinct.filter("val = 1").join(of_fold, "fold").groupBy("fold", *codes).agg(
+        F.sum("_copies").alias("_n"), F.sum(apart * F.col("_copies")).alias("_sum"), F.sum(apart**2 * F.col("_copies")).alias("_square")
+    )
+    missed = validation.repartition(wide, "fold", *codes).mapInPandas(errors, "fold int, depth int, leaf int, n long, sse double").groupBy("fold", "depth", "leaf").agg((F.sum("sse") / F.sum("n")).alias("mse"))
     mse = {(r["fold"], r["depth"], r["leaf"]): r["mse"] for r in missed.collect()}  # a row for each fold and shape
     chosen = {f: min(((d, n) for d in depths for n in leaves), key=lambda shape: mse.get((f, *shape), 0.0)) for f in sizes}
 
