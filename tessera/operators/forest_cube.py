@@ -250,7 +250,6 @@ def learnt_edges(rows: DataFrame, effects: DataFrame, folds: Sequence[Fold], siz
     ``effects`` has ``fold, _effect, _n``.  Values are counted once by segment; with ``k`` missing, the ranks of filled values are those of present ones up to the median, ``k`` times it, and the rest.
     """
     _, members = segments(folds)
-    numbers = {f: i for i, f in enumerate(sizes)}
     by_effect = effects.groupBy(F.lit(len(names)).alias("indicator"), F.col("fold").alias("part"), F.col("_effect").alias("value")).agg(F.sum("_n").alias("n"))
     counted = counted_values(rows, folds, names).union(by_effect) if names else by_effect
     ranks = {f: [max(-(-n * i // BINS) - 1, 0) for i in range(1, BINS)] for f, n in sizes.items()}  # the least values that i / BINS of the rows reach
@@ -277,7 +276,7 @@ def learnt_edges(rows: DataFrame, effects: DataFrame, folds: Sequence[Fold], siz
         for i, name in enumerate(features):
             edges[f].append(np.array([medians[f][name] if r is None else found[f, i][r] for r in places[f, i][2]]))
         edges[f].append(np.array([found[f, len(names)][r] for r in ranks[f]]))
-    return {f: [medians[f][name] for name in features] for f in numbers}, edges
+    return {f: [medians[f][name] for name in features] for f in sizes}, edges
 
 
 def all_folds(
