op11_decontamination: compare phrases with the words beside the posting

Symptom: op11_decontamination shuffled 1.94 times its input, 989 MB written and read for 0.51 GB of documents, most of it texts and repeated phrases.
Evidence: one stage sent all 256,410 texts (565 MB) to meet the few that have candidate places (252 of 10,000 on sf0.1); the candidates' distinct and semi-join also carried the phrase and the list of terms with every row, and every posting was sent to meet the rarest words.
Fix: postings of a window's rarest word carry the words around it, so the exact comparison joins candidates to postings and not to texts; only those postings meet the plan, candidates are slim, lists meet by a hash of term, row and place, and duplicates go after the lists have met. The benchmark's terms are broadcast, since their number doesn't grow with the texts.
Effect: at 0.6 GB of input CPU 700 -> 741 s, shuffle 0.08 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 1.85 -> 1.25 GB, longest task 24 -> 26 s, most memory of a task 110 -> 80 MB; at 6 GB of input CPU 4239 -> 4009 s, shuffle 8.03 -> 0.59 GB, spill 0.00 -> 0.00 GB, read 18.39 -> 12.49 GB, longest task 48 -> 46 s, most memory of a task 151 -> 122 MB; with hot keys, at 0.6 GB of input CPU 633 -> 488 s, shuffle 0.23 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.58 -> 0.45 GB, longest task 11 -> 13 s, most memory of a task 73 -> 168 MB.

@@ -3,10 +3,11 @@
 1. Benchmark items are cut into windows of consecutive words; equal windows of several items are searched once.
 2. The words of all texts that occur in windows are counted.  Each window names its ``TERMS`` rarest words: a window with a word that
    no text has can't occur.
-3. Postings ``term, document, position`` of those words are written once: the index.  The postings of a window's rarest word, moved back by the word's
-   place in the window, are the places where the window may begin; the list is intersected with the moved postings of the next rarest words.
-4. What is left is compared with the document's own words: exact phrases, and, on request, proximity matches (all words of a
-   window within a slightly longer stretch, in any order).
+3. Postings ``term, document, position`` of those words are written once: the index.  Postings of words that are some window's rarest carry the words
+   around them.  The postings of a window's rarest word, moved back by the word's place in the window, are the places where the window may begin; the list
+   is intersected with the moved postings of the next rarest words.
+4. What is left is compared with the document's own words around the posting: exact phrases, and, on request, proximity matches (all words of a
+   window within a slightly longer stretch, in any order).  No text is sent through the cluster for that.
 
 No list is held by one task: postings are rows, dealt by term and place; only the words and matches of one document stand in one row.
 """
@@ -67,37 +68,44 @@ def search_plan(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return found.filter("_lacking = 0").select("_window", "_phrase", "_len", F.slice("terms", 1, TERMS).alias("terms"))
 
 
-def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def postings(texts: DataFrame, terms: DataFrame, reach: int = 0) -> DataFrame:
     """The positional index: ``term, _id, _hash, at`` for every occurrence of one of ``terms`` (``term``, distinct).
 
-    Each text has besides a row with an empty term and the number of its words as ``at``.
+    Each text has besides a row with an empty term and the number of its words as ``at``.  With a ``reach``, ``terms`` has a flag ``rarest`` too, and
+    postings of terms with it have as ``near`` the words of the text, apart by spaces, from ``reach - 1`` places before them on, ``2 * reach - 1`` at most;
+    others have none.
     """
     split = texts.select("_id", "_hash", words_of(F.col("_text")).alias("_words"))
     marked = F.posexplode(F.concat(F.array(F.lit("")), "_words")).alias("_slot", "term")
-    placed = split.select("_id", "_hash", F.size("_words").alias("_n"), marked).join(terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))), "term")
-    return placed.select("term", "_id", "_hash", F.when(F.col("_slot") == 0, F.col("_n")).otherwise(F.col("_slot") - 1).alias("at"))
+    sizes = terms.sparkSession.range(1).select(F.lit("").alias("term"), *[F.lit(False).alias("rarest")] * bool(reach))
+    # the text's words must not be sent along with each of them: terms are broadcast, words of the benchmark, whose number no text adds to
+    placed = split.select("_id", "_hash", "_words", F.size("_words").alias("_n"), marked).join(F.broadcast(terms.unionByName(sizes)), "term")
+    near = F.when(F.col("rarest"), F.array_join(F.slice("_words", F.greatest(F.col("_slot") - reach + 1, F.lit(1)), 2 * reach - 1), " ")).alias("near")
+    return placed.select("term", "_id", "_hash", F.when(F.col("_slot") == 0, F.col("_n")).otherwise(F.col("_slot") - 1).alias("at"), *[near] * bool(reach))
 
 
 def phrase_starts(plan: DataFrame, index: DataFrame) -> DataFrame:
-    """``_window, _phrase, _len, _id, _hash, _start``: where the offset-adjusted lists of a window's rarest words meet."""
-    window = ["_window", "_phrase", "_len"]
-    rarest = plan.select(*window, "terms", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["at"].alias("_at"))
-    found = rarest.join(index, "term").select(*window, "terms", "_id", "_hash", (F.col("at") - F.col("_at")).alias("_start")).filter("_start >= 0").distinct()
+    """``_window, _id, _hash, _place, _start``: where the offset-adjusted lists of a window's rarest words meet, and the place of its rarest word there.
+
+    Lists meet by a hash of term, row and place, so once in a long while a place more is left to be compared with the text.
+    """
+    rarest = plan.select("_window", "terms", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["at"].alias("_at"))
+    lists = index.filter(F.col("near").isNotNull())
+    found = rarest.join(lists, "term").select("_window", "terms", "_id", "_hash", F.col("at").alias("_place"), (F.col("at") - F.col("_at")).alias("_start")).filter("_start >= 0")
+    spots = index.select(F.xxhash64("term", "_id", "_hash", "at").alias("_spot"))
     for k in range(1, TERMS):
         # a window of fewer words has no such list: its row asks for the list that has found it already
         term = F.coalesce(F.get("terms", F.lit(k)), F.col("terms")[0])
-        found = found.withColumn("_term", term["term"]).withColumn("_place", F.col("_start") + term["at"])
-        met = (found["_term"] == index["term"]) & (found["_place"] == index["at"]) & _same(found, index)
-        found = found.join(index, met, "left_semi").drop("_term", "_place")
-    return found.drop("terms")
+        found = found.withColumn("_spot", F.xxhash64(term["term"], "_id", "_hash", F.col("_start") + term["at"])).join(spots, "_spot", "left_semi")
+    return found.select("_window", "_id", "_hash", "_place", "_start").distinct()
 
 
 def near_places(plan: DataFrame, index: DataFrame, slop: int) -> DataFrame:
-    """``_window, _phrase, _len, _id, _hash, _place``: occurrences of a window's rarest word with the next rarest one in reach of ``_len + slop`` words.
+    """``_window, _id, _hash, _place``: occurrences of a window's rarest word with the next rarest one in reach of ``_len + slop`` words.
 
     Places are dealt by stretches of that length, and a place looks into its own and the two stretches beside it.
     """
-    window = ["_window", "_phrase", "_len"]
+    window = ["_window", "_len"]
     reach = F.col("_len") + slop
     own = plan.select(*window, "terms", F.col("terms")[0]["term"].alias("term")).join(index, "term").select(
         *window, "_id", "_hash", F.col("at").alias("_place"), F.coalesce(F.get("terms", F.lit(1)), F.col("terms")[0])["term"].alias("_next"),
@@ -112,28 +120,30 @@ def near_places(plan: DataFrame, index: DataFrame, slop: int) -> DataFrame:
         (own["_next"] == other["_next"]) & (own["_len"] == other["_len_b"]) & own["_id"].eqNullSafe(other["_id_b"]) & (own["_hash"] == other["_hash_b"])
         & (own["_stretch"] == other["_stretch_b"]) & (F.abs(own["_place"] - other["_at_b"]) < own["_len"] + slop)
     )
-    return own.join(other, met, "left_semi").select(*window, "_id", "_hash", "_place").distinct()
+    return own.join(other, met, "left_semi").select("_window", "_id", "_hash", "_place").distinct()
 
 
-def _index_of(texts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _index_of(texts: DataFrame, items: DataFrame, reach: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The plan of all windows, the index for it, and ``_id, _hash, n_words`` of every text."""
     windows = stage(items.select("_phrase", "_len").distinct().withColumn("_window", F.monotonically_increasing_id()), "leak-windows")
     terms = windows.select(F.explode(F.split("_phrase", " ")).alias("term")).distinct()
     plan = stage(search_plan(windows, term_counts(texts, stage(terms, "leak-terms"))), "leak-plan")
-    wanted = plan.select(F.explode("terms.term").alias("term")).distinct()
-    index = stage(postings(texts, stage(wanted, "leak-terms")), "leak-postings")
+    wanted = plan.select(F.posexplode("terms.term").alias("_rank", "term")).groupBy("term").agg((F.min("_rank") == 0).alias("rarest"))
+    index = stage(postings(texts, stage(wanted, "leak-terms"), reach), "leak-postings")
     return plan, index.filter("term <> ''"), index.filter("term = ''").select("_id", "_hash", F.col("at").cast("long").alias("n_words"))
 
 
-def verified(texts: DataFrame, places: DataFrame, at: str, holds: Callable[[Column, Column], Column]) -> DataFrame:
-    """``_id, _hash, found``: of the texts with places, those places (``at, len, window``) for which ``holds(words, place)`` is true."""
-    listed = places.groupBy("_id", "_hash").agg(F.collect_list(F.struct(F.col(at).alias("at"), "_len", "_window", "_phrase")).alias("_places"))
-    listed = listed.select(F.col("_id").alias("_id_b"), F.col("_hash").alias("_hash_b"), "_places")
-    met = texts["_id"].eqNullSafe(listed["_id_b"]) & (texts["_hash"] == listed["_hash_b"])
-    # inside a lambda the words would be found anew for every place: they are bound once, as the one element of an array
-    found = F.transform(F.array(words_of(F.col("_text"))), lambda words: F.filter("_places", lambda p: holds(words, p)))[0]
-    slim = F.transform(found, lambda p: F.struct(p["at"].alias("at"), p["_len"].alias("len"), p["_window"].alias("window")))
-    return texts.join(listed, met).select("_id", "_hash", slim.alias("found"))
+def verified(plan: DataFrame, index: DataFrame, reach: int, places: DataFrame, at: str, holds: Callable[[Column, Column], Column]) -> DataFrame:
+    """``_id, _hash, found``: of the texts with places for whose window ``holds(words, place)`` is true, those places (``at, len, window``), each once.
+
+    ``holds`` sees the words that the index has around the place, and the place (``at, _len, _phrase``) counted from the first of them.
+    """
+    around = index.filter(F.col("near").isNotNull()).select("_id", "_hash", F.col("at").alias("_place"), "near")
+    asked = places.join(around, _same(places, around) & (places["_place"] == around["_place"])).select(places["*"], "near")
+    first = F.greatest(F.col("_place") - (reach - 1), F.lit(0))
+    place = F.struct((F.col(at) - first).alias("at"), "_len", "_phrase")
+    found = asked.join(plan.select("_window", "_len", "_phrase"), "_window").filter(holds(F.split("near", " "), place))
+    return found.groupBy("_id", "_hash").agg(F.collect_set(F.struct(F.col(at).alias("at"), F.col("_len").alias("len"), F.col("_window").alias("window"))).alias("found"))
 
 
 def decontaminate(
@@ -148,17 +158,17 @@ def decontaminate(
     """
     texts = _texts(df, id_col, text_col)
     items = stage(item_windows(benchmark, window, item_col, item_text_col), "leak-items")
-    plan, index, sizes = _index_of(texts, items)
+    plan, index, sizes = _index_of(texts, items, window)
     starts = stage(phrase_starts(plan, index), "leak-starts")
     exact = lambda words, p: F.array_join(F.slice(words, p["at"] + 1, p["_len"]), " ") == p["_phrase"]
-    found = stage(verified(texts, starts, "_start", exact), "leak-found").filter(F.size("found") > 0)
+    found = stage(verified(plan, index, window, starts, "_start", exact), "leak-found")
     end = lambda p: p["at"] + p["len"]
     covered = F.aggregate(
         F.array_sort("found"), F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end")),
         lambda a, p: F.struct((a["hit"] + F.greatest(F.lit(0), end(p) - F.greatest(p["at"], a["end"]))).alias("hit"), F.greatest(a["end"], end(p)).alias("end")),
     )
     of_windows = plan.select("_window", "_phrase").join(items.filter(F.col("_item").isNotNull()), "_phrase").select("_window", F.col("_item").cast("string").alias("_item"))
-    hits = found.select("_id", "_hash", covered["hit"].cast("long").alias("_hit"), F.explode(F.array_distinct(F.col("found.window"))).alias("_window")).distinct()
+    hits = found.select("_id", "_hash", covered["hit"].cast("long").alias("_hit"), F.explode(F.array_distinct(F.col("found.window"))).alias("_window"))
     listed = hits.join(of_windows, "_window", "left").groupBy("_id", "_hash", "_hit").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
     listed = listed.select(
         F.col("_id").alias("_id_b"), F.col("_hash").alias("_hash_b"), "_hit", F.size("_items").cast("long").alias("_n"), F.sha2(F.array_join("_items", ","), 256).alias("_digest")
@@ -180,7 +190,7 @@ def proximity_matches(
     """
     texts = _texts(df, id_col, text_col)
     items = stage(item_windows(benchmark, window, item_col, item_text_col), "leak-items")
-    plan, index, _ = _index_of(texts, items)
+    plan, index, _ = _index_of(texts, items, window + slop)
     places = stage(near_places(plan, index, slop), "leak-places")
 
     def near(words: Column, p: Column) -> Column:
@@ -188,7 +198,7 @@ def proximity_matches(
         starts = F.sequence(F.greatest(p["at"] - reach + 1, F.lit(0)), p["at"])
         return F.exists(starts, lambda s: F.size(F.array_except(wanted, F.slice(words, s + 1, reach))) == 0)
 
-    found = stage(verified(texts, places, "_place", near), "leak-found").filter(F.size("found") > 0)
+    found = stage(verified(plan, index, window + slop, places, "_place", near), "leak-found")
     found = found.select("_id", "_hash", F.explode("found").alias("_p")).select("_id", "_hash", F.col("_p.window").alias("_window"), F.col("_p.at").alias("place"))
     named = plan.select("_window", "_phrase").join(items, "_phrase").select("_window", "_item")
     return found.join(named, "_window").select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), F.col("_item").alias(item_col), "place").distinct()

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+from tessera.llm import decontamination
 from tessera.llm.decontamination import decontaminate, item_windows, postings, proximity_matches
+from tessera.llm.scratch import stage
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -96,3 +98,42 @@ def test_proximity_matches_brute_force(spark):
     hashes = {h: t for t, h in spark.createDataFrame([(t,) for t in {t for _, t in docs}], "text string").selectExpr("text", "xxhash64(text)").collect()}
     assert {(r.doc_id, hashes[r.text_hash], r.item_id) for r in got} == expected
     assert len(expected) > len(brute(docs, items, 4)) / 4
+
+
+def joined_columns(plan):
+    """The names of the columns that the joins of an optimized plan take in."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [c.output().apply(i).name() for c in children for i in range(c.output().size())] if plan.nodeName() == "Join" else []
+    return own + [name for c in children for name in joined_columns(c)]
+
+
+def test_no_join_takes_whole_texts(spark, monkeypatch):
+    seen = []
+
+    def noted(df, name):
+        seen.append((name, df))
+        return stage(df, name)
+
+    monkeypatch.setattr(decontamination, "stage", noted)
+    docs, items = made()
+    seen.append(("result", decontaminate(*tables(spark, docs, items), window=4)))
+    columns = {name: joined_columns(df._jdf.queryExecution().optimizedPlan()) for name, df in seen}
+    assert "near" in columns["leak-found"]
+    assert not any("_text" in found for found in columns.values())
+
+
+def test_ends_of_texts_repeated_rows_and_long_texts(spark):
+    run_ = "quartz a1 xylo fox"
+    fill = lambda n: " ".join(["the"] * n)
+    items = [(1, run_), (2, f"{run_} b no"), (3, "Solo"), (4, "fox fox"), (None, "b no")]
+    docs = [(i, f"{fill(i)} {run_} {fill(j)}") for i in range(6) for j in range(6)]
+    docs += [(100, run_), (101, f"{run_} {run_} b no"), (102, f"{fill(3000)} {run_} b {fill(3000)} fox FOX fox {fill(50)} solo")]
+    docs += [(None, f"{fill(9)} {run_}")] * 7 + [(None, None)] * 3 + [(103, f"solo {run_}")] * 7 + [(103, "the " * 20)] * 2
+    assert run(spark, docs, items) == brute(docs, items, 4)
+
+
+def test_postings_of_rarest_words_have_the_words_around_them(spark):
+    docs = spark.createDataFrame([(1, 9, "A b c, d"), (None, 7, "c"), (2, 8, None)], "_id long, _hash long, _text string")
+    terms = spark.createDataFrame([("a", False), ("c", True)], "term string, rarest boolean")
+    got = sorted((tuple(r) for r in postings(docs, terms, 2).collect()), key=repr)
+    assert got == sorted([("", 1, 9, 4, None), ("", 2, 8, 0, None), ("", None, 7, 1, None), ("a", 1, 9, 0, None), ("c", 1, 9, 2, "b c d"), ("c", None, 7, 0, "c")], key=repr)
