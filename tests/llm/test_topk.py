@@ -72,3 +72,72 @@ def test_scores_beyond_floats_and_longs(spark):
     assert any(s > limit for *_, s in expected)
     assert run(spark, huge, kind="double") == held(expected)
     assert run(spark, [(0, [1e308]), (1, [1.0]), (10, [1.0])], kind="double") == [(10, 1, 1, 65536)]
+
+
+def made_block(seed, least=1.0, factors=(1, 3, 30)):
+    """Queries near one axis with thresholds about their best scores, vectors near the axes and of lengths apart by ``factors``, some ids twice."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    axes = rng.integers(0, 6, 600)
+    vectors = np.floor(rng.normal(0, 4, (600, 6)) + np.eye(6)[axes] * rng.choice([-1, 1], 600)[:, None] * 40) * rng.choice(factors, 600)[:, None]
+    queries = np.floor(rng.normal(0, 1, (150, 6)) + np.eye(6)[rng.integers(0, 6, 150)] * 60)
+    ids, query_ids = np.concatenate([np.arange(550), np.arange(50)]), np.arange(150)
+    best = np.sort(queries @ vectors.T, axis=1)[:, -20]
+    return queries, query_ids, np.where(rng.random(150) < 0.1, -np.inf, best * least), vectors, ids
+
+
+def brute_block(queries, query_ids, thresholds, vectors, ids, k):
+    out = []
+    for q, query_id, threshold in zip(queries.tolist(), query_ids.tolist(), thresholds.tolist()):
+        best = {}
+        for v, own in zip(vectors.tolist(), ids.tolist()):
+            score = sum(int(x) * int(y) for x, y in zip(q, v))
+            if own != query_id and score >= threshold:
+                best[own] = max(best.get(own, score), score)
+        out += [(query_id, own, score) for own, score in sorted(best.items(), key=lambda r: (-r[1], r[0]))[:k]]
+    return sorted(out)
+
+
+def test_block_search_matches_brute_force():
+    import numpy as np
+
+    from tessera.llm.topk import chosen_rows, search_block
+
+    for block in (made_block(1), made_block(2, 0.6), made_block(3, 1.4), made_block(4, -1.0), made_block(6, 1.0, [1])):
+        assert sorted((q, i, int(s)) for q, i, s in search_block(*block, 4)) == brute_block(*block, 4)
+    large = made_block(5)  # scores beyond 2 ** 53 and beyond longs
+    for scale in (2.0**22, 2.0**30):
+        block = (large[0] * scale, large[1], large[2] * scale * scale, large[3] * scale, large[4])
+        assert sorted((q, i, int(s)) for q, i, s in search_block(*block, 4)) == brute_block(*block, 4)
+    chosen = []
+    for queries, _, thresholds, vectors, _ in (made_block(1), made_block(6, 1.0, [1])):
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        order = np.argsort(-lengths, kind="stable")
+        chosen.append(chosen_rows(queries, thresholds, vectors[order], lengths[order]))
+    assert chosen[0][0].min() < 300 and len(chosen[1][1]) > 20  # vectors are left out by length and by coordinate
+
+
+def test_queries_of_a_block_share_products():
+    import numpy as np
+
+    from tessera.llm.topk import search_block
+
+    calls = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            calls.append(self.shape)
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(1)
+    queries, vectors = np.floor(rng.normal(0, 50, (256, 8))), np.floor(rng.normal(0, 50, (500, 8)))
+    search_block(queries.view(Counted), np.arange(256), np.full(256, -np.inf), vectors.view(Counted), np.arange(500), 3)
+    assert 0 < len(calls) <= 8
+
+
+def test_rows_with_null_nan_and_overflowing_components_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, None]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [1.0, float("-inf")]), (5, [1e306, 1.0]), (6, [-1e306, 1.0])]
+    rows += [(7, [5.0, 5.0]), (7, [5.0, 5.0]), (8, None), (9, []), (None, [9.0, 9.0]), (11, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in exact_top_k(df, k=5, every=50).orderBy("rank").collect()] == [(0, 1, 7, 15 * 65536), (0, 2, 11, 3 * 65536)]
