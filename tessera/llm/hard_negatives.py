op12_hard_negatives: bands are told apart for whole leaves of anchors, and found scores narrow them

Symptom: op12_hard_negatives used 1,038 CPU seconds per GB of vectors (0.02 GB), 627 of them in Python.
Evidence: the profile of the leaf search had its time in a loop over anchors and bands (about ten small numpy calls each, mostly for bands without a score), in reading the bands again for each of 2,840 pairs of blocks, and in handing back 505,000 rows of which the ranking keeps 12,659 results. Vectors were scaled and unpacked row by row, blocks packed through pandas.
Fix: scores of a leaf meet all bands of their anchors as matrices, and single bands only among scores that lie in some band; pairs of one group of anchors are searched one after the other, so that its bands are read once and the k-th best score found so far is the least that the next blocks are asked for; found rows go back by thousands. A batch of vectors is scaled at once, a block's rows are unpacked at once and packed from Arrow columns, and one comparison tells finite components.
Effect: at 0.6 GB of input CPU 414 -> 362 s, shuffle 0.03 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.12 -> 0.12 GB, longest task 57 -> 14 s, most memory of a task 302 -> 210 MB; at 6 GB of input CPU 3384 -> 1366 s, shuffle 0.44 -> 0.43 GB, spill 0.00 -> 0.00 GB, read 1.06 -> 1.06 GB, longest task 237 -> 65 s, most memory of a task 336 -> 302 MB; with hot keys, at 0.6 GB of input CPU 316 -> 328 s, shuffle 0.02 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 36 -> 10 s, most memory of a task 252 -> 206 MB.

@@ -13,12 +13,13 @@ Vectors meet in pairs of blocks that Spark joins by block; nothing but the sampl
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -26,6 +27,7 @@ from .exact_products import best, beyond, clipped, packed, products, restored, s
 from .scratch import stage
 
 SLACK = 1e-9
+OUTSIDE = 1 << 62  # of the scores that ``products`` returns in numpy's own numbers
 
 
 @dataclass(frozen=True)
@@ -137,10 +139,15 @@ def _wanted(lo: np.ndarray, hi: np.ndarray, least: np.ndarray, most: np.ndarray)
 
 
 class Aim:
-    """What the anchors of a block ask for: bands ``low <= score <= high``, one for each anchor or several, as Python integers (none: unbounded)."""
+    """What the anchors of a block ask for: bands ``low <= score <= high``, one for each anchor or several, as Python integers (none: unbounded).
+
+    ``best`` has the best scores that blocks searched by now have in a band.
+    """
 
     def __init__(self, low: list[list], high: list[list]):
         self.low, self.high = low, high
+        self.best: dict[tuple[int, int], list] = {}
+        self.matrices: dict[type, tuple[np.ndarray, np.ndarray]] = {}
 
     def written(self) -> str:
         """A line for each anchor, its bands apart by semicolons."""
@@ -161,10 +168,37 @@ class Aim:
             return np.inf, -np.inf
         return (-np.inf if None in low else float(min(low)) - 1), (np.inf if None in high else float(max(high)) + 1)
 
-
-def inside(scores: np.ndarray, low: int | None, high: int | None) -> np.ndarray:
-    """Which scores lie in a band."""
-    fits = np.ones(len(scores), bool)
+    def limits(self, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest and highest scores, a row for each anchor and a column for each band, to compare with scores of a kind that ``products`` returns.
+
+        Scores that are no Python integers lie between ``-OUTSIDE`` and ``OUTSIDE``, which stand for numbers beyond; an anchor without the band asks for nothing.
+        """
+        own = object if kind == object else np.int64
+        if own not in self.matrices:
+            bands = max(map(len, self.low), default=0)
+            ends = [[(-np.inf if x is None else x for x in a), (np.inf if x is None else x for x in b), bands - len(a)] for a, b in zip(self.low, self.high)]
+            matrix = lambda rows: np.array([[x if own is object else max(-OUTSIDE, min(OUTSIDE, x)) for x in row] for row in rows], dtype=own).reshape(len(self.low), bands)
+            self.matrices[own] = matrix([*a, *[np.inf] * lacking] for a, _, lacking in ends), matrix([*b, *[-np.inf] * lacking] for _, b, lacking in ends)
+        return self.matrices[own]
+
+    def met(self, found: list[tuple[int, int, int, int]], k: int) -> None:
+        """Bands in which ``k`` rows have been found by now ask for no score under the least of the best ``k``."""
+        for row, band, _, score in found:
+            best = self.best.setdefault((row, band), [])
+            heapq.heappush(best, score)
+            if len(best) > k:
+                heapq.heappop(best)
+        for row, band in {f[:2] for f in found}:
+            best = self.best[row, band]
+            if len(best) == k and (self.low[row][band] is None or best[0] > self.low[row][band]):
+                self.low[row][band] = best[0]
+                for own, (low, _) in self.matrices.items():
+                    low[row, band] = best[0] if own is object else max(-OUTSIDE, min(OUTSIDE, best[0]))
+
+
+def inside(scores: np.ndarray, low: int | np.ndarray | None, high: int | np.ndarray | None) -> np.ndarray:
+    """Which scores lie in a band; limits are numbers, or arrays that meet the scores."""
+    fits = np.ones(scores.shape, bool)
     if low is not None:
         fits &= (scores >= low).astype(bool)
     if high is not None:
@@ -172,9 +206,11 @@ def inside(scores: np.ndarray, low: int | None, high: int | None) -> np.ndarray:
     return fits
 
 
-def search(anchors: np.ndarray, anchor_ids: np.ndarray, aim: Aim, vectors: np.ndarray, ids: np.ndarray, k: int, leaf: int = Shape.leaf) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor's place, band, id, score) of the ``k`` best ids in each band; pairs of leaves outside the bands are not scored."""
-    own = leaves(_floats(anchors), leaf)
+def search(
+    anchors: np.ndarray, anchor_ids: np.ndarray, aim: Aim, vectors: np.ndarray, ids: np.ndarray, k: int, leaf: int = Shape.leaf, own: tuple | None = None
+) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor's place, band, id, score) of the ``k`` best ids in each band; pairs of leaves outside the bands are not scored.  ``own`` has the anchors' leaves, if known."""
+    own = own or leaves(_floats(anchors), leaf)
     other = leaves(_floats(vectors), leaf)
     lo, hi = intervals(own[2], own[3], other[2], other[3])
     for g, run in enumerate(own[1]):
@@ -185,13 +221,16 @@ def search(anchors: np.ndarray, anchor_ids: np.ndarray, aim: Aim, vectors: np.nd
             continue
         chosen = np.concatenate([other[0][other[1][j]] for j in near])
         scores = products(anchors[rows], vectors[chosen])
-        chosen_ids = ids[chosen]
-        for i, row in enumerate(rows.tolist()):
-            apart = chosen_ids != anchor_ids[row]
-            for band, (low, high) in enumerate(zip(aim.low[row], aim.high[row])):
-                at = np.flatnonzero(apart & inside(scores[i], low, high))
-                for x in at[best(scores[i][at], chosen_ids[at], k)].tolist():
-                    yield row, band, int(chosen_ids[x]), int(scores[i][x])
+        low, high = (ends[rows] for ends in aim.limits(scores.dtype))
+        # few scores lie in any band of their anchor: the bands are told apart among those
+        at, place = np.nonzero(inside(scores, low.min(axis=1)[:, None], high.max(axis=1)[:, None]) & (ids[chosen] != anchor_ids[rows, None]))
+        found, found_ids = scores[at, place], ids[chosen[place]]
+        for band in range(low.shape[1]):
+            here = np.flatnonzero(inside(found, low[at, band], high[at, band]))
+            for i in np.flatnonzero(np.bincount(at[here]) > k).tolist():
+                mine = here[at[here] == i]
+                here = np.concatenate([here[at[here] != i], mine[best(found[mine], found_ids[mine], k)]])
+            yield from zip(rows[at[here]].tolist(), [band] * len(here), found_ids[here].tolist(), map(int, found[here].tolist()))
 
 
 def kth(scores: np.ndarray, ids: np.ndarray, k: int) -> int | None:
@@ -200,27 +239,33 @@ def kth(scores: np.ndarray, ids: np.ndarray, k: int) -> int | None:
 
 
 NODE = "kind string, ids binary, matrix binary"
+#: Found rows that are handed back at once.
+FOUND = 4096
+
+
+def unpacked_rows(kinds: list[str], rows: list[bytes], dim: int) -> np.ndarray:
+    """The matrix of vectors that were packed one by one; of Python integers if one of them is."""
+    if len(set(kinds)) == 1:
+        return unpacked(kinds[0], (b"\n" if kinds[0] == "o" else b"").join(rows), dim)
+    parts = [unpacked(kind, data, dim) for kind, data in zip(kinds, rows)]
+    if any(p.dtype == object for p in parts):
+        parts = [p if p.dtype == object else np.array([[int(x) for x in p[0]]], dtype=object) for p in parts]
+    return np.concatenate(parts)
 
 
 def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each block: its rows' ids and integer vectors as bytes, centre and radius."""
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_id", kind="stable")
-        matrix = unpacked_rows(group)
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.take(np.argsort(group["_id"].to_numpy(), kind="stable"))
+        matrix = unpacked_rows(group["_kind"].to_pylist(), group["_row"].to_pylist(), group["_dim"][0].as_py())
         kind, data = packed(matrix)
         centre, radius = ball(_floats(matrix))
-        first = group.iloc[0]
-        return pd.DataFrame({**{k: [first[k]] for k in keys}, "kind": [kind], "ids": [group["_id"].to_numpy(np.int64).tobytes()], "matrix": [data], "centre": [centre.tobytes()], "radius": [radius]})
-
-    def unpacked_rows(group: pd.DataFrame) -> np.ndarray:
-        parts = [unpacked(kind, data, int(group["_dim"].iloc[0])) for kind, data in zip(group["_kind"], group["_row"])]
-        if any(p.dtype == object for p in parts):
-            parts = [p if p.dtype == object else np.array([[int(x) for x in p[0]]], dtype=object) for p in parts]
-        return np.concatenate(parts)
+        block = {"kind": kind, "ids": group["_id"].to_numpy().tobytes(), "matrix": data, "centre": centre.tobytes(), "radius": radius}
+        return pa.table({k: group[k].slice(0, 1) for k in keys} | {c: [x] for c, x in block.items()})
 
     types = dict(rows.dtypes)
-    return rows.select(*keys, *[c for c in ("_dim", "_id", "_kind", "_row") if c not in keys]).groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} {types[k]}" for k in keys) + f", {NODE}, centre binary, radius double")
+    return rows.select(*keys, *[c for c in ("_dim", "_id", "_kind", "_row") if c not in keys]).groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} {types[k]}" for k in keys) + f", {NODE}, centre binary, radius double")
 
 
 def _salted(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -232,7 +277,7 @@ def _salted(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
 def _clean(df: DataFrame, scale: int, id_col: str, label_col: str, vector_col: str) -> DataFrame:
     """``_id, _label, _dim, _kind, _row`` of the rows that take part, each distinct row once."""
     vector = F.col(vector_col).cast("array<double>")
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    finite = F.forall(vector, lambda x: F.abs(x) < F.lit(float("inf")))  # neither nulls nor NaN, which is above infinity, are
     rows = df.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(vector) > 0) & finite).select(
         F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label"), vector.alias("_vector")
     )
@@ -241,9 +286,14 @@ def _clean(df: DataFrame, scale: int, id_col: str, label_col: str, vector_col: s
     def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            out = [packed(scaled(np.asarray(x.values.to_numpy(zero_copy_only=False)), scale)) for x in lists]
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths())[:-1]
+            with np.errstate(over="ignore"):
+                plain = np.isfinite(values * scale).all()
+            # a row is scaled by itself where one of them needs Python integers, which are of that row only
+            whole = np.split(scaled(values, scale), ends) if plain else [scaled(x, scale) for x in np.split(values, ends)]
+            out = [packed(x) for x in whole]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in lists], pa.int32()), pa.array([k for k, _ in out]), pa.array([d for _, d in out], pa.binary())],
+                [batch.column(0), batch.column(1), lists.value_lengths(), pa.array([k for k, _ in out], pa.string()), pa.array([d for _, d in out], pa.binary())],
                 ["_id", "_label", "_dim", "_kind", "_row"],
             )
 
@@ -289,7 +339,7 @@ def hard_negatives(
             for dim, group in table.groupby("_dim"):
                 plain = group[group["_kind"] != "o"]
                 if len(plain):
-                    points = np.concatenate([unpacked(k, r, dim) for k, r in zip(plain["_kind"], plain["_row"])])
+                    points = unpacked_rows(plain["_kind"].tolist(), plain["_row"].tolist(), dim)
                     cells, far = placed(points, trees.value.get(dim), shape)
                     table.loc[plain.index, "_cell"], table.loc[plain.index, "_far"] = cells, far
             yield pa.RecordBatch.from_pandas(table, schema=pa.schema([*batch.schema, ("_cell", pa.int64()), ("_far", pa.float64())]), preserve_index=False)
@@ -348,23 +398,39 @@ def hard_negatives(
     def leaf_search(aimed: DataFrame, same: bool, k: int) -> DataFrame:
         """``_anchors, _row, anchor_id, _band, _other, score, beyond, rank`` of the pairs of blocks that are left."""
         pairs = met_blocks(aimed, same).join(blocks.select("_block", "kind", "ids", "matrix"), "_block").join(aimed.select("_anchors", "_dim", "a_kind", "a_ids", "a_matrix", "aim"), "_anchors")
+        pairs = pairs.withColumn("_group", F.xxhash64("_anchors"))
+
+        def rows_of(anchors: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+            pair, own, row, band, other, scores = zip(*found)
+            return pa.RecordBatch.from_arrays(
+                [
+                    anchors.take(pa.array(pair, pa.int32())), pa.array(row, pa.int32()), pa.array(own, pa.int64()), pa.array(band, pa.int32()),
+                    pa.array(other, pa.int64()), pa.array([clipped(x) for x in scores], pa.int64()), pa.array([beyond(x) for x in scores], pa.string()),
+                ],
+                ["_anchors", "_row", "anchor_id", "_band", "_other", "score", "beyond"],
+            )
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group = lambda r: (r[1]["_group"], r[1]["a_ids"])
             for batch in batches:
-                names = batch.schema.names
-                for i, r in enumerate(batch.select(["_dim", "kind", "ids", "matrix", "a_kind", "a_ids", "a_matrix", "aim"]).to_pylist()):
-                    own = np.frombuffer(r["a_ids"], np.int64)
-                    vectors, ids = unpacked(r["kind"], r["matrix"], r["_dim"]), np.frombuffer(r["ids"], np.int64)
-                    found = list(search(unpacked(r["a_kind"], r["a_matrix"], r["_dim"]), own, Aim.read(r["aim"]), vectors, ids, k, shape.leaf))
-                    anchor = batch.column(names.index("_anchors")).slice(i, 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            anchor.take(pa.array([0] * len(found), pa.int32())), pa.array([f[0] for f in found], pa.int32()),
-                            pa.array([int(own[f[0]]) for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                            pa.array([f[2] for f in found], pa.int64()), pa.array([clipped(f[3]) for f in found], pa.int64()), pa.array([beyond(f[3]) for f in found], pa.string()),
-                        ],
-                        ["_anchors", "_row", "anchor_id", "_band", "_other", "score", "beyond"],
-                    )
+                blocks_met = batch.select(["_group", "_dim", "kind", "ids", "matrix", "a_kind", "a_ids", "a_matrix", "aim"]).to_pylist()
+                anchors, found = batch.column(batch.schema.names.index("_anchors")), []
+                # what a group of anchors finds in one block narrows what it asks of the next ones
+                for _, members in groupby(sorted(enumerate(blocks_met), key=group), key=group):
+                    aim = None
+                    for i, r in members:
+                        if aim is None:
+                            aim, own, asking = Aim.read(r["aim"]), np.frombuffer(r["a_ids"], np.int64), unpacked(r["a_kind"], r["a_matrix"], r["_dim"])
+                            own_leaves = leaves(_floats(asking), shape.leaf)
+                        vectors, ids = unpacked(r["kind"], r["matrix"], r["_dim"]), np.frombuffer(r["ids"], np.int64)
+                        best_here = list(search(asking, own, aim, vectors, ids, k, shape.leaf, own_leaves))
+                        aim.met(best_here, k)
+                        found += [(i, int(own[f[0]]), *f) for f in best_here]
+                        if len(found) >= FOUND:
+                            yield rows_of(anchors, found)
+                            found = []
+                if found:
+                    yield rows_of(anchors, found)
 
         found = pairs.mapInArrow(score, f"_anchors {dict(aimed.dtypes)['_anchors']}, _row int, anchor_id long, _band int, _other long, score long, beyond string")
         rank = F.row_number().over(W.partitionBy("_anchors", "_row", "_band").orderBy(F.desc("score"), F.desc(F.coalesce("beyond", F.lit("1"))), "_other"))

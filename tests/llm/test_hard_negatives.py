@@ -90,3 +90,77 @@ def test_integers_of_any_size():
     big = scaled(np.array([[1e30, -1.5, 1e308]]), 256)
     assert big.tolist() == [[int(1e30) * 256, -384, int(1e308) * 256]]
     assert unpacked(*packed(big), 3).tolist() == big.tolist()
+
+
+def brute_bands(anchors, anchor_ids, low, high, vectors, ids, k):
+    out = []
+    for row, (a, own) in enumerate(zip(anchors.tolist(), anchor_ids.tolist())):
+        scored = [(sum(int(x) * int(y) for x, y in zip(a, v)), i) for v, i in zip(vectors.tolist(), ids.tolist()) if i != own]
+        for band, (x, y) in enumerate(zip(low[row], high[row])):
+            fits = [(s, i) for s, i in scored if (x is None or s >= x) and (y is None or s <= y)]
+            out += [(row, band, i, s) for s, i in sorted(fits, key=lambda r: (-r[0], r[1]))[:k]]
+    return sorted(out)
+
+
+def made_bands(seed, scale=1):
+    """Anchors with no band, with open ones and with several, vectors with ties and repeated ids."""
+    rng = np.random.default_rng(seed)
+    anchors, vectors = np.floor(rng.normal(0, 9, (70, 5))) * scale, np.floor(rng.normal(0, 9, (300, 5))) * scale
+    ends = [[sorted(rng.integers(-400, 700, 2).tolist()) for _ in range(rng.integers(0, 4))] for _ in range(70)]
+    low = [[int(x) * int(scale) ** 2 if x % 7 else None for x, _ in bands] for bands in ends]
+    high = [[int(y) * int(scale) ** 2 if y % 5 else None for _, y in bands] for bands in ends]
+    return anchors, np.arange(70), low, high, vectors, np.concatenate([np.arange(280), np.arange(20)])
+
+
+def test_search_matches_brute_force_in_all_bands():
+    for seed, scale in ((1, 1), (2, 2.0**20), (3, 2.0**25), (4, 2.0**40)):  # float64, then int64, then Python integers
+        anchors, anchor_ids, low, high, vectors, ids = made_bands(seed, scale)
+        aim = module.Aim([list(x) for x in low], [list(x) for x in high])
+        assert sorted(module.search(anchors, anchor_ids, aim, vectors, ids, 4, 16)) == brute_bands(anchors, anchor_ids, low, high, vectors, ids, 4)
+
+
+def test_bands_beyond_the_scores_of_a_block():
+    far = [[2**53 + 1, 10**300, None], [-(10**300), -(2**70), 6]]
+    aim = module.Aim([[far[0][0], None, -(10**300)]], [[far[0][1], -(2**70), 2**70]])
+    assert sorted(module.search(np.array([[2.0]]), np.array([0]), aim, np.array([[3.0], [4.0]]), np.array([1, 2]), 5)) == [(0, 2, 1, 6), (0, 2, 2, 8)]
+
+
+def test_what_blocks_have_given_narrows_what_the_next_ones_are_asked():
+    for seed, scale in ((5, 1), (6, 2.0**40)):
+        anchors, anchor_ids, low, high, vectors, ids = made_bands(seed, scale)
+        aim, found, apart = module.Aim([list(x) for x in low], [list(x) for x in high]), [], 0
+        for part in range(0, 300, 50):
+            block = slice(part, part + 50)
+            apart += len(brute_bands(anchors, anchor_ids, low, high, vectors[block], ids[block], 3))
+            here = list(module.search(anchors, anchor_ids, aim, vectors[block], ids[block], 3, 16))
+            aim.met(here, 3)
+            found += here
+        best = {}
+        for row, band, i, score in found:
+            best.setdefault((row, band), []).append((-score, i))
+        kept = sorted((row, band, i, -s) for (row, band), rows in best.items() for s, i in sorted(rows)[:3])
+        assert kept == brute_bands(anchors, anchor_ids, low, high, vectors, ids, 3)
+        assert len(found) < 0.7 * apart
+
+
+def test_scores_meet_bands_by_group_and_not_by_anchor(monkeypatch):
+    calls, inside = [], module.inside
+    monkeypatch.setattr(module, "inside", lambda *a: calls.append(1) or inside(*a))
+    rng = np.random.default_rng(3)
+    anchors, vectors = np.floor(rng.normal(0, 9, (64, 4))), np.floor(rng.normal(0, 9, (200, 4)))
+    list(module.search(anchors, np.arange(64), module.Aim([[0, 10]] * 64, [[50, 60]] * 64), vectors, np.arange(100, 300), 5))
+    assert 0 < len(calls) <= 3
+
+
+def test_rows_of_a_batch_are_packed_by_themselves(spark):
+    rows = [(1, 1, [1.0, 2.0]), (2, 1, [1e308, 1.0]), (1, 1, [1.0, 2.0]), (3, 1, [3.0]), (4, 2, None), (5, None, [1.0]), (6, 1, []), (7, 1, [float("nan")]), (8, 1, [float("-inf")]), (9, 1, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").coalesce(1)
+    got = sorted((r._id, r._dim, r._kind, unpacked(r._kind, r._row, r._dim).tolist()) for r in module._clean(df, 256, "vec_id", "label", "embedding").collect())
+    assert got == [(1, 2, "<i2", [[256, 512]]), (2, 2, "o", [[int(1e308) * 256, 256]]), (3, 1, "<i2", [[768]])]
+
+
+def test_rows_packed_apart_are_one_matrix():
+    rows = [packed(np.array(x)) for x in ([1.0, 2.0], [2.0**20, 3.0], [2.0**40, 5.0])] + [packed(np.array([2**80, 1], dtype=object))]
+    for some in ([0], [0, 0], [0, 1, 2], [3, 3], [2, 3, 0]):
+        expected = [[int(x) for x in unpacked(*rows[i], 2)[0]] for i in some]
+        assert module.unpacked_rows([rows[i][0] for i in some], [rows[i][1] for i in some], 2).tolist() == expected
