@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .exact_products import best as best_places, beyond, clipped, products
+from .exact_products import best as best_places, beyond, clipped, packed, products, unpacked
 from .scratch import stage
 
 BLOCK = 4096
@@ -31,21 +31,21 @@ PICKED = 8
 
 
 def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per block: ids and vectors as bytes, and the largest length."""
+    """One row per block: ids, vectors in the smallest type that holds their integers, and the largest length."""
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         ids = rows["_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         matrix = rows["_vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-        block = {"ids": [ids[order].tobytes()], "matrix": [matrix.tobytes()], "longest": [np.sqrt((matrix * matrix).sum(axis=1)).max()]}
+        kind, data = packed(matrix)
+        block = {"ids": [ids[order].tobytes()], "kind": [kind], "matrix": [data], "longest": [np.sqrt((matrix * matrix).sum(axis=1)).max()]}
         return pa.table({k: pa.array([v.as_py()], pa.int32()) for k, v in zip(keys, key)} | block)
 
-    return df.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} int" for k in keys) + ", ids binary, matrix binary, longest double")
+    return df.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} int" for k in keys) + ", ids binary, kind string, matrix binary, longest double")
 
 
-def _read(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(matrix, np.float64).reshape(len(ids), dim)
+def _read(ids: bytes, kind: str, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), unpacked(kind, matrix, dim)
 
 
 def kth_best(queries: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, seed_ids: np.ndarray, k: int) -> np.ndarray:
@@ -173,32 +173,32 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id
     queries = vectors.filter(F.col("_id") % every == 0).withColumn("_query_block", salt(query_blocks))
     packed_queries = _packed(queries.select("_dim", "_query_block", "_id", "_vector"), ["_dim", "_query_block"])
     # the longest vectors seed the thresholds: one bounded block for each dimension
-    seeds = blocks.groupBy("_dim").agg(F.max_by(F.struct("ids", "matrix"), F.struct("_band", -F.col("_salt"))).alias("seed"))
-    seeded = packed_queries.join(seeds, "_dim").select("_dim", "_query_block", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), "seed")
+    seeds = blocks.groupBy("_dim").agg(F.max_by(F.struct("ids", "kind", "matrix"), F.struct("_band", -F.col("_salt"))).alias("seed"))
+    seeded = packed_queries.join(seeds, "_dim").select("_dim", "_query_block", F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("matrix").alias("query_matrix"), "seed")
 
     def thresholds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for r in rows.rename(columns={"_dim": "dim"}).itertuples(index=False):
-                ids, matrix = _read(r.query_ids, r.query_matrix, r.dim)
-                seed_ids, seed = _read(r.seed["ids"], r.seed["matrix"], r.dim)
+                ids, matrix = _read(r.query_ids, r.query_kind, r.query_matrix, r.dim)
+                seed_ids, seed = _read(r.seed["ids"], r.seed["kind"], r.seed["matrix"], r.dim)
                 best = kth_best(matrix, ids, seed, seed_ids, k)
                 out.append((best.tobytes(), least_length(matrix, best)))
             yield rows.drop(columns="seed").assign(thresholds=[b for b, _ in out], least=[x for _, x in out])
 
     aimed = stage(
-        seeded.mapInPandas(thresholds, "_dim int, _query_block int, query_ids binary, query_matrix binary, thresholds binary, least double"), "topk-queries"
+        seeded.mapInPandas(thresholds, "_dim int, _query_block int, query_ids binary, query_kind string, query_matrix binary, thresholds binary, least double"), "topk-queries"
     )
     # the keys of the pairs of blocks that can hold a result, then the vectors
     spots, wanted = blocks.select("_dim", "_band", "_salt", "longest"), aimed.select("_dim", "_query_block", "least")
     met = spots.join(wanted, "_dim").filter(F.col("least") <= F.col("longest")).drop("longest", "least")
-    pairs = met.join(blocks, ["_dim", "_band", "_salt"]).join(aimed, ["_dim", "_query_block"]).select("_dim", "ids", "matrix", "query_ids", "query_matrix", "thresholds")
+    pairs = met.join(blocks, ["_dim", "_band", "_salt"]).join(aimed, ["_dim", "_query_block"]).select("_dim", "ids", "kind", "matrix", "query_ids", "query_kind", "query_matrix", "thresholds")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                query_ids, query_matrix = _read(r["query_ids"], r["query_matrix"], r["_dim"])
-                ids, matrix = _read(r["ids"], r["matrix"], r["_dim"])
+                query_ids, query_matrix = _read(r["query_ids"], r["query_kind"], r["query_matrix"], r["_dim"])
+                ids, matrix = _read(r["ids"], r["kind"], r["matrix"], r["_dim"])
                 rows = search_block(query_matrix, query_ids, np.frombuffer(r["thresholds"]), matrix, ids, k)
                 columns = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays(

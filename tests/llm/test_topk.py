@@ -141,3 +141,21 @@ def test_rows_with_null_nan_and_overflowing_components_take_no_part(spark):
     rows += [(7, [5.0, 5.0]), (7, [5.0, 5.0]), (8, None), (9, []), (None, [9.0, 9.0]), (11, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_top_k(df, k=5, every=50).orderBy("rank").collect()] == [(0, 1, 7, 15 * 65536), (0, 2, 11, 3 * 65536)]
+
+
+def test_blocks_hold_their_integers_in_the_smallest_type(spark):
+    from tessera.llm.topk import _packed, _read
+
+    rows = [(2, 0, [3.0, -4.0]), (1, 0, [32767.0, 0.0]), (3, 1, [40000.0, 1.0]), (4, 2, [2.0**40, 5.0]), (5, 2, [-(2.0**90), 1.0])]
+    blocks = _packed(spark.createDataFrame(rows, "_id long, _band int, _vector array<double>"), ["_band"]).orderBy("_band").collect()
+    assert [(b["kind"], len(b["matrix"])) for b in blocks] == [("<i2", 8), ("<i4", 8), ("<f8", 32)]
+    assert [[x.tolist() for x in _read(b["ids"], b["kind"], b["matrix"], 2)] for b in blocks] == [
+        [[1, 2], [[32767, 0], [3, -4]]], [[3], [[40000, 1]]], [[4, 5], [[2.0**40, 5], [-(2.0**90), 1]]]
+    ]
+
+
+def test_components_of_all_sizes_in_one_table(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(-9, 10) * rng.choice([1.0, 1.0, 500.0, 2.0**30, 1e30]) for _ in range(3)]) for i in range(40)]
+    limit = 2**63
+    assert run(spark, rows) == [(q, n, j, max(-limit, min(limit - 1, s))) for q, n, j, s in brute(rows, 5, 10)]
